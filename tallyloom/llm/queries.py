@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after a session of edits."""
+    return token_counts.count_with_edits(token_counts.sample_edits(table(spark, sf_dir, "documents")))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,21 +23,76 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "langs")
+    return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_back(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe)}
+
+_GAP = r"[\x20\x09-\x0D]+"
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_RULES = ", ".join(
+    f"CASE WHEN coalesce({' OR '.join(f'{a} / nullif({b}, 0) {op} {x!r}' for op, x in (('<', r.least), ('>', r.most)) if x is not None)}, true) THEN '{r.name}' END"
+    for r in quality.RULES for a, b in [r.measure.split(" / ")]
+)
 
 ORACLES = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op5_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}'), lambda x: x <> ''))::BIGINT AS size,
+                -ln((('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+                / ((1.0 + coalesce(length(regexp_replace(text, '{mixing.NOISE}', '', 'g')), 0)) / (1.0 + coalesce(length(text), 0))) AS key FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+        c AS (SELECT *, sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights,
+                row_number() OVER (ORDER BY source_size * 3 / weight, source NULLS LAST) AS k FROM w),
+        f AS (SELECT k AS first, rest AS level, weights AS shared FROM c WHERE rest * weight <= source_size * 3 * weights ORDER BY k LIMIT 1),
+        t AS (SELECT source, source_size, CASE WHEN k >= first THEN (weight * level)::DOUBLE / shared::DOUBLE ELSE (source_size * 3)::DOUBLE END AS target FROM c LEFT JOIN f ON true),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+        p AS (SELECT d.*, source_size, target, epochs, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto - size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}'), lambda x: x <> '') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM v JOIN d USING (doc_id)),
+        r AS (SELECT doc_id, sum(least(8, i - coalesce(last, i - 8))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM g WHERE c > 1) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+                (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclamations,
+                length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
+                FROM d LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEATED} AS base_failed, array_to_string(list_filter([{_RULES}], lambda x: x IS NOT NULL), ',') AS failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM b""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, payload_bytes, sha1(h) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM k""",
 }
