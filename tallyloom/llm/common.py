@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """After a cut: let Spark see that the shuffles before it are done with, so that their files go before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: hold Arrow batches to fewer rows than Spark's default unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

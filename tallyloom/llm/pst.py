@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, written
+from .common import fold, settle, small_batches, written
 
 DEPTH = 5
 #: Nats of likelihood that a context must gain over its suffix.
@@ -34,8 +34,8 @@ FOLDS, HELD = 7, 2
 END = 10  # no word holds a line feed
 #: A task passes its partial counts on when it holds so many.
 HELD_ENTRIES = 1_000_000
-#: Documents of a file split are dealt into so many blocks; bounds what a block's answers hold.
-PARTS = 4
+#: Bytes of a file split for each block that its documents are dealt into; bounds what a block's answers hold.
+BLOCK_BYTES = 32 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -60,7 +60,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     except AnalysisException:  # not read from files
         place = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "text", "_metadata.file_path", "_metadata.file_block_start")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return place.select(F.xxhash64("file_path", "file_block_start", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))).alias("block"), (fold(F.col("doc_id"), FOLDS) != HELD).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
+    parts = -(-docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // BLOCK_BYTES)
+    return place.select(F.xxhash64("file_path", "file_block_start", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).alias("block"), (fold(F.col("doc_id"), FOLDS) != HELD).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def _score(f: float, train_tokens: int):
                     if ready is None:
                         flat = np.concatenate(codes)
                         order = np.argsort(flat)
-                        ready = flat[order], np.concatenate(probs)[order]
+                        ready = flat[order], np.concatenate(probs).astype(np.float64)[order]
                     for doc, held, body in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("body").to_pylist(), strict=True):
                         words = words_of(body)
                         c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
@@ -210,15 +211,19 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
     ends = rows.groupBy("block").agg(F.lit(b"\n").alias("word"), F.count_if("train").alias("n"))
     counted = words.union(ends).withColumn("c", F.sum("n").over(Window.partitionBy("word"))).withColumn("first", F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1)
     known = written(counted)
+    settle(spark)
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
-    found = written(asked.mapInArrow(_ask_grams, "block bigint, gram bigint, n bigint"))
-    tree = suffix_tree(written(found.groupBy("gram").agg(F.sum("n").alias("n"))), gain)
+    found = asked.mapInArrow(_ask_grams, "block bigint, gram bigint, n bigint")  # cheaper to run again than to keep
+    counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
+    settle(spark)
+    tree = written(suffix_tree(counts, gain))
+    settle(spark)
     answers = found.select("block", "gram").join(tree, "gram")
     none = lambda kind: F.lit(None).cast(kind)
     met = (
-        known.select("block", F.lit(0).alias("kind"), F.col("c").alias("id"), none("double").alias("value"), none("boolean").alias("held"), F.col("word").alias("body"))
-        .union(answers.select("block", F.lit(1), "gram", "lp", none("boolean"), none("binary")))
-        .union(rows.select("block", F.lit(2), "doc_id", none("double"), ~F.col("train"), "body"))
+        known.select("block", F.lit(0).alias("kind"), F.col("c").alias("id"), none("float").alias("value"), none("boolean").alias("held"), F.col("word").alias("body"))
+        .union(answers.select("block", F.lit(1), "gram", F.col("lp").cast("float"), none("boolean"), none("binary")))
+        .union(rows.select("block", F.lit(2), "doc_id", none("float"), ~F.col("train"), "body"))
     )
     dealt = met.repartition("block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(_score(1.0 / (n + v + 1), int(n)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelled_score double")
