@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("statement").orderBy("line_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-FROM_HERE = ORDER.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _order():
+    return Window.partitionBy("statement").orderBy("line_no")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def to_lines(texts: DataFrame) -> DataFrame:
@@ -21,22 +24,22 @@ def to_lines(texts: DataFrame) -> DataFrame:
 
 def carried(marker: Column) -> Column:
     """The last marker that isn't null, up to here."""
-    return F.last(marker, ignorenulls=True).over(SO_FAR)
+    return F.last(marker, ignorenulls=True).over(_so_far())
 
 
 def coming(marker: Column) -> Column:
     """The first marker that isn't null, from here on."""
-    return F.first(marker, ignorenulls=True).over(FROM_HERE)
+    return F.first(marker, ignorenulls=True).over(_order().rowsBetween(Window.currentRow, Window.unboundedFollowing))
 
 
 def seen(flag: Column) -> Column:
     """Whether a line up to here has the flag."""
-    return F.max(flag).over(SO_FAR)
+    return F.max(flag).over(_so_far())
 
 
 def block_of(starts: Column) -> Column:
     """Number of the block that a line belongs to; 0 before the first."""
-    return F.sum(F.when(starts, 1).otherwise(0)).over(SO_FAR)
+    return F.sum(F.when(starts, 1).otherwise(0)).over(_so_far())
 
 
 def merged(lines: DataFrame, *carry: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -29,15 +29,13 @@ def _second_last(amounts: Column) -> Column:
     return F.when(F.size(amounts) >= 2, F.try_element_at(amounts, F.lit(-2))).otherwise(F.try_element_at(amounts, F.lit(-1)))
 
 
-def _before_last(text: Column, pattern: str, back: int = 1) -> Column:
-    """The text before the last (or `back`th last) match of a pattern."""
+def _before_last(text: Column, pattern: str) -> Column:
+    """The text before the last match of a pattern."""
 
     def cut(token: Column) -> Column:
-        place = F.length(text) - F.expr("1") * F.instr(F.reverse(text), F.reverse(token)) - F.length(token) + 1
-        return F.substring(text, F.lit(1), place)
+        return F.substring(text, F.lit(1), F.length(text) - F.instr(F.reverse(text), F.reverse(token)) - F.length(token) + 1)
 
-    tokens = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    return squeezed(let(F.try_element_at(tokens, F.lit(-back)), cut))
+    return squeezed(let(F.try_element_at(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.lit(-1)), cut))
 
 
 def _rows(rows: DataFrame, date: Column, description: Column, amount: Column, section: Column, balance: Column | None = None, raw: bool = True) -> DataFrame:
@@ -117,14 +115,14 @@ def bank_of_america(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("section", carried(label)).filter(F.col("section").isNotNull() & F.col("line").rlike(_DATED))
     rest = F.trim(F.regexp_extract("line", _DATED, 2))
     rows = rows.withColumn("rest", rest).withColumn("amounts", _amounts(rest))
-    description = F.when(F.size("amounts") >= 2, _before_last(F.col("rest"), L.MONEY, 2)).otherwise(_before_last(F.col("rest"), L.MONEY))
+    description = F.when(F.size("amounts") >= 2, let(_before_last(F.col("rest"), L.MONEY), lambda x: _before_last(x, L.MONEY))).otherwise(_before_last(F.col("rest"), L.MONEY))
     return _rows(rows.filter(F.size("amounts") > 0), F.regexp_extract("line", _DATED, 1), description, _second_last(F.col("amounts")), F.col("section"))
 
 
 def td_bank(lines: DataFrame, year: Column) -> DataFrame:
     """Rows of the daily account activity by section; a block of checks holds several, each a row; dates get the statement's year."""
     rows = _tidy(lines)
-    printed = F.regexp_extract(F.max(F.when(F.col("line").rlike(r"Statement\s*Period:.*?\d{4}"), F.col("line"))).over(_statement()), r"Statement\s*Period:.*?(\d{4})", 1)
+    printed = F.regexp_extract(F.max(F.when(F.col("line").rlike(r"Statement\s*Period:.*?\d{4}"), F.col("line"))).over(Window.partitionBy("statement")), r"Statement\s*Period:.*?(\d{4})", 1)
     rows = rows.withColumn("year", F.coalesce(F.nullif(printed, F.lit("")), year.cast("string")))
     switch = F.when(F.col("upper").rlike(L.TD_ON), "on").when(F.col("upper").rlike(L.TD_OFF), "off")
     rows = rows.withColumn("switch", switch).withColumn("state", carried(F.col("switch"))).filter((F.col("state") == "on") & F.col("switch").isNull() | (F.col("switch") == "off"))
@@ -149,12 +147,6 @@ def td_bank(lines: DataFrame, year: Column) -> DataFrame:
     return checks.unionByName(others)
 
 
-def _statement():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("statement")
-
-
 def regions(lines: DataFrame) -> DataFrame:
     """One row a line under an upper-case header."""
     rows = lines.select("statement", "line_no", F.trim(F.regexp_replace("line", "[ \t]+", " ")).alias("line")).filter("line <> ''")
