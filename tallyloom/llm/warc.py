@@ -4,8 +4,8 @@ A bundle is a WARC file whose records are grouped into independent Zstandard fra
 skippable frame (the public seekable format), so any Zstandard reader reads it whole and a reader with the table
 reads one frame. The index maps each record to its bundle, frame, and offset within the frame.
 
-Bundles are written by tasks straight to a folder that all executors share, under a temporary name and then renamed,
-so a task that runs again replaces its own file by the same bytes.
+Bundles are written by tasks straight to a folder that all executors share, under a temporary name and then renamed;
+a task that runs again writes files of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ LEAST_REVISIT = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
 LEVEL = 3
+#: Tasks that read archives; more bundles than that share them.
+MOST_TASKS = 20_000
 # Fixed values of the seekable format: magic of the skippable frame, its footer's magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -143,56 +146,59 @@ class BundleReader:
             while at < len(data):
                 row, at = parse(data, at)
                 yield row
+        self.file.close()
 
 
 def _html(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
 
 
-def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> tuple[DataFrame, int]:
-    """(page_id, refers_to) of the pages that revisit another, and the bytes of all payloads.
+def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(page_id, refers_to) of the pages that revisit another.
 
     Equal: the same SHA-1, MD5 and length. Only digests are shuffled and hot payloads are pre-aggregated."""
     keys = written(_html(pages).select("page_id", F.sha1("payload").alias("digest"), F.md5("payload").alias("second"), F.octet_length("payload").alias("bytes")))
     same = ["digest", "second", "bytes"]
     long = keys.filter(F.col("bytes") >= least)
     kept = long.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = long.join(kept, same).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    return pairs, keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return long.join(kept, same).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
 
 
 def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) and return the index (written, so it is not run twice).
 
-    Null html is an empty payload, null url leaves the header out, a null page_id is named null. Rows that repeat a
-    page_id and payload are alike: all response or all revisit. An empty table writes no bundle."""
+    Each task writes its own rows into bundles of about bundle_bytes, so payloads move at most once, to meet what they
+    refer to. A bundle's name holds the task attempt: the index that is kept names the files of the attempt that wrote
+    it. Null html is an empty payload, null url leaves the header out, a null page_id is named null. Rows that repeat
+    a page_id and payload are alike: all response or all revisit. An empty table writes no bundle."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = (folder or f"{shared_dir(spark)}/tallyloom/warc-{uuid.uuid4().hex}").rstrip("/")
-    pairs, total = revisits(pages)
-    bundles = max(1, -(-total // bundle_bytes))
-    place = F.pmod(F.xxhash64("page_id", "url", F.crc32("payload")), F.lit(bundles)).cast("int")
+    kinds = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("length", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, None
+        task = TaskContext.get()
+        out, size, n = None, 0, 0
         for batch in batches:
             index = []
-            for bundle, page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if bundle != now:
+            for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if out is None or size > bundle_bytes:
                     if out:
                         out.close()
-                    now, out = bundle, BundleWriter(f"{folder}/bundle-{bundle:07d}.warc.zst", frame_bytes)
-                index.append(out.add(page_id, record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers_to)))
+                    out, size, n = BundleWriter(f"{folder}/bundle-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.zst", frame_bytes), 0, n + 1
+                data = record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers_to)
+                size += len(data)
+                index.append(out.add(page_id, data))
             if index:
-                yield pa.record_batch([pa.array(x) if k != 0 else pa.array(x, pa.int64()) for k, x in enumerate(zip(*index, strict=True))], names=["page_id", "bundle", "frame", "at", "length"]).cast(pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("length", pa.int64())]))
+                yield pa.record_batch([pa.array(x, k.type) for x, k in zip(zip(*index, strict=True), kinds, strict=True)], schema=kinds)
         if out:
             out.close()
 
     files, name = pafs.FileSystem.from_uri(folder)
     files.create_dir(name, recursive=True)
-    rows = _html(pages).join(pairs, "page_id", "left").select(place.alias("bundle"), "page_id", "url", "payload", "refers_to")
-    dealt = rows.repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id")
-    return written(dealt.mapInArrow(write, INDEX))
+    # dealt by page_id once, whole: an even key, so that a task has a bundle's worth of rows and not a splinter of them
+    rows = _html(pages).repartition("page_id").join(revisits(pages), "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    return written(rows.mapInArrow(write, INDEX))
 
 
 def _rows(found: list[tuple], payloads: bool) -> pa.RecordBatch:
@@ -220,8 +226,8 @@ def read_back(index: DataFrame, payloads: bool = True) -> DataFrame:
                 if found:
                     yield _rows(found, payloads)
 
-    paths = index.select("bundle").distinct()
-    return paths.repartition(F.col("bundle")).mapInArrow(run, RECORD)
+    paths = written(index.select("bundle").distinct())
+    return paths.repartition(max(1, min(paths.count(), MOST_TASKS)), "bundle").mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
