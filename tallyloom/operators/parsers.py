@@ -176,7 +176,7 @@ def flagged(lines: DataFrame) -> DataFrame:
 
 def first_found(*parsed: DataFrame) -> DataFrame:
     """Rows of each statement from the first parser that found any."""
-    out = parsed[0]
-    for more in parsed[1:]:
-        out = out.unionByName(more.join(out.select("statement").distinct(), "statement", "left_anti"))
-    return out
+    rows = parsed[0].withColumn("__k", F.lit(0))
+    for k, more in enumerate(parsed[1:], 1):
+        rows = rows.unionByName(more.withColumn("__k", F.lit(k)))
+    return rows.withColumn("__first", F.min("__k").over(Window.partitionBy("statement"))).filter("__k = __first").drop("__k", "__first")
