@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -157,7 +158,9 @@ def suffix_tree(counts: DataFrame, gain: float = GAIN) -> DataFrame:
 def scored(words: list[bytes], c: np.ndarray, lp: np.ndarray, f: float) -> float:
     """log10 probability of the tokens. c: training counts of the words; lp: log10 of each symbol, the end's last."""
     known = c > 0
-    kept = np.append(np.repeat(known, [len(w) + 1 for w in words])[:-1], True) if words else np.array([True])
+    if known.all():
+        return float(lp.sum() + len(words) * np.log10(1 - 2 * f)) if words else float(lp.sum())
+    kept = np.append(np.repeat(known, [len(w) + 1 for w in words])[:-1], True)
     n = int(known.sum())
     return float(lp[kept].sum() + (len(words) - n) * np.log10(f) + (n * np.log10(1 - 2 * f) if n else 0.0))
 
@@ -184,13 +187,13 @@ def _score(f: float, train_tokens: int):
                     probs.append(part.column("value").to_numpy())
                 else:
                     if ready is None:
-                        flat = np.concatenate(codes)
-                        order = np.argsort(flat)
-                        ready = flat[order], np.concatenate(probs).astype(np.float64)[order]
+                        flat, at = np.unique(np.concatenate(codes), return_index=True)
+                        ready = pd.Index(flat), np.concatenate(probs).astype(np.float64)[at]
+                        codes, probs = [], []
                     for doc, held, body in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("body").to_pylist(), strict=True):
                         words = words_of(body)
                         c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
-                        lp = ready[1][np.searchsorted(ready[0], grams(words))]
+                        lp = ready[1][ready[0].get_indexer(grams(words))]
                         out.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], lp, f), float(lp.sum())))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
