@@ -81,8 +81,10 @@ ORACLES = {
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}'), lambda x: x <> '') AS w,
                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-        v AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
-        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c FROM v JOIN d USING (doc_id)),
+        v AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d WHERE len(w) >= 8),
+        e AS (SELECT doc_id, i, concat_ws(' ', x, lead(x, 1) OVER k, lead(x, 2) OVER k, lead(x, 3) OVER k, lead(x, 4) OVER k, lead(x, 5) OVER k, lead(x, 6) OVER k, lead(x, 7) OVER k) AS s, lead(i, 7) OVER k IS NOT NULL AS whole
+                FROM v WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, md5(s)) AS c FROM e WHERE whole),
         r AS (SELECT doc_id, sum(least(8, i - coalesce(last, i - 8))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM g WHERE c > 1) GROUP BY doc_id),
         m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
                 (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclamations,
