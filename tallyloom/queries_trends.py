@@ -20,7 +20,7 @@ def _months(spark, d):
     return rows.groupBy("customer", F.date_format("Date", "yyyy-MM").alias("month")).agg(total(F.col("Credit")).alias("credits"))
 
 
-@query(f"WITH {_MONTHS}, b AS (SELECT *, lag(credits) OVER (PARTITION BY customer ORDER BY month) AS b FROM months) SELECT customer, month, CASE WHEN b > 0 THEN round((credits - b) / b * 100, 1) ELSE 0 END AS change FROM b WHERE b IS NOT NULL")
+@query(f"WITH {_MONTHS}, b AS (SELECT *, lag(credits) OVER (PARTITION BY customer ORDER BY month) AS b FROM months) SELECT customer, month, CASE WHEN b > 0 THEN round((credits - b) / b * 100, 1) + 0.0 ELSE 0 END AS change FROM b WHERE b IS NOT NULL")
 def q_mom_change(spark, d):
     return trends.month_over_month(_months(spark, d), "customer", "month", "credits")
 
