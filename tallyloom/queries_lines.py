@@ -50,6 +50,24 @@ def q_ocr_rows(spark, d):
     return parsers.simple(rows).select("statement", "line_no", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
 
 
+@query(f"""WITH {S.LEDGER}, {_LINES} SELECT statement, line_no, {_SPLIT}, CASE WHEN line_no > 2000000000 THEN {_AMOUNT} ELSE 0 END AS debit, CASE WHEN line_no > 2000000000 THEN 0 ELSE {_AMOUNT} END AS credit FROM lines WHERE row_no >= 0 AND {_AMOUNT} > 0""")
+def q_bofa_rows(spark, d):
+    heads = F.when(F.col("line") == "DEPOSITS AND ADDITIONS", L.BOFA_HEADERS[0][0]).when(F.col("line") == "ELECTRONIC WITHDRAWALS", next(w for w, side in L.BOFA_HEADERS if side == "Debit")).otherwise(F.col("line"))
+    # an amount must not run together with the number that ends a description
+    line = F.regexp_replace(heads, r" (\d+\.\d{2})$", r" \$$1")
+    rows = parsers.bank_of_america(statement_lines(spark, d).withColumn("line", line))
+    return rows.select("statement", "line_no", "Date", F.regexp_replace("Description", r"\s*\$$", "").alias("Description"), F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
+
+
+@query(f"""WITH {S.LEDGER}, {_LINES}, r AS (SELECT *, regexp_matches(line, '(?i){L.CAPITAL_ONE_CREDIT}') AS gain, {_AMOUNT} AS a FROM lines WHERE row_no >= 0 AND NOT regexp_matches(line, '(?i){L.CAPITAL_ONE_SKIP}'))
+    SELECT statement, line_no, regexp_extract(line, '^(\\d\\d/\\d\\d)', 1) AS "Date", CASE WHEN gain THEN 0 ELSE a END AS debit, CASE WHEN gain THEN a ELSE 0 END AS credit FROM r WHERE a > 0""")
+def q_capital_one_rows(spark, d):
+    lines = statement_lines(spark, d).filter(F.col("line").rlike(r"^\d"))
+    begins = lines.select("statement").distinct().select("statement", F.lit(0).cast("long").alias("line_no"), F.lit("ACCOUNT DETAIL").alias("line"))
+    rows = parsers.capital_one(lines.unionByName(begins))
+    return rows.select("statement", "line_no", "Date", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
+
+
 @query(f"""WITH {S.LEDGER}, {_LINES} SELECT statement, line_no, kw AS keyword, line, {_AMOUNT} AS amount FROM (SELECT *, CASE {' '.join(rf"WHEN regexp_matches(upper(line), '\b{w}\b') THEN '{w}'" for w in L.FLAGGED)} END AS kw FROM lines) WHERE kw IS NOT NULL""")
 def q_flagged_lines(spark, d):
     return parsers.flagged(statement_lines(spark, d))
