@@ -46,6 +46,18 @@ def averages(totalled: DataFrame) -> DataFrame:
     return totalled.select("statements", *[F.round(F.col(c) / F.col("statements"), 2).alias(c) for c in SUMMED], "avg_daily_balance", "withholding_rate")
 
 
+def with_manual(totalled: DataFrame, picked: DataFrame, removed: bool = False) -> DataFrame:
+    """totals() with rows that a user assigned to lenders: picked(type `debit` or `credit`, amount), or with such rows taken back.
+
+    Amounts that aren't above 0 do nothing; sums end at 0. Revenue and withholding follow. One row crosses the join."""
+    side = lambda kind: F.coalesce(total(F.when((F.col("type") == kind) & (F.col("amount") > 0), F.col("amount"))), F.lit(0.0)) * (-1 if removed else 1)
+    change = picked.agg(side("debit").alias("__debit"), side("credit").alias("__credit"))
+    rows = totalled.withColumn("__k", F.lit(0)).join(change.withColumn("__k", F.lit(0)), "__k")
+    rows = rows.withColumns({"lender_debits": F.round(F.greatest(F.lit(0.0), F.col("lender_debits") + F.col("__debit")), 2), "lender_credits": F.round(F.greatest(F.lit(0.0), F.col("lender_credits") + F.col("__credit")), 2)})
+    rows = rows.withColumn("true_revenue", F.round(F.col("credits") - F.col("lender_credits"), 2))
+    return rows.withColumn("withholding_rate", F.round(percent(F.col("lender_debits"), F.col("true_revenue")), 4)).select(totalled.columns)
+
+
 def monthly_summary(ledger: DataFrame) -> DataFrame:
     """month, revenue, debits, transactions, nsf, cash flow and debit rate by calendar month."""
     rows = ledger.withColumn("Month", F.date_format("Date", "MMMM yyyy")).groupBy("Month").agg(total(F.col("Credit")).alias("Monthly_Revenue"), total(F.col("Debit")).alias("Monthly_Debits"), F.count("Amount").alias("Transaction_Count"), F.count_if(nsf_flag(F.col("Description"))).alias("NSF_Count"))

@@ -43,6 +43,15 @@ def q_totals(spark, d):
     return rollup.totals(rollup.statement_metrics(ledger(spark, d)))
 
 
+@query(S.upto(S.METRICS) + f""", p AS (SELECT {S.total("CASE WHEN description LIKE '%COFFEE%' THEN debit END")} AS d, {S.total("CASE WHEN description LIKE '%ZELLE%' THEN credit END")} AS c FROM ledger),
+    t AS (SELECT count(*) AS statements, {_SUMS} FROM metrics), a AS (SELECT statements, credits, round(lender_debits + d, 2) AS lender_debits, round(lender_credits + c, 2) AS lender_credits FROM t, p)
+    SELECT statements, lender_debits, lender_credits, round(credits - lender_credits, 2) AS true_revenue, CASE WHEN credits > lender_credits THEN round(lender_debits / round(credits - lender_credits, 2) * 100, 4) ELSE 0 END AS withholding_rate FROM a""")
+def q_manual_lenders(spark, d):
+    rows = ledger(spark, d)
+    picked = rows.filter(F.col("Description").contains("COFFEE")).select(F.lit("debit").alias("type"), F.col("Debit").alias("amount")).union(rows.filter(F.col("Description").contains("ZELLE")).select(F.lit("credit"), "Credit"))
+    return rollup.with_manual(rollup.totals(rollup.statement_metrics(rows)), picked).select("statements", "lender_debits", "lender_credits", "true_revenue", "withholding_rate")
+
+
 @query(S.upto(S.METRICS) + f"""SELECT statements, {', '.join(f'round({c} / statements, 2) AS {c}' for c in rollup.SUMMED)}, avg_daily_balance, CASE WHEN true_revenue > 0 THEN round(lender_debits / true_revenue * 100, 4) ELSE 0 END AS withholding_rate
     FROM (SELECT count(*) AS statements, {_SUMS}, 0.0::DOUBLE AS avg_daily_balance FROM metrics)""")
 def q_averages(spark, d):
