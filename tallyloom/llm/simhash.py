@@ -9,10 +9,12 @@ are tallied by the positional bytes they share, those under the guaranteed minim
   with the square of the input; on four bytes it holds near-duplicates and next to no others.
 * `sketch`: 256 positional bytes, each the low byte of a min-wise hash of the shingles. Two texts share a byte
   with a probability of their Jaccard similarity. A SimHash can't serve a similarity of 0.8: at that similarity
-  64 bits differ in 10 on average, which guarantees no shared byte at all. Index, tally and verification are the same.
+  64 bits differ in 10 on average, which guarantees no shared byte at all. Index and tally are the same, under a
+  bar well below 0.8; groups of such candidates are then verified by the exact Jaccard of their shingle-hash sets.
 
 Posting lists are worked on by chunk pairs of bounded size, and a task emits a spanning forest of the links it
-finds in a chunk pair, not the links: a list of m fingerprints gives fewer than m rows a chunk pair.
+finds in a chunk pair, not the links: a list of m fingerprints gives fewer than m rows a chunk pair. Groups of
+candidates are verified in the same way, with the sets beside the sketches, so the forest is one of verified links.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ BITS = 3
 #: Fingerprints in a chunk of a posting list; a task compares two chunks at a time.
 CHUNK = 512
 SKETCH = 256
-#: Least share of equal sketch bytes: 0.8 less about one standard error, so that texts of 0.8 are not lost to noise.
-SHARE = 0.775
+#: Least share of equal sketch bytes of a candidate: six standard errors under 0.8, so that no text of 0.8 is lost to noise.
+SHARE = 0.65
+#: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
+ALIKE = (4, 5)
+#: Shingles in a chunk of a group of candidates, about.
+CHUNK_SHINGLES = 1 << 20
 
 
 def covering(n: int = 8, of: int = 5, k: int = 4) -> list[tuple[int, ...]]:
@@ -81,7 +87,10 @@ def simhash(text: str | None, k: int = 3) -> int:
 
 def sketch(text: str | None, k: int = 5, size: int = SKETCH) -> bytes:
     """The low bytes of `size` min-wise hashes of the distinct shingles; empty for a text without words."""
-    h = np.unique(shingle_hashes(text, k))
+    return _sketch_of(np.unique(shingle_hashes(text, k)), size)
+
+
+def _sketch_of(h: np.ndarray, size: int = SKETCH) -> bytes:
     if not len(h):
         return b""
     factors = np.random.default_rng(42).integers(1, 1 << 63, size, np.uint64) | np.uint64(1)
@@ -93,9 +102,9 @@ def sketch(text: str | None, k: int = 5, size: int = SKETCH) -> bytes:
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, kind: str = "simhash", k: int = 3) -> DataFrame:
-    """doc_id, fp (bytes, most significant first) per row."""
-    make = (lambda t: simhash(t, k).to_bytes(8, "big")) if kind == "simhash" else (lambda t: sketch(t, k))
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, fp (SimHash, most significant byte first) per row."""
+    make = lambda t: simhash(t, k).to_bytes(8, "big")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(map(make, batch.column(1).to_pylist()), pa.binary())})
@@ -103,21 +112,64 @@ def fingerprints(docs: DataFrame, kind: str = "simhash", k: int = 3) -> DataFram
     return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, fp binary")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Indices of the pairs (a, b), in order, that join two trees."""
-    root: dict[int, int] = {}
+def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, fp (sketch), digest of the shingle-hash set and its size per row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp, digest, n = [], [], []
+        for text in batch.column(1).to_pylist():
+            h = np.unique(shingle_hashes(text, k))
+            fp.append(_sketch_of(h))
+            digest.append(xxhash.xxh128_digest(h.tobytes()))
+            n.append(len(h))
+        return pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp, pa.binary()), "digest": pa.array(digest, pa.binary()), "shingles": pa.array(n, pa.int64())})
+
+    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, fp binary, digest binary, shingles bigint")
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, text) to rep, digest and the sorted shingle-hash set as bytes."""
 
-    def top(x: int) -> int:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.record_batch({"rep": batch.column(0), "digest": pa.array(map(xxhash.xxh128_digest, sets), pa.binary()), "hashes": pa.array(sets, pa.binary())})
+
+    return map_batches(texts.select("rep", "text"), run, "rep bigint, digest binary, hashes binary")
+
+
+class _Trees:
+    """Disjoint sets."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        root = self.root
         while (up := root.get(x, x)) != x:
             root[x] = x = root.get(up, up)
         return x
 
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (p := top(x)) != (q := top(y)):
-            root[max(p, q)] = min(p, q)
-            kept.append(i)
-    return kept
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        if (p := self.top(x)) == (q := self.top(y)):
+            return False
+        self.root[max(p, q)] = min(p, q)
+        return True
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of the pairs (a, b), in order, that join two trees."""
+    trees = _Trees()
+    return [i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if trees.join(x, y)]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ALIKE or more; exact."""
+    num, den = ALIKE
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * den >= (len(x) + len(y) - both) * num
 
 
 def _linked(x: np.ndarray, y: np.ndarray, least: int, bits: int | None) -> np.ndarray:
@@ -131,50 +183,22 @@ def _linked(x: np.ndarray, y: np.ndarray, least: int, bits: int | None) -> np.nd
     return ok
 
 
-def _link_units(least: int, bits: int | None):
-    """Rows (key, i, j, chunk, rep, fp) sorted by (key, i, j) to a spanning forest (a, b) of the links of each unit."""
+def _spans(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each unit begins, and its rows."""
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    return new, np.diff(np.r_[new, len(key)])
 
-    def unit(chunk: np.ndarray, i: int, j: int, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        left = np.flatnonzero(chunk == i)
-        right = left if i == j else np.flatnonzero(chunk == j)
-        for n, p in enumerate(left):
-            others = right[n + 1 :] if i == j else right
-            if len(others) and (ok := _linked(fp[p][None, :], fp[others], least, bits)).any():
-                hit = others[ok]
-                found_a.append(np.full(len(hit), rep[p]))
-                found_b.append(rep[hit])
-        if not found_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        kept = _forest(a, b)
-        return a[kept], b[kept]
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _by_units(flush):
+    """Batches sorted by (key, i, j) to what flush makes of tables of whole units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            key, i, j, chunk, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep"))
-            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            sizes = np.diff(np.r_[new, len(key)])
-            out_a, out_b = [], []
-            starts = new[(sizes == 2) & (i[new] == j[new])]  # most lists: a pair
-            if len(starts):
-                ok = _linked(fp[starts], fp[starts + 1], least, bits)
-                out_a.append(rep[starts[ok]])
-                out_b.append(rep[starts[ok] + 1])
-            for at, n in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                a, b = unit(chunk[at : at + n], int(i[at]), int(j[at]), rep[at : at + n], fp[at : at + n])
-                out_a.append(a)
-                out_b.append(b)
-            for at in new[(sizes == 2) & (i[new] != j[new])].tolist():
-                a, b = unit(chunk[at : at + 2], int(i[at]), int(j[at]), rep[at : at + 2], fp[at : at + 2])
-                out_a.append(a)
-                out_b.append(b)
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-            return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -196,6 +220,78 @@ def _link_units(least: int, bits: int | None):
     return run
 
 
+def _link_units(least: int, bits: int | None):
+    """Rows (key, i, j, chunk, rep, fp) sorted by (key, i, j) to a spanning forest (a, b) of the links of each unit."""
+
+    def unit(chunk: np.ndarray, i: int, j: int, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found_a, found_b = [], []
+        left = np.flatnonzero(chunk == i)
+        right = left if i == j else np.flatnonzero(chunk == j)
+        for n, p in enumerate(left):
+            others = right[n + 1 :] if i == j else right
+            if len(others) and (ok := _linked(fp[p][None, :], fp[others], least, bits)).any():
+                hit = others[ok]
+                found_a.append(np.full(len(hit), rep[p]))
+                found_b.append(rep[hit])
+        if not found_a:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        kept = _forest(a, b)
+        return a[kept], b[kept]
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, chunk, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep"))
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
+        new, sizes = _spans(key, i, j)
+        out_a, out_b = [], []
+        starts = new[(sizes == 2) & (i[new] == j[new])]  # most lists: a pair
+        if len(starts):
+            ok = _linked(fp[starts], fp[starts + 1], least, bits)
+            out_a.append(rep[starts[ok]])
+            out_b.append(rep[starts[ok] + 1])
+        for at, n in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            a, b = unit(chunk[at : at + n], int(i[at]), int(j[at]), rep[at : at + n], fp[at : at + n])
+            out_a.append(a)
+            out_b.append(b)
+        for at in new[(sizes == 2) & (i[new] != j[new])].tolist():
+            a, b = unit(chunk[at : at + 2], int(i[at]), int(j[at]), rep[at : at + 2], fp[at : at + 2])
+            out_a.append(a)
+            out_b.append(b)
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+        return _edges(a, b)
+
+    return _by_units(flush)
+
+
+def _verify_units(least: int):
+    """Rows (key, i, j, chunk, rep, fp, hashes) sorted by (key, i, j) to a spanning forest (a, b) of the verified links of each unit.
+
+    Pairs that verified links connect already aren't compared; all others that reach the least are."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, chunk, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep"))
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        found = []
+        for at, n in zip(*(x.tolist() for x in _spans(key, i, j)), strict=True):
+            trees = _Trees()
+            left = at + np.flatnonzero(chunk[at : at + n] == i[at])
+            right = left if i[at] == j[at] else at + np.flatnonzero(chunk[at : at + n] == j[at])
+            for m, p in enumerate(left.tolist()):
+                others = right[m + 1 :] if i[at] == j[at] else right
+                if not len(others):
+                    continue
+                x = int(rep[p])
+                for q in others[_linked(fp[p][None, :], fp[others], least, None)].tolist():
+                    y = int(rep[q])
+                    if trees.top(x) != trees.top(y) and _alike(sets[p], sets[q]):
+                        trees.join(x, y)
+                        found.append((x, y))
+        return _edges(*np.array(found, np.int64).reshape(-1, 2).T)
+
+    return _by_units(flush)
+
+
 def link(nodes: DataFrame, sets: list[tuple[int, ...]], least: int, bits: int | None, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that connect what is linked among nodes (rep bigint, fp binary; distinct): a forest for each unit of a posting list.
 
@@ -207,23 +303,27 @@ def link(nodes: DataFrame, sets: list[tuple[int, ...]], least: int, bits: int |
     keys = F.array(*[F.xxhash64(F.lit(n), F.concat(*map(byte, s))) for n, s in enumerate(sets)])
     posted = nodes.select("rep", F.explode(keys).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = posted.join(shared, "key").join(nodes, "rep")
-    chunks = F.ceil(F.col("n") / chunk)
-    met = met.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), F.col("chunks")))
-    units = met.select("key", "chunk", "rep", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    units = units.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "fp")
-    dealt = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_link_units(least, bits), "a bigint, b bigint").distinct()
-
-
-def _grouped(docs: DataFrame, kind: str, k: int, sets: list[tuple[int, ...]], least: int, bits: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp), and (rep, fp, component_id) per distinct fingerprint; rep is its smallest doc_id."""
-    rows = written(fingerprints(docs, kind, k))
-    nodes = written(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    usable = nodes if kind == "simhash" else nodes.filter(F.length("fp") > 0)
-    groups = components(link(usable, sets, least, bits))
-    joined = nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    return rows, joined.select("rep", "fp", F.coalesce("component", "rep").alias("component_id"))
+    met = posted.join(shared, "key").join(nodes, "rep").withColumn("chunks", F.ceil(F.col("n") / chunk))
+    return _dealt(met, "fp").mapInArrow(_link_units(least, bits), "a bigint, b bigint").distinct()
+
+
+def _dealt(met: DataFrame, *carried: str) -> DataFrame:
+    """Rows (key, rep, chunks, ...) dealt into the units of each key: pairs of its chunks."""
+    met = met.withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), F.col("chunks")))
+    units = met.select("key", "chunk", "rep", *carried, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    units = units.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", *carried)
+    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, least: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect the nodes (rep, fp, digest, shingles) of each group of candidates (node, component) whose shingle sets are alike.
+
+    A group meets whole, in chunk pairs bounded in rows and shingles; the sets are made anew from the texts of its nodes only."""
+    near = written(nodes.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(near.select("rep").distinct(), "rep", "left_semi").distinct()
+    sizes = near.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("shingles") / CHUNK_SHINGLES)).alias("chunks"))
+    met = near.join(sizes, "key").join(_shingle_sets(texts, k), ["rep", "digest"])
+    return _dealt(met, "fp", "hashes").mapInArrow(_verify_units(least), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -231,15 +331,24 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 
     Null, empty and blank texts have fingerprint zero and link like any other. A row without doc_id has a
     fingerprint and no component. Repeated rows come back repeated; an empty table gives none."""
-    rows, groups = _grouped(docs, "simhash", k, KEYS, 8 - BITS, BITS)
-    out = rows.join(groups.select("fp", "component_id"), "fp", "left")
+    rows = written(fingerprints(docs, k))
+    nodes = written(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    groups = components(link(nodes, KEYS, 8 - BITS, BITS))
+    joined = nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    out = rows.join(joined.select("fp", F.coalesce("component", "rep").alias("component_id")), "fp", "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """Rows of docs without near copies: of each group of texts whose k-word shingles are alike to 0.8 or more, chained,
-    that of the smallest doc_id stays. Texts without words and rows without doc_id all stay."""
-    rows, groups = _grouped(docs, "sketch", k, BANDS, int(np.ceil(share * SKETCH)), None)
-    words = rows.filter((F.length("fp") > 0) & F.col("doc_id").isNotNull())
-    gone = words.join(groups, "fp").filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    that of the smallest doc_id stays. Texts without words and rows without doc_id all stay.
+
+    share: the least share of equal sketch bytes of a candidate pair; whether it is a link is decided by the shingle sets."""
+    least = int(np.ceil(share * SKETCH))
+    words = written(sketches(docs, k).filter((F.length("fp") > 0) & F.col("doc_id").isNotNull()))
+    nodes = written(words.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles")))
+    candidates = components(link(nodes.select("rep", "fp"), BANDS, least, None))
+    found = components(_verified(docs, nodes, candidates, k, least)).withColumnRenamed("node", "rep")
+    groups = nodes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    gone = words.join(groups, "digest").filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -110,6 +110,47 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(kept.values()) <= len(kept) + 1
 
 
+def test_pairs_about_the_bar_against_brute_force(spark):
+    """Pairs from 0.77 to 0.83, and chains of them: exactly the links of 0.8 or more count."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, near = [], Counter()
+    for n in range(150):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(1 + n % 2):
+            edits, copy = 0, list(base)
+            while True:
+                copy[rng.randrange(200)] = word()
+                edits += 1
+                if (like := jaccard(texts[-1], " ".join(copy))) < 0.83 and (like < 0.8 or rng.random() < 0.5):
+                    break
+            near[like >= 0.8] += like >= 0.77
+            texts.append(" ".join(copy))
+    assert min(near.values()) > 40
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    like = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = union(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a + 1, min(a + 3, len(texts))) if like(a, b)])
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_verified_in_chunks(spark, monkeypatch):
+    """A group far over a chunk keeps the links between its chunks."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            copy[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    want = union(range(60), [(a, b) for a, b in itertools.combinations(range(60), 2) if jaccard(texts[a], texts[b]) >= 0.8])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 1000)
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(want.values())
+
+
 def test_sketch_estimates_jaccard():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
