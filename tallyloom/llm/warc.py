@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, written
@@ -34,6 +34,8 @@ LEVEL = 3
 MOST_TASKS = 20_000
 # Fixed values of the seekable format: magic of the skippable frame, its footer's magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Payloads that agree in these are equal.
+SAME = ("digest", "second", "bytes")
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id bigint, bundle string, frame int, at bigint, length bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -153,15 +155,19 @@ def _html(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
 
 
+def _digests() -> list[Column]:
+    return [F.sha1("payload").alias("digest"), F.md5("payload").alias("second"), F.octet_length("payload").alias("bytes")]
+
+
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another.
+    """(page_id, SAME, refers_to) of the pages that revisit another; a page_id may repeat with other payloads.
 
     Equal: the same SHA-1, MD5 and length. Only digests are shuffled and hot payloads are pre-aggregated."""
-    keys = written(_html(pages).select("page_id", F.sha1("payload").alias("digest"), F.md5("payload").alias("second"), F.octet_length("payload").alias("bytes")))
-    same = ["digest", "second", "bytes"]
+    keys = written(_html(pages).select("page_id", *_digests()))
+    same = list(SAME)
     long = keys.filter(F.col("bytes") >= least)
     kept = long.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return long.join(kept, same).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return long.join(kept, same).filter("page_id <> refers_to").select("page_id", *same, "refers_to").distinct()
 
 
 def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -196,8 +202,9 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
 
     files, name = pafs.FileSystem.from_uri(folder)
     files.create_dir(name, recursive=True)
-    # dealt by page_id once, whole: an even key, so that a task has a bundle's worth of rows and not a splinter of them
-    rows = _html(pages).repartition("page_id").join(revisits(pages), "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    # dealt by page_id and digests once, whole: an even key, so that a task has a bundle's worth of rows and not a splinter of them
+    key = ["page_id", *SAME]
+    rows = _html(pages).select("*", *_digests()).repartition(*key).join(revisits(pages), key, "left").select("page_id", "url", "payload", "refers_to")
     return written(rows.mapInArrow(write, INDEX))
 
 

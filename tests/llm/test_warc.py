@@ -38,6 +38,15 @@ def test_round_trip(spark):
         assert Counter((r.page_id, r.url) for r in pages.collect()) == Counter((r.page_id, r.url) for r in rows)
 
 
+def test_an_id_that_repeats_with_two_payloads(spark):
+    a, b = "a" * 2000, "b" * 2000
+    for rows in ([(5, "u", a), (5, "v", b), (9, "w", a)], [(5, "u", a), (5, "v", b), (9, "w", a), (10, "x", b)]):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = warc.read_back(warc.archive(pages)).collect()
+        assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute(pages.collect())
+        assert {bytes(r.payload) for r in got if r.record_type == "response"} == {a.encode(), b.encode()}
+
+
 def test_index_and_frames(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     index = warc.archive(pages, bundle_bytes=60_000, frame_bytes=10_000)
