@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,10 +144,15 @@ def is_false_lender(text: Column) -> Column:
 
 
 def apply_saved_keywords(ledger: DataFrame, saved: DataFrame) -> DataFrame:
-    """saved(name, type) against a ledger: a row for every keyword found in a description whose side has an amount; one transaction may count for several."""
+    """saved(name, type) against a ledger: a row for every keyword found in a description whose side has an amount; one transaction may count for several.
+
+    All keywords count: they are broadcast in blocks of about MOST_KEYWORDS."""
     side = F.when(F.col("type") == "debit", F.col("Debit")).otherwise(F.col("Credit"))
     hit = F.lower("Description").contains(F.lower("name")) & (side > 0)
-    return ledger.join(F.broadcast(saved.limit(MOST_KEYWORDS)), hit).select("statement", "row_no", "Description", F.col("name").alias("keyword"), "type", F.round(side, 2).alias("amount"))
+    blocks = max(1, -(-saved.count() // MOST_KEYWORDS))
+    block = F.pmod(F.xxhash64("name", "type"), F.lit(blocks))
+    found = [ledger.join(F.broadcast(saved.filter(block == b) if blocks > 1 else saved), hit) for b in range(blocks)]
+    return reduce(DataFrame.union, found).select("statement", "row_no", "Description", F.col("name").alias("keyword"), "type", F.round(side, 2).alias("amount"))
 
 
 def add_keyword(saved: DataFrame, new: DataFrame) -> DataFrame:

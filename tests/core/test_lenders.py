@@ -40,6 +40,14 @@ def test_risk(spark, inputs, want):
     assert tuple(spark.range(1).select(points, risk.level(points)).first()) == want
 
 
+def test_no_saved_keyword_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(lenders, "MOST_KEYWORDS", 3)
+    texts = [f"PAY <K{i}> NOW" for i in range(10)]
+    saved = spark.createDataFrame([(f"<k{i}>", "debit") for i in range(10)] + [("pay", "debit"), ("now", "credit")], "name string, type string")
+    got = [(r.row_no, r.keyword, r.amount) for r in lenders.apply_saved_keywords(rows(spark, texts), saved).collect()]
+    assert sorted(got) == sorted([(i, f"<k{i}>", 700.0) for i in range(10)] + [(i, "pay", 700.0) for i in range(10)])
+
+
 def test_section_sum_and_year_gaps(spark):
     got = spark.createDataFrame([("500.00 9.59 8509.59",), ("500.00 9.59",)], "t string").select(section_sum(F.col("t"))).collect()
     assert [r[0] for r in got] == [509.59, 509.59]
