@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    """The columns of the shards as written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/tallyloom/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path)
+    return sharding.read_shards(path, docs)
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

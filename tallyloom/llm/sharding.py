@@ -3,13 +3,14 @@
 Pass one scatters rows uniformly into memory-sized buckets by a seeded hash. Pass two shuffles each bucket by
 Fisher-Yates (Spark's shuffle() is its inside-out form) and lays the buckets end to end: a random permutation of
 all rows. Position p goes to shard p mod n, slot p div n, so shards differ by at most one row and slots have no gap
-(law `rows`). Only row numbers are permuted; texts move when a shard is written, once.
+(law `rows`). Only row numbers are permuted; texts move when shards are written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import written
 
@@ -19,9 +20,9 @@ BUCKET_BYTES = 4 << 20
 LAW = "rows"
 
 
-def _text_columns(docs: DataFrame) -> DataFrame:
+def _text_columns(docs: DataFrame, *more: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *more)
 
 
 def _bucket(seed: int, buckets: int) -> Column:
@@ -65,3 +66,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 2
     out = met.select(*own, F.col("__shard").alias("shard"), F.col("__slot").alias("slot")).withColumn("__file", F.floor(F.col("slot") / slots_a_file))
     out.repartition("shard", "__file").sortWithinPartitions("shard", "slot").drop("__file").write.partitionBy("shard").parquet(path)
     return plan
+
+
+def read_shards(path: str, docs: DataFrame) -> DataFrame:
+    """The columns of assign, taken from the texts and slots in the shards that write_shards(docs, path) wrote."""
+    own = [f for f in docs.schema.fields if f.name not in ("shard", "slot")]
+    schema = StructType(own).add("slot", "long").add("shard", "integer")
+    rows = _text_columns(docs.sparkSession.read.schema(schema).parquet(path), "shard", "slot")
+    return rows.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

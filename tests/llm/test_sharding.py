@@ -1,7 +1,7 @@
 from collections import Counter
 from zlib import crc32
 
-from tallyloom.llm import sharding
+from tallyloom.llm import queries, sharding
 
 
 def test_law_of_rows(small, odd):
@@ -34,5 +34,15 @@ def test_written_shards(spark, odd, tmp_path):
     assert {(r.shard, r.slot) for r in back.collect()} == {(r.shard, r.slot) for r in plan.collect()}
 
 
+def test_query_reads_written_shards(spark, small, monkeypatch):
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda docs, path: paths.append(path) or write(docs, path))
+    rows = queries.op8_sharding(spark, "/root/testdata/sf0.001").collect()
+    back = spark.read.parquet(*paths).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in small.collect())
+    assert Counter((r.doc_id, len(r.text.encode()) + 1, crc32(r.text.encode()), r.shard, r.slot) for r in back) == Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows)
+    assert {tuple(r) for r in rows} == {tuple(r) for r in sharding.assign(small).collect()}
+
+
 def test_empty(empty):
     assert sharding.assign(empty).count() == 0
