@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than ASCII white space.
@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set: a temporary one on a local master, an error on a cluster, whose machines don't share one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,18 +40,55 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def settle(spark: SparkSession) -> None:
-    """After a cut: let Spark see that the shuffles before it are done with, so that their files go before more are written."""
+    """After a cut: let Spark delete the shuffle files before it, ahead of the next ones.
+
+    Spark deletes a shuffle's files when the driver's JVM collects the plan that made it, which Python's references
+    keep alive. A driver with a heap to spare may not collect for hours, so both are asked to; it takes well under a second."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: hold Arrow batches to fewer rows than Spark's default unless the session already asks for fewer."""
+    """Texts are long: hold Arrow batches to fewer rows than Spark's default unless the session already asks for fewer.
+
+    This changes the session. Spark reads the setting when a plan is made ready to run, which for the DataFrames
+    returned from here is after the call, so it can't be put back; it alters the size of batches and no result."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
 
 
+#: A key is hot with over HOT_ROWS rows that are over this share of all: there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1e-4, 1000
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows to groups (one row a key; `size`: its number of rows out of `total`) on keys without nulls, dropping `size`.
+
+    Hot groups are fewer than 1 / HOT_SHARE, whatever the input, and are broadcast, so their rows stay where they are;
+    each of the others is small enough for one task of a shuffled join."""
+    if total <= HOT_ROWS:
+        return rows.join(groups.drop(size), keys)
+    hot = F.col(size) > max(HOT_ROWS, total * HOT_SHARE)
+    few = F.broadcast(groups.filter(hot).select(*keys, F.lit(True).alias("__hot")))
+    marked = rows.join(few, keys, "left")
+    at_once = marked.filter("__hot").drop("__hot").join(F.broadcast(groups.filter(hot).drop(size)), keys)
+    return at_once.unionByName(marked.filter("__hot is null").drop("__hot").join(groups.filter(~hot).drop(size), keys))
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with a column for each of sums (new name: column): its sum over all rows before, in a total order.
+
+    Rows are dealt by ranges of the order and summed within each; only one row a range is summed in a single task."""
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    whole = parts.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = whole.select("__part", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = parts.join(F.broadcast(begun), "__part")
+    return met.select(*rows.columns, *[(F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply f to each Arrow batch."""
     small_batches(df.sparkSession)

@@ -1,7 +1,8 @@
 """Exact dedup: groups by a 128-bit content hash, bytes compared inside the groups.
 
 Grouping on (hash, text) compares every text's bytes with its group's, so a hash collision never joins two
-texts; partial aggregation collapses hot groups before the shuffle. Only digests are joined back to rows.
+texts; partial aggregation collapses hot groups before the shuffle, which each distinct text of a task crosses once.
+Only digests are joined back to rows; hot groups are joined without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import meet, written
+
 
 def content_hash(text: Column) -> Column:
     """128 bits."""
@@ -28,7 +31,10 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
     texts = rows.groupBy("h", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
     groups = texts.select("h", sha.alias("text_sha256"), "n", "keep_id").groupBy("h", "text_sha256").agg(F.max("n").alias("n"), F.max("keep_id").alias("keep_id"), F.count("*").alias("texts"))
     size = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share both digests")).cast("long")).otherwise(F.col("n"))
-    return rows.select("doc_id", "h", sha.alias("text_sha256")).join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", size.alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = written(groups.select("h", "text_sha256", size.alias("n"), F.col("n").alias("group_size"), "keep_id"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = meet(written(rows.select("doc_id", "h", sha.alias("text_sha256"))), groups, ["h", "text_sha256"], "n", total)
+    return met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = f"{shared_dir(spark)}/tallyloom/shards-{uuid.uuid4().hex}"
     sharding.write_shards(docs, path)
-    return sharding.read_shards(path, docs)
+    return sharding.report_shards(spark, path, docs.schema)
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing
 
@@ -53,6 +54,29 @@ def test_reruns_agree_and_mix_follows_the_report(small, odd, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_many_sources_and_hot_ones_meet_by_salt(spark, small, odd, monkeypatch):
+    docs = odd.withColumn("source", F.lit("hot")).unionByName(odd)
+    want = sorted(map(str, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix_report(docs).collect())) == want
+
+
+def test_clashing_names(spark, small):
+    docs = small.limit(20).selectExpr("*", "1 as __source", "2 as __id", "3 as id", "4 as bucket", "5 as row", "6 as c0", "7 as copies", "8 as salt", "9 as name")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} <= {r.doc_id for r in docs.collect()}
+    assert {tuple(r[5:]) for r in got.collect()} == {tuple(range(1, 10))}
+
+
+def test_low_quality_spreads_over_buckets(spark):
+    """Texts of digits have keys of another scale; their prefix is found just as well."""
+    rows = [(i, "1234567890 " * 20, None, "ab"[i % 3 == 0], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert mixing._draws(docs, 17).groupBy("bucket").count().agg(F.max("count")).first()[0] < 30
+    for r in mixing.mix_report(docs).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 20
+
+
 def test_weights_pull(spark):
     rows = [(i, "word " * 10 + ("# " * 300 if i % 2 else ""), None, "a" if i < 400 else "b", 0) for i in range(480)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -28,21 +28,36 @@ def test_native(small):
 
 
 def test_written_shards(spark, odd, tmp_path):
-    plan = sharding.write_shards(odd, f"file://{tmp_path}/shards", slots_a_file=1)
-    back = spark.read.parquet(f"file://{tmp_path}/shards")
-    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
-    assert {(r.shard, r.slot) for r in back.collect()} == {(r.shard, r.slot) for r in plan.collect()}
+    docs = odd.selectExpr("*", "'mine' as shard", "'own' as slot", "1 as __id", "2 as __crc", "3 as doc", "4 as bucket")
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", bucket_bytes=20_000)
+    back = sharding.read_shards(spark, f"file://{tmp_path}/shards", docs.schema)
+    assert Counter(r.doc for r in back.collect()) == Counter(docs.collect())
+    assert {(r.shard, r.slot) for r in back.collect()} == {(r.shard, r.slot) for r in sharding.assign(docs, bucket_bytes=20_000).collect()}
+    assert Counter((r.shard, r.slot) for r in back.collect()).most_common(1)[0][1] == 1
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 3000 + [(i, "own") for i in range(300)], "doc_id long, text string").repartition(3)
+    slim = sharding.written(sharding._text_columns(sharding._own(docs), "place"))
+    scatter = sharding.Scatter(slim, bucket_bytes=1000)
+    assert scatter.hot.count() == 1 and scatter.buckets > 20
+    assert max(r["count"] for r in scatter.scattered(slim).groupBy("bucket").count().collect()) < 300
+    rows = sharding.assign(docs, bucket_bytes=1000).collect()
+    assert Counter(r.shard for r in rows) == Counter({k: 413 if k < 4 else 412 for k in range(8)})
+    assert {(r.shard, r.slot) for r in rows} == {(p % 8, p // 8) for p in range(3300)}
 
 
 def test_query_reads_written_shards(spark, small, monkeypatch):
     paths, write = [], sharding.write_shards
     monkeypatch.setattr(sharding, "write_shards", lambda docs, path: paths.append(path) or write(docs, path))
     rows = queries.op8_sharding(spark, "/root/testdata/sf0.001").collect()
-    back = spark.read.parquet(*paths).collect()
+    back = sharding.read_shards(spark, *paths, small.schema).select("doc.*", "shard", "slot").collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in small.collect())
     assert Counter((r.doc_id, len(r.text.encode()) + 1, crc32(r.text.encode()), r.shard, r.slot) for r in back) == Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows)
     assert {tuple(r) for r in rows} == {tuple(r) for r in sharding.assign(small).collect()}
 
 
-def test_empty(empty):
+def test_empty(spark, empty, tmp_path):
     assert sharding.assign(empty).count() == 0
+    sharding.write_shards(empty, f"file://{tmp_path}/none")
+    assert sharding.report_shards(spark, f"file://{tmp_path}/none", empty.schema).count() == 0
