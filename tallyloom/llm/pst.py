@@ -35,8 +35,8 @@ FOLDS, HELD = 7, 2
 END = 10  # no word holds a line feed
 #: A task passes its partial counts on when it holds so many.
 HELD_ENTRIES = 1_000_000
-#: Bytes of a file split for each block that its documents are dealt into; bounds what a block's answers hold.
-BLOCK_BYTES = 32 << 20
+#: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
+BLOCK_BYTES = 8 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -55,14 +55,16 @@ def grams(words: list[bytes]) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, train, doc_id, body. A block is a part of a file split, so both passes see the same blocks without a shuffle."""
+    """block, train, doc_id, body. A block is a part of a file, by the file's size and the row's content, so every scan
+    sees the same blocks, however its files are split, and without a shuffle."""
+    columns = ("doc_id", "text", "_metadata.file_path", "_metadata.file_size")
     try:
-        place = docs.select("doc_id", "text", "_metadata.file_path", "_metadata.file_block_start")
+        place = docs.select(*columns)
     except AnalysisException:  # not read from files
-        place = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "text", "_metadata.file_path", "_metadata.file_block_start")
+        place = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(*columns)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    parts = -(-docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // BLOCK_BYTES)
-    return place.select(F.xxhash64("file_path", "file_block_start", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).alias("block"), (fold(F.col("doc_id"), FOLDS) != HELD).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.ceil(F.col("file_size") / BLOCK_BYTES))
+    return place.select(F.xxhash64("file_path", part).alias("block"), (fold(F.col("doc_id"), FOLDS) != HELD).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,10 @@ def _score(f: float, train_tokens: int):
                     for doc, held, body in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("body").to_pylist(), strict=True):
                         words = words_of(body)
                         c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
-                        lp = ready[1][ready[0].get_indexer(grams(words))]
+                        at = ready[0].get_indexer(grams(words))
+                        if len(at) and at.min() < 0:
+                            raise ValueError(f"block {block} holds a gram that it didn't ask for")
+                        lp = ready[1][at]
                         out.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], lp, f), float(lp.sum())))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
@@ -212,10 +217,13 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
     asked = rows.select("block", "train", "body")
     words = asked.mapInArrow(_ask_words, "block bigint, word binary, n bigint")
     ends = rows.groupBy("block").agg(F.lit(b"\n").alias("word"), F.count_if("train").alias("n"))
-    counted = words.union(ends).withColumn("c", F.sum("n").over(Window.partitionBy("word"))).withColumn("first", F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1)
-    known = written(counted)
+    inquiries = written(words.union(ends))
     settle(spark)
-    n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    # a common word has a row in every block: summed before the shuffle, and joined back by a join that Spark can split
+    counted = written(inquiries.groupBy("word").agg(F.sum("n").alias("c")))
+    settle(spark)
+    n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    known = inquiries.select("block", "word").join(counted, "word")
     found = asked.mapInArrow(_ask_grams, "block bigint, gram bigint, n bigint")  # cheaper to run again than to keep
     counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
     settle(spark)

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import pst
@@ -90,12 +91,35 @@ def test_distributions_sum_to_one(spark):
 def test_parts_and_early_counts_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id: r for r in pst.score(docs).collect()}
-    monkeypatch.setattr(pst, "BLOCK_BYTES", 9 << 20)
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(pst, "HELD_ENTRIES", 100)
+    assert pst._blocks(docs).select("block").distinct().count() > 3
     for r in pst.score(docs).collect():
         assert r[:5] == want[r.doc_id][:5] and r[5:] == pytest.approx(want[r.doc_id][5:])
 
 
+def test_blocks_do_not_depend_on_splits(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1).write.option("parquet.block.size", 20_000).parquet(path)
+    seen = set()
+    for split in ("128m", "30k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            docs = spark.read.parquet(path)
+            seen.add((docs.rdd.getNumPartitions() > 1, frozenset((r.doc_id, r.block) for r in pst._blocks(docs).select("doc_id", "block").collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({split for split, _ in seen}) == 2 and len({blocks for _, blocks in seen}) == 1
+
+
+def test_a_missing_answer_is_an_error():
+    words = pa.record_batch({"block": pa.array([1], pa.int64()), "kind": pa.array([0], pa.int32()), "id": pa.array([5], pa.int64()), "value": pa.array([None], pa.float32()), "held": pa.array([None], pa.bool_()), "body": pa.array([b"\n"], pa.binary())})
+    grams = pa.record_batch({"block": pa.array([1], pa.int64()), "kind": pa.array([1], pa.int32()), "id": pa.array([7], pa.int64()), "value": pa.array([-1.0], pa.float32()), "held": pa.array([None], pa.bool_()), "body": pa.array([None], pa.binary())})
+    text = pa.record_batch({"block": pa.array([1], pa.int64()), "kind": pa.array([2], pa.int32()), "id": pa.array([0], pa.int64()), "value": pa.array([None], pa.float32()), "held": pa.array([False], pa.bool_()), "body": pa.array([b""], pa.binary())})
+    with pytest.raises(ValueError, match="didn't ask"):
+        list(pst._score(0.1, 5)(iter([words, grams, text])))
+
+
 def test_empty(empty, spark):
     assert pst.score(empty).count() == 0
     held = next(i for i in range(100) if is_held(i))
