@@ -36,7 +36,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete written cuts that only other written cuts were made from: nothing will read them again."""
+    for cut in cuts:
+        jvm, conf = cut.sparkSession._jvm, cut.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(cut.written_at)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def settle(spark: SparkSession) -> None:

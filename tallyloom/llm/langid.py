@@ -25,8 +25,8 @@ PENALTY = 4.0
 #: Every fold but 0 of so many is for training.
 FOLDS = 5
 UNKNOWN = "und"
-#: Documents whose main language has less than this share are rejected: no language leads.
-LEAST_SHARE = 0.3
+#: A text is rejected if its languages explain a trigram no better than this log-likelihood: that of an even choice.
+FLOOR = -float(np.log(GRAMS))
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -40,6 +40,15 @@ def grams(text: str) -> np.ndarray:
     return ((packed * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, at most GRAMS however long the text, and their counts."""
+    if len(codes) < 4096:
+        return np.unique(codes, return_counts=True)
+    n = np.bincount(codes, minlength=GRAMS)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (not text.isascii() or text.lower() != text.upper()) and any(map(str.isalpha, text))
 
@@ -75,39 +84,49 @@ class Model:
         smooth = counts + 0.1
         self.loglik = np.ascontiguousarray(np.log(smooth / smooth.sum(0))).astype(np.float32)
 
-    def mixture(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions by expectation-maximisation and their log-likelihood. x: n x L log-likelihoods."""
+    def mixture(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        """Proportions by expectation-maximisation and their log-likelihood. x: distinct trigrams x L log-likelihoods; n: how often each occurs."""
         top = x.max(1, keepdims=True)
         p = np.exp(x - top)
         pi = np.full(x.shape[1], 1 / x.shape[1], np.float32)
         for _ in range(ROUNDS if x.shape[1] > 1 else 0):
-            new = pi * (p.T @ (1 / (p @ pi))) / len(x)
+            new = pi * (p.T @ (n / (p @ pi))) / n.sum()
             done = np.abs(new - pi).max() < 1e-3
             pi = new
             if done:
                 break
-        return pi, float(np.log(p @ pi).sum() + top.sum())
+        return pi, float(n @ (np.log(p @ pi) + top[:, 0]))
 
-    def predict(self, text: str | None) -> tuple[str, float, list[str]]:
-        """Main language, its share, and the languages of the text from the largest share on."""
+    def infer(self, text: str | None) -> tuple[list[str], list[float], float]:
+        """Languages of the text from the largest share on, their shares, and the log-likelihood of a trigram; nothing is known of a text without letters."""
         if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, []
-        x = self.loglik[grams(text)]
-        if not len(x):
-            return UNKNOWN, 0.0, []
-        shares, _ = self.mixture(x)
+            return [], [], -np.inf
+        codes, n = _distinct(grams(text))
+        if not len(codes):
+            return [], [], -np.inf
+        x, total = self.loglik[codes], int(n.sum())
+        n = n.astype(np.float32)
+        shares, _ = self.mixture(x, n)
         order = np.argsort(-shares, kind="stable")
-        best, lik = (order[:1], np.ones(1)), float(x[:, order[0]].sum())
+        best, lik = (order[:1], np.ones(1)), float(n @ x[:, order[0]])
         for k in range(2, len(order) + 1):
             if shares[order[k - 1]] < 0.02:
                 break
-            some, more = self.mixture(x[:, order[:k]])
-            if more - PENALTY * np.log(len(x)) <= lik:
+            some, more = self.mixture(x[:, order[:k]], n)
+            if more - PENALTY * np.log(total) <= lik:
                 break
             best, lik = (order[:k], some), more
         rank = np.argsort(-best[1], kind="stable")
-        langs = [self.langs[best[0][r]] for r in rank]
-        return langs[0], float(min(1.0, best[1][rank[0]])), langs
+        return [self.langs[best[0][r]] for r in rank], [float(best[1][r]) for r in rank], lik / total
+
+    def predict(self, text: str | None) -> tuple[str, float, list[str]]:
+        """Main language, its share, and the languages of the text from the largest share on."""
+        langs, shares, _ = self.infer(text)
+        return (langs[0], min(1.0, shares[0]), langs) if langs else (UNKNOWN, 0.0, [])
+
+    def known(self, text: str | None) -> bool:
+        """Whether the languages inferred for a text, however many, explain it."""
+        return self.infer(text)[2] > FLOOR
 
 
 def fit(docs: DataFrame) -> Model:
@@ -128,7 +147,8 @@ def fit(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, langs per row. Only the text decides. A null text or one without a letter,
     and every text when there was nothing to learn from, is `und` with score 0. A null id counts as the empty text
-    in folds (held out). Repeated rows come back repeated."""
+    in folds (held out). Repeated rows come back repeated, an empty table gives none. More than MAX_LANGS languages
+    to learn from are an error, as the model would outgrow what a task holds."""
     model = model or fit(docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,15 +160,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Rows of docs whose text has a language: neither `und` nor without a leading one. All columns, lang too, stay as they are."""
+    """Rows of docs whose text is in known languages: one or a mixture of any number that explains its trigrams better than
+    an even choice. Null texts, those without a letter and those in no known language go. All columns, lang too, stay
+    as they are. Rows are judged apart: repeated ones stay or go together; an empty table gives an empty one. A table
+    without training rows loses all rows; more than MAX_LANGS languages are an error."""
     model = model or fit(docs)
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
-            kept = batch.filter(pa.array([lang != UNKNOWN and score >= LEAST_SHARE for lang, score, _ in found], pa.bool_()))
+            kept = batch.filter(pa.array(map(model.known, batch.column(at).to_pylist()), pa.bool_()))
             if kept.num_rows:
                 yield kept
 

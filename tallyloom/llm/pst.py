@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, settle, small_batches, written
+from .common import discard, fold, settle, small_batches, written
 
 DEPTH = 5
 #: Nats of likelihood that a context must gain over its suffix.
@@ -36,7 +36,7 @@ END = 10  # no word holds a line feed
 #: A task passes its partial counts on when it holds so many.
 HELD_ENTRIES = 1_000_000
 #: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -223,11 +223,14 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
     counted = written(inquiries.groupBy("word").agg(F.sum("n").alias("c")))
     settle(spark)
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    known = inquiries.select("block", "word").join(counted, "word")
+    known = written(inquiries.select("block", "word").join(counted, "word"))
+    discard(inquiries, counted)
+    settle(spark)
     found = asked.mapInArrow(_ask_grams, "block bigint, gram bigint, n bigint")  # cheaper to run again than to keep
     counts = written(found.groupBy("gram").agg(F.sum("n").alias("n")))
     settle(spark)
     tree = written(suffix_tree(counts, gain))
+    discard(counts)
     settle(spark)
     answers = found.select("block", "gram").join(tree, "gram")
     none = lambda kind: F.lit(None).cast(kind)

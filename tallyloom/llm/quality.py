@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 
 from .common import GAP
 
-#: Frequent words of English, French, German and Spanish.
+#: Frequent words of English; French; German; Spanish; Italian and Portuguese; Dutch, Danish, Norwegian
+#: and Swedish; Polish and Czech; Turkish, Finnish and Hungarian; Romanian, Indonesian and Vietnamese.
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "with", "as", "be", "by", "at", "this", "are", "or", "from",
     "le", "la", "les", "de", "des", "du", "et", "un", "une", "est", "que", "qui", "dans", "pour", "par",
     "der", "die", "das", "und", "ein", "eine", "ist", "nicht", "von", "den", "zu", "auf", "für", "mit", "sich",
     "el", "los", "las", "y", "es", "en", "por", "con", "no", "se", "del", "al",
+    "il", "di", "che", "non", "per", "una", "e", "o", "os", "um", "uma", "do", "da", "não", "para",
+    "het", "een", "van", "niet", "met", "og", "er", "det", "til", "som", "av", "på", "och", "att",
+    "i", "w", "z", "na", "nie", "jest", "že", "je", "v",
+    "ve", "bir", "bu", "da", "ja", "ei", "az", "egy", "és", "nem", "hogy",
+    "și", "în", "cu", "yang", "dan", "và", "là", "của", "không",
 )
+#: Scripts whose words aren't set apart by blanks, and letters of the script that STOP_WORDS are written in.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+LATIN = r"\p{IsLatin}"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
@@ -28,22 +37,27 @@ MAX_REPEATED = 30  # per cent of the words
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if its measure is under `least` or over `most`."""
+    """A document fails if its measure is under `least` or over `most`; the rule speaks only of texts where `where` holds."""
 
     name: str
     measure: str
     least: float | None = None
     most: float | None = None
+    where: str = "true"
 
 
-#: The table. Ratios are to words, lines or letters as named; limits are far from what running prose shows.
+SPACED = "n_unspaced * 2 <= word_chars"
+
+#: The table. Ratios are to words, lines or letters as named; limits are far from what running prose shows. Word lengths
+#: are judged where words are set apart by blanks, stop words where most characters are Latin letters: texts in other
+#: scripts pass both. Prose of a Latin-script language that shares no frequent word with STOP_WORDS fails few_stop_words.
 RULES = (
     Rule("short_words", "word_chars / n_words", least=2.0),
-    Rule("long_words", "word_chars / n_words", most=15.0),
+    Rule("long_words", "word_chars / n_words", most=15.0, where=SPACED),
     Rule("symbols", "n_symbols / n_words", most=0.15),
     Rule("exclamations", "n_exclamations / n_words", most=0.3),
     Rule("no_letters", "n_letter_words / n_words", least=0.6),
-    Rule("few_stop_words", "n_stop_words / n_words", least=0.02),
+    Rule("few_stop_words", "n_stop_words / n_words", least=0.02, where="n_latin * 2 > word_chars"),
     Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.4),
     Rule("capitals", "n_capitals / greatest(word_chars, 1)", most=0.6),
 )
@@ -60,7 +74,8 @@ def repeated_words(words: Column) -> Column:
     Windows are compared by 64-bit hash. Sorting (hash, position) puts equal ones side by side; a window's words
     that an earlier repeated window hasn't counted are those past it."""
     starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    each = F.transform(words, lambda w: F.xxhash64(w))  # noqa: PLW0108
+    hashes = let(each, lambda hs: F.transform(starts, lambda i: F.xxhash64(F.slice(hs, i, WINDOW))))
 
     def positions(pairs: Column) -> Column:
         same = lambda p, k: F.coalesce(F.get(pairs, k)["h"] == p["h"], F.lit(False))
@@ -88,7 +103,7 @@ def measures(text: Column) -> Column:
         F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words"), F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("n_letter_words"),
     ))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    return F.struct(of_words.alias("w"), of_lines.alias("l"), without(SYMBOLS).alias("n_symbols"), without("!").alias("n_exclamations"), without(r"\p{Lu}").alias("n_capitals"))
+    return F.struct(of_words.alias("w"), of_lines.alias("l"), without(SYMBOLS).alias("n_symbols"), without("!").alias("n_exclamations"), without(r"\p{Lu}").alias("n_capitals"), without(UNSPACED).alias("n_unspaced"), without(LATIN).alias("n_latin"))
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -101,16 +116,16 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
             over = over | (value < r.least)
         if r.most is not None:
             over = over | (value > r.most)
-        checks.append(F.when(F.coalesce(over, F.lit(True)), F.lit(r.name)))
+        checks.append(F.when(F.coalesce(over, F.lit(True)) & F.expr(r.where), F.lit(r.name)))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed (rule names); a row per row.
 
-    A null or blank text has no words: it fails base and every ratio. base_failed: under MIN_WORDS words, or over
+    A null or blank text has no words: it fails base and every ratio that speaks of it. base_failed: under MIN_WORDS words, or over
     MAX_REPEATED per cent of them in repeated windows. Repeated rows come back repeated, null ids as null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("m"))
-    flat = rows.select("doc_id", *[F.col(f"m.{p}{c}").cast("long").alias(c) for p, c in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"), ("w.", "n_stop_words"), ("w.", "n_letter_words"), ("l.", "n_lines"), ("", "n_exclamations"), ("", "n_capitals"))])
+    flat = rows.select("doc_id", *[F.col(f"m.{p}{c}").cast("long").alias(c) for p, c in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"), ("w.", "n_stop_words"), ("w.", "n_letter_words"), ("l.", "n_lines"), ("", "n_exclamations"), ("", "n_capitals"), ("", "n_unspaced"), ("", "n_latin"))])
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     return flat.withColumn("base_failed", base).withColumn("failed", compiled(rules)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")

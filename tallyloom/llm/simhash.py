@@ -296,7 +296,10 @@ def link(nodes: DataFrame, sets: list[tuple[int, ...]], least: int, bits: int |
     """Edges (a, b) that connect what is linked among nodes (rep bigint, fp binary; distinct): a forest for each unit of a posting list.
 
     A posting list of more than `chunk` fingerprints is dealt into chunks by hash and each pair of chunks is a unit
-    of its own, so that no task holds more than two chunks and none is left out."""
+    of its own, so that no task holds more than two chunks and none is left out. A list of m distinct fingerprints is
+    copied m / chunk times and compared pair by pair, which is exact and grows with the square of m; lists are short
+    because equal fingerprints are one node and a key holds four bytes: one list holds what agrees in half of a SimHash
+    or in a band of a sketch, near-duplicates with different fingerprints and next to no others."""
     spark = nodes.sparkSession
     small_batches(spark)
     byte = lambda p: F.substring("fp", p + 1, 1)
@@ -341,8 +344,10 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """Rows of docs without near copies: of each group of texts whose k-word shingles are alike to 0.8 or more, chained,
-    that of the smallest doc_id stays. Texts without words and rows without doc_id all stay.
+    that of the smallest doc_id stays. Null, empty and blank texts have no shingles and stay, as do rows without doc_id.
 
+    Rows that repeat a doc_id stay or go together, by any of their texts; equal texts are alike, the smallest doc_id
+    stays. All columns stay as they are, whatever their names; an empty table gives an empty one.
     share: the least share of equal sketch bytes of a candidate pair; whether it is a link is decided by the shingle sets."""
     least = int(np.ceil(share * SKETCH))
     words = written(sketches(docs, k).filter((F.length("fp") > 0) & F.col("doc_id").isNotNull()))
@@ -350,5 +355,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataF
     candidates = components(link(nodes.select("rep", "fp"), BANDS, least, None))
     found = components(_verified(docs, nodes, candidates, k, least)).withColumnRenamed("node", "rep")
     groups = nodes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    gone = words.join(groups, "digest").filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = words.join(groups, "digest").filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -2,7 +2,9 @@
 
 A leaf is a run of whole pre-tokens and its token count; inner nodes hold sums of characters and tokens. An edit
 finds its leaves by descending the sums, re-encodes those and what context the pre-token pattern needs at their
-edges, and updates the sums above them. The total is the root.
+edges, and updates the sums above them. The total is the root. A leaf that outgrows its size splits; the new leaves
+take free places beside it, or the sums, not the encodings, are made anew with room between the leaves. Only a single
+pre-token longer than a leaf, such as a run of letters without a blank, can't be cut: its tokens depend on all of it.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN
 from .common import map_batches, small_batches
 
-#: Characters of a leaf, at least; it ends before the next blank between letters.
+#: Characters of a leaf, at least, where it is cut: it ends with the next pre-token that doesn't end in white space.
+#: A leaf that an edit makes longer than twice that is cut.
 LEAF = 512
 #: The pre-token pattern looks at most so many characters past the end of a pre-token (a contraction's two letters).
 AHEAD = 3
-_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})").search
 _PIECES = regex.compile(PATTERN).finditer
 
 
@@ -46,37 +48,43 @@ def counter(path: str):
 
 
 def cut(text: str) -> list[str]:
-    """Blocks that are encoded apart with the same tokens: a blank between letters always begins a pre-token."""
+    """Blocks that are encoded apart with the same tokens. A cut is the end of a pre-token whose last character isn't white
+    space: what follows can change it only by its first AHEAD characters, and what precedes doesn't change what follows."""
+    if len(text) <= 2 * LEAF:
+        return [text]
     out, at = [], 0
-    while len(text) - at > LEAF and (found := _CUT(text, at + LEAF)):
-        out.append(text[at : found.start()])
-        at = found.start()
+    for piece in _PIECES(text):
+        end = piece.end()
+        if end - at >= LEAF and end < len(text) and not text[end - 1].isspace():
+            out.append(text[at:end])
+            at = end
     return [*out, text[at:]]
 
 
 class Tree:
-    """blocks: the leaves' texts; chars and tokens: sums in heap order, leaves from `size` on."""
+    """blocks: the leaves' texts; chars and tokens: sums in heap order, leaves from `size` on. Leaves may be empty."""
 
     def __init__(self, text: str, count):
-        self.count = count
-        self.blocks = cut(text)
-        self.size = 1 << (len(self.blocks) - 1).bit_length()
-        self.blocks += [""] * (self.size - len(self.blocks))
-        self.chars = [0] * self.size + [len(b) for b in self.blocks]
-        self.tokens = [0] * self.size + [count(b) for b in self.blocks]
-        self.encoded = 0
-        for k in range(self.size - 1, 0, -1):
-            self._sum(k)
+        self.count, self.encoded = count, 0
+        blocks = cut(text)
+        self._build(blocks, list(map(count, blocks)))
 
     @classmethod
     def stored(cls, blocks: list[str], tokens: list[int], count) -> Tree:
         tree = cls.__new__(cls)
-        tree.count, tree.blocks, tree.size, tree.encoded = count, list(blocks), len(blocks), 0
-        tree.chars, tree.tokens = [0] * tree.size + [len(b) for b in blocks], [0] * tree.size + list(tokens)
-        for k in range(tree.size - 1, 0, -1):
-            tree._sum(k)
+        tree.count, tree.encoded = count, 0
+        tree._build(list(blocks), list(tokens))
         return tree
 
+    def _build(self, blocks: list[str], tokens: list[int]) -> None:
+        self.size = 1 << (len(blocks) - 1).bit_length()
+        more = self.size - len(blocks)
+        self.blocks = blocks + [""] * more
+        self.chars = [0] * self.size + [len(b) for b in self.blocks]
+        self.tokens = [0] * self.size + tokens + [0] * more
+        for k in range(self.size - 1, 0, -1):
+            self._sum(k)
+
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -88,6 +96,20 @@ class Tree:
             k //= 2
             self._sum(k)
 
+    def _replace(self, first: int, last: int, blocks: list[str], tokens: list[int]) -> None:
+        """Put leaves in the place of first to last, in empty leaves after them too; without room, spread all leaves out."""
+        while last - first + 1 < len(blocks) and last + 1 < self.size and not self.blocks[last + 1]:
+            last += 1
+        if len(blocks) <= last - first + 1:
+            for k in range(first, last + 1):
+                new = k - first < len(blocks)
+                if new or self.blocks[k]:
+                    self._set(k, blocks[k - first] if new else "", tokens[k - first] if new else 0)
+            return
+        rows = [*zip(self.blocks[:first], self.tokens[self.size :], strict=False), *zip(blocks, tokens, strict=True), *zip(self.blocks[last + 1 :], self.tokens[self.size + last + 1 :], strict=True)]
+        rows = [x for b, t in rows if b for x in ((b, t), ("", 0))]
+        self._build([b for b, _ in rows], [t for _, t in rows])
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -120,12 +142,9 @@ class Tree:
                 break
             last = k - 1
             text += ahead
-        tokens = self.count(text)
         self.encoded += len(text)
-        self._set(first, text, tokens)
-        for leaf in range(first + 1, last + 1):
-            if self.blocks[leaf]:
-                self._set(leaf, "", 0)
+        blocks = cut(text)
+        self._replace(first, last, blocks, list(map(self.count, blocks)))
 
 
 EDIT = "struct<start:int,stop:int,text:string>"

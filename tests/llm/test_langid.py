@@ -1,5 +1,10 @@
+import math
+import random
 from zlib import crc32
 
+import numpy as np
+import pytest
+
 from tallyloom.llm import langid
 
 
@@ -26,6 +31,74 @@ def test_mixtures(spark, small):
     assert model.predict(en[:n])[1:] == (1.0, ["en"])
 
 
+def plain_mixture(model, codes):
+    """Expectation-maximisation over every trigram one by one, in doubles."""
+    x = model.loglik.astype(np.float64)[codes]
+
+    def em(some):
+        p = [[math.exp(v) for v in row] for row in x[:, some]]
+        pi = [1 / len(some)] * len(some)
+        for _ in range(langid.ROUNDS if len(some) > 1 else 0):
+            sums = [0.0] * len(some)
+            for row in p:
+                total = sum(a * b for a, b in zip(pi, row, strict=True))
+                for k, v in enumerate(row):
+                    sums[k] += pi[k] * v / total
+            new = [s / len(p) for s in sums]
+            done = max(abs(a - b) for a, b in zip(new, pi, strict=True)) < 1e-3
+            pi = new
+            if done:
+                break
+        return pi, sum(math.log(sum(a * b for a, b in zip(pi, row, strict=True))) for row in p)
+
+    shares, _ = em(list(range(len(model.langs))))
+    order = sorted(range(len(shares)), key=lambda k: -shares[k])
+    best, lik = ([order[0]], [1.0]), em(order[:1])[1]
+    for k in range(2, len(order) + 1):
+        if shares[order[k - 1]] < 0.02:
+            break
+        some, more = em(order[:k])
+        if more - langid.PENALTY * math.log(len(codes)) <= lik:
+            break
+        best, lik = (order[:k], some), more
+    return sorted(((s, model.langs[k]) for k, s in zip(*best, strict=True)), reverse=True)
+
+
+def test_against_a_plain_em(small):
+    model = langid.fit(small)
+    texts = [r.text for r in small.collect() if r.text]
+    mixed = [a[:400] + " " + b[:300] + " " + c[:200] for a, b, c in zip(texts, texts[7:], texts[19:], strict=False)]
+    checked = 0
+    for text in [*texts[:60], *mixed[:40]]:
+        codes = langid.grams(text[:2000])
+        if langid.has_letter(text[:2000]) and len(codes):
+            want, (main, share, langs) = plain_mixture(model, codes), model.predict(text[:2000])
+            assert [lang for _, lang in want] == langs and main == langs[0] and share == pytest.approx(want[0][0], abs=1e-3)
+            checked += 1
+    assert checked > 60
+
+
+def test_long_texts_take_bounded_memory(small):
+    model = langid.fit(small)
+    text = " ".join(r.text for r in small.collect() if r.lang == "en" and r.text)
+    long = text * (4_000_000 // len(text) + 1)
+    assert len(langid._distinct(langid.grams(long))[0]) <= langid.GRAMS
+    assert model.predict(long)[::2] == ("en", ["en"])
+
+
+def test_even_mixtures_stay_and_noise_goes(spark, small):
+    model = langid.fit(small)
+    by = {}
+    for r in small.collect():
+        if r.text and len(r.text) > 600:
+            by.setdefault(r.lang, r.text[:600])
+    assert len(by) >= 4 and model.known(" ".join(by.values()))
+    rng = random.Random(3)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400))
+    assert not model.known(noise) and not model.known(None) and not model.known("123")
+    assert sum(map(model.known, (r.text for r in small.collect()))) >= 0.98 * small.count()
+
+
 def test_only_training_rows_count(spark, small):
     held = small.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
     assert langid.fit(held).langs == []

@@ -40,6 +40,17 @@ def test_failed_rules_are_named(spark):
     assert "symbols" in rows[1].failed and rows[2].failed == ["few_stop_words"] and not rows[3].kept
 
 
+def test_rules_speak_of_their_scripts_only(spark):
+    texts = {
+        1: "Это простой текст на русском языке который говорит о погоде и о том как люди живут в большом городе зимой когда холодно и рано темнеет",
+        2: "我们 " + "今天天气很好我们去公园散步然后回家吃饭" * 3 + "。 " + " ".join(f"第{k}章节内容很多很多很多很多很多很多很多很多很多" for k in range(25)),
+        3: "Bu sabah erken kalktım ve pencereyi açtım çünkü hava çok güzeldi sonra bir kahve içtim ve uzun bir yürüyüş için dışarı çıktım",
+        4: "Wczoraj wieczorem poszliśmy na spacer nad rzekę i długo rozmawialiśmy o tym co nas czeka w nowym roku bo nie było nam zimno",
+    }
+    rows = {r.doc_id: r for r in quality.assess(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(rows[k].kept for k in texts), {k: r.failed for k, r in rows.items()}
+
+
 def test_one_projection(small):
     plan = small.sparkSession._jvm.PythonSQLUtils.explainString(quality.assess(small)._jdf.queryExecution(), "simple")
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan

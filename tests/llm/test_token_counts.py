@@ -30,6 +30,39 @@ def test_little_is_encoded_anew():
     assert tree.encoded < 3 * token_counts.LEAF
 
 
+def test_leaves_split():
+    """Many edits at one place, and scripts without blanks: what is encoded anew stays bounded."""
+    tree = token_counts.Tree("word " * 2000, COUNT)
+    text = "word " * 2000
+    for k in range(300):
+        new = f"inserted passage number {k}, with a few words more " + "xyz " * 3
+        tree.edit(5000, 5000, new)
+        text = text[:5000] + new + text[5000:]
+    assert tree.total == COUNT(text) and "".join(tree.blocks) == text
+    assert tree.encoded < 300 * 4 * token_counts.LEAF and max(map(len, tree.blocks)) < 3 * token_counts.LEAF
+    japanese = "日本語の文章、句読点がある。" * 2500
+    tree = token_counts.Tree(japanese, COUNT)
+    assert max(map(len, tree.blocks)) < 2 * token_counts.LEAF and tree.total == COUNT(japanese)
+    tree.edit(20_000, 20_003, "新しい。")
+    assert tree.total == COUNT(japanese[:20_000] + "新しい。" + japanese[20_003:]) and tree.encoded < 4 * token_counts.LEAF
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 40), TEXT), max_size=12))
+def test_many_edits_with_small_leaves(edits):
+    before, token_counts.LEAF = token_counts.LEAF, 16
+    try:
+        text = "one two, three's\n\n  four 5678 日本。語 " * 20
+        tree = token_counts.Tree(text, COUNT)
+        for start, n, new in edits:
+            start = min(start, len(text))
+            tree.edit(start, start + n, new)
+            text = text[:start] + new + text[min(start + n, len(text)) :]
+            assert "".join(tree.blocks) == text and tree.total == COUNT(text) == tree.tokens[1]
+    finally:
+        token_counts.LEAF = before
+
+
 def plain(text, edits):
     for start, stop, new in edits:
         start = max(0, min(start, len(text)))
