@@ -16,7 +16,7 @@ scored in a stream that holds one block's answers at a time.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +35,9 @@ FOLDS, HELD = 7, 2
 END = 10  # no word holds a line feed
 #: A task passes its partial counts on when it holds so many.
 HELD_ENTRIES = 1_000_000
+_PAD = b"\n" * DEPTH
+#: Bytes of texts whose grams are looked up at once.
+PART = 2_000_000
 #: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
 BLOCK_BYTES = 32 << 20
 
@@ -43,15 +46,33 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """For each symbol of the text and the end: it and the DEPTH bytes before it, packed; before the text are end symbols."""
-    raw = np.frombuffer(b"\n" * DEPTH + b" ".join(words) + b"\n", np.uint8).astype(np.int64)
-    n = len(raw) - DEPTH
-    out = np.zeros(n, np.int64)
-    for k in range(DEPTH + 1):
-        out <<= 8
-        out |= raw[k : k + n]
-    return out
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of the texts (words joined by one blank) and their ends: it and the DEPTH bytes before it, packed;
+    before a text are end symbols. And where each text begins among them.
+
+    Of all texts at once: codes of pairs make those of four bytes, and both those of six."""
+    raw = np.frombuffer(b"".join([x for t in texts for x in (_PAD, t, b"\n")]), np.uint8)
+    pairs = raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]
+    fours = pairs[:-2].astype(np.uint32) << np.uint32(16) | pairs[2:]
+    codes = fours[:-2].astype(np.int64) << 16 | pairs[4:]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    starts = np.cumsum(sizes) - sizes
+    inside = np.ones(len(codes), bool)  # but for codes whose last byte is of a later text's padding
+    pads = starts[1:] + DEPTH * np.arange(len(texts) - 1)
+    inside[(pads[:, None] + np.arange(DEPTH)).ravel()] = False
+    return codes[inside], starts
+
+
+def _parts(texts: list, size=len) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PART bytes."""
+    at = held = 0
+    for k, t in enumerate(texts):
+        if held and held + size(t) > PART:
+            yield at, k
+            at, held = k, 0
+        held += size(t)
+    if held or at < len(texts):
+        yield at, len(texts)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -118,15 +139,19 @@ def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     waiting = 0
     for batch in batches:
+        rows = defaultdict(list)
         for block, train, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            codes = grams(words_of(body))
-            raw.setdefault((block, train), []).append(codes)
-            waiting += len(codes)
-        if waiting > 4_000_000:
-            pack()
-            waiting = 0
-            if sum(len(p[0][0]) for p in held.values()) > 2 * HELD_ENTRIES:
-                yield from out()
+            rows[block, train].append(b" ".join(words_of(body)))
+        for key, texts in rows.items():
+            for i, j in _parts(texts):
+                codes = grams(texts[i:j])[0]
+                raw.setdefault(key, []).append(codes)
+                waiting += len(codes)
+                if waiting > 4_000_000:
+                    pack()
+                    waiting = 0
+                    if sum(len(p[0][0]) for p in held.values()) > 2 * HELD_ENTRIES:
+                        yield from out()
     pack()
     yield from out()
 
@@ -192,14 +217,17 @@ def _score(f: float, train_tokens: int):
                         flat, at = np.unique(np.concatenate(codes), return_index=True)
                         ready = pd.Index(flat), np.concatenate(probs).astype(np.float64)[at]
                         codes, probs = [], []
-                    for doc, held, body in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("body").to_pylist(), strict=True):
-                        words = words_of(body)
-                        c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
-                        at = ready[0].get_indexer(grams(words))
-                        if len(at) and at.min() < 0:
+                    docs = [*zip(part.column("id").to_pylist(), part.column("held").to_pylist(), map(words_of, part.column("body").to_pylist()), strict=True)]
+                    texts = [b" ".join(words) for _, _, words in docs]
+                    for i, j in _parts(texts):
+                        found, starts = grams(texts[i:j])
+                        at = ready[0].get_indexer(found)
+                        if at.min() < 0:
                             raise ValueError(f"block {block} holds a gram that it didn't ask for")
                         lp = ready[1][at]
-                        out.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], lp, f), float(lp.sum())))
+                        for (doc, held, words), x in zip(docs[i:j], np.split(lp, starts[1:]), strict=True):
+                            c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
+                            out.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], x, f), float(x.sum())))
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
 

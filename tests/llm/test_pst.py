@@ -80,7 +80,7 @@ def test_held_out_texts_score_better_than_base(spark):
 def test_distributions_sum_to_one(spark):
     counts = Counter()
     for text in ("the cat sat", "the dog sat", "a cat ran"):
-        counts.update(pst.grams(text.encode().split()).tolist())
+        counts.update(pst.grams([text.encode()])[0].tolist())
     context = b"\nthe "[-pst.DEPTH :]
     base = int.from_bytes(context, "big") << 8
     grams = [(g, n) for g, n in counts.items()] + [(base | y, 0) for y in range(256) if base | y not in counts]
@@ -112,6 +112,17 @@ def test_blocks_do_not_depend_on_splits(spark, tmp_path):
     assert len({split for split, _ in seen}) == 2 and len({blocks for _, blocks in seen}) == 1
 
 
+def test_grams_of_many_texts():
+    texts = [b"", b"a", b"the cat", b"", b"x" * 20, b""]
+    codes, starts = pst.grams(texts)
+    want = []
+    for t in texts:
+        s = b"\n" * pst.DEPTH + t + b"\n"
+        want.append([int.from_bytes(s[i - pst.DEPTH : i + 1], "big") for i in range(pst.DEPTH, len(s))])
+    assert [x.tolist() for x in pst.np.split(codes, starts[1:])] == want
+    assert [*pst._parts([b"a" * 1_500_000, b"b" * 1_500_000, b"", b"c"])] == [(0, 1), (1, 4)] and [*pst._parts([])] == [] and [*pst._parts([b""])] == [(0, 1)]
+
+
 def test_a_missing_answer_is_an_error():
     words = pa.record_batch({"block": pa.array([1], pa.int64()), "kind": pa.array([0], pa.int32()), "id": pa.array([5], pa.int64()), "value": pa.array([None], pa.float32()), "held": pa.array([None], pa.bool_()), "body": pa.array([b"\n"], pa.binary())})
     grams = pa.record_batch({"block": pa.array([1], pa.int64()), "kind": pa.array([1], pa.int32()), "id": pa.array([7], pa.int64()), "value": pa.array([-1.0], pa.float32()), "held": pa.array([None], pa.bool_()), "body": pa.array([None], pa.binary())})
