@@ -68,22 +68,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-#: A key is hot with over HOT_ROWS rows that are over this share of all: there are fewer than 1 / HOT_SHARE of them.
-HOT_SHARE, HOT_ROWS = 1e-4, 1000
+#: A key is hot with over this share of all rows (and some number at least): there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
 
 
-def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, least: int = 1000) -> DataFrame:
     """Inner join of rows to groups (one row a key; `size`: its number of rows out of `total`) on keys without nulls, dropping `size`.
 
-    Hot groups are fewer than 1 / HOT_SHARE, whatever the input, and are broadcast, so their rows stay where they are;
-    each of the others is small enough for one task of a shuffled join."""
-    if total <= HOT_ROWS:
+    Groups of over `least` rows and HOT_SHARE of all are fewer than 1 / HOT_SHARE, whatever the input, and are broadcast,
+    so their rows stay where they are; each of the others is small enough for one task of a shuffled join."""
+    if total <= least:
         return rows.join(groups.drop(size), keys)
-    hot = F.col(size) > max(HOT_ROWS, total * HOT_SHARE)
-    few = F.broadcast(groups.filter(hot).select(*keys, F.lit(True).alias("__hot")))
-    marked = rows.join(few, keys, "left")
-    at_once = marked.filter("__hot").drop("__hot").join(F.broadcast(groups.filter(hot).drop(size)), keys)
-    return at_once.unionByName(marked.filter("__hot is null").drop("__hot").join(groups.filter(~hot).drop(size), keys))
+    hot = F.col(size) > max(least, total * HOT_SHARE)
+    values = [c for c in groups.columns if c not in (*keys, size)]
+    marked = rows.join(F.broadcast(groups.filter(hot).drop(size).withColumn("__hot", F.lit(True))), keys, "left")
+    others = marked.filter("__hot is null").select(*rows.columns).join(groups.filter(~hot).drop(size), keys)
+    return marked.filter("__hot").select(*rows.columns, *values).unionByName(others)
 
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .common import meet, written
 
 
+#: Links of one node, of 16 bytes each, that a task takes in its stride.
+HUB = 100_000
+
+
 def _star(pairs: DataFrame, larger: bool, total: int) -> DataFrame:
     """pairs(u, v) both ways round. Large star: larger neighbours go to the least node around u; small star: u and its smaller neighbours do."""
     side = pairs.filter(F.col("v") > F.col("u")) if larger else pairs.filter(F.col("v") < F.col("u"))
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    moved = meet(side, least, ["u"], "n", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = meet(side, least, ["u"], "n", total, HUB).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not larger:
         moved = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -25,8 +29,8 @@ def _both(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node in edges(a, b); rounds grow with the logarithm of the longest chain.
 
-    Minima are pre-aggregated, and the few hubs that hold a notable share of all links meet them by a broadcast of
-    bounded size, so no task gets a hub's links. Only two numbers a round, count and checksum, reach the driver."""
+    Minima are pre-aggregated. A hub's links meet its minimum in one task up to HUB links; the hubs above that which
+    hold a notable share of all links are few and meet theirs by a broadcast of bounded size. Only two numbers a round, count and checksum, reach the driver."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:

@@ -37,7 +37,7 @@ END = 10  # no word holds a line feed
 HELD_ENTRIES = 1_000_000
 _PAD = b"\n" * DEPTH
 #: Bytes of texts whose grams are looked up at once.
-PART = 2_000_000
+PART = 500_000
 #: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
 BLOCK_BYTES = 32 << 20
 
@@ -147,7 +147,7 @@ def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes = grams(texts[i:j])[0]
                 raw.setdefault(key, []).append(codes)
                 waiting += len(codes)
-                if waiting > 4_000_000:
+                if waiting > 2_000_000:
                     pack()
                     waiting = 0
                     if sum(len(p[0][0]) for p in held.values()) > 2 * HELD_ENTRIES:

@@ -73,6 +73,13 @@ def test_hot_posting_list_in_chunks(spark):
         assert {i: got.get(i, i) for i in range(len(fps))} == want
 
 
+def test_hubs_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.components.HUB", 10)
+    edges = spark.createDataFrame([(i, 500) for i in range(3, 300)] + [(1000 + i, 1001 + i) for i in range(4)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {i: 3 for i in [*range(3, 300), 500]} | {1000 + i: 1000 for i in range(5)}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
