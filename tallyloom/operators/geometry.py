@@ -55,7 +55,7 @@ def columnar_rows(words: DataFrame, split: Column, bucket: float = 4.0) -> DataF
     amount = F.element_at("amounts", 1)
     credit = amount["x0"] < split
     value = F.abs(clean_money(amount["text"]))
-    text = F.trim(F.array_join(F.transform(F.filter(F.slice("w", 2, 10_000), lambda x: ~x["text"].rlike(_MONEY)), lambda x: x["text"]), " "))
+    text = F.trim(F.array_join(F.transform(F.filter(F.slice("w", F.lit(2), F.size("w")), lambda x: ~x["text"].rlike(_MONEY)), lambda x: x["text"]), " "))
     return rows.select("statement", "page", "line_no", F.element_at("w", 1)["text"].alias("Date"), text.alias("Description"), F.when(credit, 0.0).otherwise(value).alias("Debit"), F.when(credit, value).otherwise(0.0).alias("Credit"))
 
 

@@ -18,7 +18,10 @@ def percent(part, whole):
 
 
 def statement_metrics(ledger: DataFrame, summary: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
-    """One row a statement. summary(statement, credits_amount, debits_amount), where it has an amount, overrules the ledger's sums.
+    """One row a statement of the ledger or of the summary; one without rows has sums and counts of 0.
+
+    summary(statement, credits_amount, debits_amount), where it has an amount, overrules the ledger's sums; its
+    nsf_in_text, if it has that column, overrules a smaller nsf_count.
 
     All parts are grouped by statement, so they meet without another shuffle of the ledger."""
     found = found if found is not None else with_lender(ledger)
@@ -26,9 +29,12 @@ def statement_metrics(ledger: DataFrame, summary: DataFrame | None = None, found
     advances = lender_credits(found).groupBy("statement").agg(total(F.col("amount")).alias("lender_credits"))
     rows = sums(ledger).join(counts(ledger), "statement").join(obligation, "statement", "left").join(advances, "statement", "left").fillna(0.0, ["lender_debits", "lender_credits"])
     if summary is not None:
-        rows = rows.join(summary.select("statement", "credits_amount", "debits_amount"), "statement", "left")
+        said = summary if "nsf_in_text" in summary.columns else summary.withColumn("nsf_in_text", F.lit(0))
+        rows = rows.join(said.select("statement", "credits_amount", "debits_amount", "nsf_in_text"), "statement", "full")
+        rows = rows.fillna(0, ["credits", "debits", "nsf_count", "loan_count", "pos_count", "avg_daily_balance", "lender_debits", "lender_credits"])
+        rows = rows.withColumn("nsf_count", F.greatest("nsf_count", F.coalesce("nsf_in_text", F.lit(0)).cast("long")))
         said = (F.coalesce("credits_amount", F.lit(0.0)) > 0) | (F.coalesce("debits_amount", F.lit(0.0)) > 0)
-        rows = rows.withColumns({"credits": F.when(said, F.col("credits_amount")).otherwise(F.col("credits")), "debits": F.when(said, F.col("debits_amount")).otherwise(F.col("debits"))})
+        rows = rows.withColumns({"credits": F.when(said, F.coalesce("credits_amount", F.lit(0.0))).otherwise(F.col("credits")), "debits": F.when(said, F.coalesce("debits_amount", F.lit(0.0))).otherwise(F.col("debits"))})
     rows = rows.withColumn("true_revenue", F.round(F.col("credits") - F.col("lender_credits"), 2)).withColumn("cash_flow", F.round(F.col("credits") - F.col("debits"), 2))
     rows = rows.withColumn("withholding_rate", F.round(percent(F.col("lender_debits"), F.col("true_revenue")), 4))
     return rows.select("statement", "credits", "debits", "cash_flow", "lender_debits", "lender_credits", "true_revenue", "withholding_rate", "nsf_count", "loan_count", "pos_count", "avg_daily_balance")

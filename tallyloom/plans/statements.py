@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance, ledger, lenders, parsers, rollup, summary
 from ..operators.lines import to_lines
+from ..operators.metrics import nsf_in_text
 
 #: Row parsers by bank; every other bank's rows come from the universal parser, then the simple one.
 BY_BANK = {"Chase": parsers.chase, "Capital One": parsers.capital_one, "Regions": parsers.regions, "Bank of America": parsers.bank_of_america}
@@ -22,11 +23,12 @@ def parse(texts: DataFrame, year: Column) -> DataFrame:
 
 
 def process(texts: DataFrame, year: Column) -> dict[str, DataFrame]:
-    """ledger, metrics, lenders, totals, averages of (statement, text). Nothing runs until one of them is used; keyed by statement throughout."""
+    """ledger, metrics, lenders, totals, averages of (statement, text), a row in metrics for each statement. Nothing runs until one of them is used; keyed by statement throughout."""
     raw = lenders.repair_direction(parse(texts, year))
     rows = ledger.prepare(raw, year).withColumns({"Section": F.lit(""), "Raw Line": F.lit("")})
     found = lenders.with_lender(rows)
-    metrics = rollup.statement_metrics(rows, summary.route(texts), found)
+    printed = texts.select("statement", nsf_in_text(F.col("text")).alias("nsf_in_text")).join(summary.route(texts), "statement", "left")
+    metrics = rollup.statement_metrics(rows, printed, found)
     balances = balance.average_balance(texts).select("statement", "average")
     metrics = metrics.join(balances, "statement", "left").withColumn("avg_daily_balance", F.coalesce("average", "avg_daily_balance")).drop("average")
     total = rollup.totals(metrics)

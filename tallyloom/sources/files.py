@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,14 +58,27 @@ def plain_text(name: str, content: bytes) -> str:
 
 
 def saved_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """name, type; a missing or damaged file has none."""
+    """name, type; a missing or damaged file has none. A file of one JSON array, or what save_keywords wrote: an object a line."""
     schema = "name string, type string"
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    ours = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).filter("name is not null")
+        return spark.read.schema(schema).option("multiLine", not ours).option("mode", "DROPMALFORMED").json(path).filter("name is not null")
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
 def save_keywords(saved: DataFrame, path: str) -> None:
-    """The whole file anew."""
-    saved.coalesce(1).write.mode("overwrite").json(path)
+    """The whole file anew. It is written beside the old one, which `saved` may still be reading, and then renamed into its place; a failure leaves the old one."""
+    spark = saved.sparkSession
+    new, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}" for _ in range(2))
+    saved.coalesce(1).write.json(new)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(place(path)) and files.rename(place(path), place(old))
+    if not files.rename(place(new), place(path)):
+        if had:
+            files.rename(place(old), place(path))
+        raise OSError(f"can't put the new keywords in the place of {path}")
+    if had:
+        files.delete(place(old), True)

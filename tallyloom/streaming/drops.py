@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.money import total
 from ..operators.ledger import prepare
 
 
@@ -20,4 +21,4 @@ def ledger_stream(spark: SparkSession, path: str, schema: StructType | str) -> D
 def daily_sums(ledger: DataFrame, late: str = "7 days") -> DataFrame:
     """Credits and debits of each day; a day is closed when the watermark has passed it."""
     rows = ledger.withColumn("at", F.col("Date").cast("timestamp")).withWatermark("at", late)
-    return rows.groupBy(F.window("at", "1 day").alias("day")).agg(F.sum("Credit").alias("credits"), F.sum("Debit").alias("debits"), F.count("*").alias("rows"))
+    return rows.groupBy(F.window("at", "1 day").alias("day")).agg(total(F.col("Credit")).alias("credits"), total(F.col("Debit")).alias("debits"), F.count("*").alias("rows"))
