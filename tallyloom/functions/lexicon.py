@@ -297,6 +297,17 @@ TD_ON, TD_OFF = r"DAILY\s*ACCOUNT\s*ACTIVITY", r"DAILY\s*BALANCE\s*SUMMARY|HOW\s
 TD_CREDIT_HEADER = r"^(DEPOSITS?(\s|$|\()|ELECTRONIC\s*DEPOSITS?|OTHER\s*CREDITS?)"
 TD_DEBIT_HEADER = r"^(CHECKS?\s*PAID|ELECTRONIC\s*PAYMENTS?|OTHER\s*WITHDRAWALS?|SERVICE\s*CHARGES?)"
 TD_NOISE = r"CALL\s*1-800|FDIC\s*INSURED|EQUAL\s*HOUSING|TD\s*BANK,?\s*N\.?A\.?|AMERICA.?S\s*MOST\s*CONVENIENT|^(Page\s*:|Statement\s*Period\s*:|Cust\s*Ref|Primary\s*Account|xxxxxx)|POSTING\s*DATE|SUBTOTAL|^DATE.*(SERIAL|AMOUNT)"
+TD_CANADA_SKIP = r"(?i)^(BALANCE\s+FORWARD|DESCRIPTION|0\s+CHQS|NEXT\s+STATEMENT|MONTHLY\s+AVER|MONTHLY\s+MIN|DEP\s+CONTENT|Credits\b|Debits\b|NO\.\s*AMOUNT)"
+TD_CANADA_CREDIT = r"\bTFR-FR\b|\bMSP\b"
+TD_CANADA_DEBIT = r"\bTFR-TO\b|\bSEND\s+E-TFR\b|\bFEE\b|\bPAYMENT\b|\bCHARGE\b|\bINTEREST\b|\bWITHDR"
+RBC_SKIP = r"opening\s*balance|closing\s*balance|account\s*fees?|account\s*activity\s*details"
+RBC_CREDIT = r"ATM\s*deposit|e-Transfer\s*received|Online\s*transfer\s*received|Misc\s*Payment\s*MRCH\d+|Cheque\s*returned|Item\s*returned|Web\s*payment\s*BIZFUND\s*CA\s*LTD"
+RBC_DEBIT = (
+    r"Monthly\s*fee|Regular\s*transaction\s*fee|ATM\s*cash\s*deposited\s*fee|In\s*branch\s*cash\s*deposited\s*fee|NSF\s*item\s*fee|Online\s*Banking\s*payment|Online\s*Banking\s*transfer"
+    r"|e-Transfer\s*sent|Online\s*transfer\s*sent|Cheque\s*-\s*\d|Interac\s*purchase|Contactless\s*Interac|Bill\s*Payment|Insurance|Equipment\s*Rent|Business\s*PAD"
+    r"|Misc\s*Payment\s*Fundfi|Misc\s*Payment\s*BIZFUND\s*ACHDEBIT|Misc\s*Payment\s*2313833|Misc\s*Payment\s*PAY-FILE|Misc\s*Payment\s*Canacap"
+)
+RBC_MERCHANT = r"Misc\s*Payment\s*MRCH\d+"
 TD_CHECKS = r"(\d{2}/\d{2})\s+(\d+\*?)\s+([\d,]+\.\d{2})"
 REGIONS_CREDIT_HEADER, REGIONS_DEBIT_HEADER = r"^DEPOSITS\s*&?\s*CREDITS\b", r"^(WITHDRAWALS|FEES)\b"
 REGIONS_STOP = r"^Total\s+(Deposits|Withdrawals|Overdraft|Returned|For\s+This|Calendar)"

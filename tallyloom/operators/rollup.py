@@ -68,3 +68,24 @@ def monthly_summary(ledger: DataFrame) -> DataFrame:
     """month, revenue, debits, transactions, nsf, cash flow and debit rate by calendar month."""
     rows = ledger.withColumn("Month", F.date_format("Date", "MMMM yyyy")).groupBy("Month").agg(total(F.col("Credit")).alias("Monthly_Revenue"), total(F.col("Debit")).alias("Monthly_Debits"), F.count("Amount").alias("Transaction_Count"), F.count_if(nsf_flag(F.col("Description"))).alias("NSF_Count"))
     return rows.withColumn("Monthly_Cash_Flow", F.round(F.col("Monthly_Revenue") - F.col("Monthly_Debits"), 2)).withColumn("Withholding_Rate", F.round(percent(F.col("Monthly_Debits"), F.col("Monthly_Revenue")), 4)).orderBy("Month")
+
+
+def withholding_preview(totalled: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row: rate and change if picked(type, amount) joined the lender debits; the rate is of all credits, 0 without any."""
+    added = picked.agg(F.coalesce(total(F.when(F.col("type") == "debit", F.col("amount"))), F.lit(0.0)).alias("added")).withColumn("__k", F.lit(0))
+    rows = totalled.withColumn("__k", F.lit(0)).join(added, "__k")
+    rate = percent(F.col("lender_debits") + F.col("added"), F.col("credits"))
+    return rows.select(F.round(rate, 4).alias("rate"), F.round(rate - F.col("withholding_rate"), 4).alias("change"))
+
+
+def gross_totals(metrics: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: totals with withholding of gross credits, NSF rows of all ledger rows, and whole mean NSF and loan counts."""
+    sums = metrics.agg(*[total(F.col(c)).alias(c) for c in ("credits", "debits", "lender_debits", "lender_credits")], F.round(F.avg("avg_daily_balance"), 2).alias("avg_daily_balance"), F.floor(F.avg("nsf_count")).alias("monthly_nsf"), F.floor(F.avg("loan_count")).alias("monthly_loans"))
+    flagged = ledger.agg(F.count_if(nsf_flag(F.col("Description"))).alias("nsf_count")).withColumn("__k", F.lit(0))
+    rows = sums.withColumn("__k", F.lit(0)).join(flagged, "__k").drop("__k")
+    return rows.withColumns({"cash_flow": F.round(F.col("credits") - F.col("debits"), 2), "withholding_rate": F.round(percent(F.col("lender_debits"), F.col("credits")), 4)})
+
+
+def funders(found: DataFrame) -> DataFrame:
+    """One row: whether any row of with_lender() names a lender, and their names in order."""
+    return found.filter(F.col("lender").isNotNull()).agg((F.count("*") > 0).alias("funding_detected"), F.array_sort(F.collect_set("lender")).alias("funders"))

@@ -97,3 +97,35 @@ def search(table: DataFrame, text: str, sort: str, page: int, size: int = 20, de
 def date_range(dates: Column) -> Column:
     """First to last month, as an aggregate."""
     return F.concat_ws(" – ", F.date_format(F.min(dates), "MMM yyyy"), F.date_format(F.max(dates), "MMM yyyy"))
+
+
+def month_label(day: Column, name: Column) -> Column:
+    """`Jan '24` of a yyyy-MM-dd text, else up to ten characters of the file's name without its extension, else empty."""
+    month = F.regexp_extract(day, r"^[^-]*-(\d+)", 1).try_cast("int")
+    labels = F.array(*[F.lit(m[:3].title()) for m in MONTHS])
+    label = F.concat(F.element_at(labels, F.when(month.between(1, 12), month)), F.lit(" '"), F.substring(F.split(day, "-")[0], 3, 100))
+    return F.coalesce(label, F.substring(F.regexp_replace(name, r"\.[^.]+$", ""), 1, 10), F.lit(""))
+
+
+def short_dollars(value: Column) -> Column:
+    """$1.2M from a million on, $3k from a thousand on, else the value as it is."""
+    scaled = lambda by, digits: F.round(value / by, digits).cast(f"decimal(30,{digits})").cast("string")
+    plain = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    return F.when(F.abs(value) >= 1_000_000, F.concat(F.lit("$"), scaled(1_000_000, 1), F.lit("M"))).when(F.abs(value) >= 1000, F.concat(F.lit("$"), scaled(1000, 0), F.lit("k"))).otherwise(F.concat(F.lit("$"), plain))
+
+
+def usual_year(names: DataFrame, otherwise: Column) -> DataFrame:
+    """One row, year: the most frequent 20yy in names(position, filename), of equally frequent ones that met first, else the given one."""
+    years = names.select("position", F.posexplode(F.regexp_extract_all(F.lower("filename"), F.lit(r"\b(20\d{2})\b"), 1)).alias("k", "year"))
+    counted = years.groupBy("year").agg(F.count("*").alias("n"), F.min(F.struct("position", "k")).alias("first"))
+    return counted.agg(F.coalesce(F.min_by(F.col("year").cast("int"), F.struct(-F.col("n"), F.col("first"))), otherwise).alias("year"))
+
+
+def sales_rep(client: Column) -> Column:
+    """Client number up to its first hyphen, `unknown` if that is blank."""
+    return F.coalesce(F.nullif(F.trim(F.split(client, "-")[0]), F.lit("")), F.lit("unknown"))
+
+
+def month_bars(metrics: DataFrame, day: str) -> DataFrame:
+    """The grouped bars and the cash flow line of statements, labelled `Jan 2024`, by date with undated ones last."""
+    return metrics.orderBy(F.asc_nulls_last(day)).select("statement", F.date_format(day, "MMM yyyy").alias("label"), "credits", "debits", "lender_debits", F.round(F.col("credits") - F.col("debits"), 2).alias("cash_flow"))

@@ -114,12 +114,14 @@ def q_section_sum(spark, d):
     return rows.select(F.col("l_orderkey").alias("statement"), summary.section_sum(F.when(F.col("n") > 1, F.concat_ws(" ", "t", F.format_number("s", 2))).otherwise(F.col("t"))).alias("total"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(o_orderdate::DATE + 30, '%Y-%m-%d') AS stop FROM orders WHERE o_orderdate >= '2000-01-01' AND o_orderdate::DATE + 30 < '2069-01-01'""")
+_READ = "CASE WHEN year({0}) < 2000 THEN {0} + INTERVAL 100 YEAR ELSE {0} END"  # the text has two digits of the year
+
+
+@query(f"""SELECT o_orderkey, strftime({_READ.format('d')}, '%Y-%m-%d') AS start, strftime({_READ.format('e')}, '%Y-%m-%d') AS stop FROM (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderdate::DATE + 30 AS e FROM orders)""")
 def q_period(spark, d):
     day = lambda c: F.upper(F.date_format(c, "MMM dd/yy"))
-    orders = load(spark, d, "orders").filter("o_orderdate >= '2000-01-01'")
     text = F.concat(F.lit("Account 1\n"), day(F.col("o_orderdate")), F.lit(" - "), day(F.date_add("o_orderdate", 30)))
-    return orders.withColumn("p", dates.period(text)).select("o_orderkey", F.date_format("p.start", "yyyy-MM-dd").alias("start"), F.date_format("p.stop", "yyyy-MM-dd").alias("stop"))
+    return load(spark, d, "orders").withColumn("p", dates.period(text)).select("o_orderkey", F.date_format("p.start", "yyyy-MM-dd").alias("start"), F.date_format("p.stop", "yyyy-MM-dd").alias("stop"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN '2023-03-01' ELSE '2024-07-01' END AS day FROM orders""")
