@@ -106,6 +106,61 @@ def td_canada(pages: DataFrame, cells: DataFrame, words: DataFrame, otherwise: C
     return tables.withColumn("row_no", F.col("row_no").cast("long")).unionByName(rest)
 
 
+def rbc_words(words: DataFrame) -> DataFrame:
+    """Ledger rows of words(statement, page, width, text, x0, x1, top), as td_words has them, with Balance.
+
+    Words of one height of tens are a line; a day alone joins the line below if that begins with a month. The first line
+    with CHEQUES and DEPOSITS places the columns, else shares 0.55, 0.72 and 0.88 of the width do. Dates carry on within a
+    page; lines without an amount lend their text to the next, until a date or a skipped line. Pages bound every group."""
+    key = "statement", "page"
+    on_page = Window.partitionBy(*key).orderBy("y")
+    lines = words.repartition("statement").groupBy(*key, F.col("width").cast("double").alias("width"), F.bround(F.col("top") / 10).cast("long").alias("y"))
+    lines = lines.agg(F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "text"))).alias("w"))
+    months = "|".join(m[:3] for m in L.MONTHS)
+    text_at = lambda k: F.coalesce(F.try_element_at("w", F.lit(k))["text"], F.lit(""))
+    lines = lines.withColumns({"lone": (F.size("w") == 1) & text_at(1).rlike(r"^\d{1,2}$"), "month": text_at(1).rlike(f"(?i)^({months})$")})
+    lines = lines.withColumns({"above": F.when(F.lag("lone").over(on_page) & F.col("month"), F.lag("w").over(on_page)), "taken": F.col("lone") & F.coalesce(F.lead("month").over(on_page), F.lit(False))})
+    lines = lines.filter(~F.col("taken")).withColumn("w", F.when(F.col("above").isNotNull(), F.concat("above", "w")).otherwise(F.col("w")))
+    said = F.upper(F.array_join("w.text", " "))
+    lines = lines.withColumn("head", said.contains("CHEQUES") & said.contains("DEPOSITS"))
+    lines = lines.withColumn("h", F.first(F.when(F.col("head"), F.struct("y", "w")), ignorenulls=True).over(Window.partitionBy(*key).orderBy("y").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    centre = lambda x: (x["x0"] + x["x1"]) / 2
+    column = lambda of: F.try_element_at(F.transform(F.filter(F.col("h.w"), of), centre), F.lit(1))
+    lines = lines.withColumns({"dx": column(lambda x: F.upper(x["text"]).contains("CHEQUES")), "cx": column(lambda x: F.upper(x["text"]).contains("DEPOSITS")), "bx": column(lambda x: F.upper(x["text"]).contains("BALANCE") & (x["x0"] > F.col("width") * 0.5))})
+    placed = F.col("dx").isNotNull() & F.col("cx").isNotNull()
+    lines = lines.withColumns({"dx": F.when(placed, F.col("dx")).otherwise(F.col("width") * 0.55), "cx": F.when(placed, F.col("cx")).otherwise(F.col("width") * 0.72), "bx": F.coalesce(F.when(placed, F.col("bx")), F.col("width") * 0.88)})
+    lines = lines.filter(F.col("h").isNull() | (F.col("h.y") != F.col("y")))
+    once = F.when(text_at(1).rlike(r"^(?:(.)\1)+$"), F.regexp_replace(text_at(1), r"(.)\1", "$1")).otherwise(text_at(1))
+    lines = lines.withColumn("once", once)
+    apart = F.col("once").rlike(r"^\d{1,2}$") & text_at(2).rlike(f"(?i)^({months})$")
+    joined = rf"(?i)^(\d{{1,2}})({months})(.*)$"
+    day = F.when(apart, F.concat_ws(" ", "once", text_at(2))).when(F.col("once").rlike(joined), F.concat_ws(" ", F.regexp_extract("once", joined, 1), F.initcap(F.regexp_extract("once", joined, 2))))
+    dropped = F.when(apart, 2).when(F.col("day").isNotNull(), 1).otherwise(0)
+    lines = lines.withColumn("day", day).withColumns({"rest": F.slice("w", dropped + 1, F.greatest(F.size("w") - dropped, F.lit(0))), "stuck": F.when(F.col("day").isNotNull() & ~apart, F.regexp_extract("once", joined, 3)).otherwise("")})
+    is_money = lambda x: x["text"].rlike(rf"^-?\$?{_AMOUNT}$") & (centre(x) >= F.least("dx", "cx") - 40)
+    side = lambda on: F.coalesce(F.abs(clean_money(F.try_element_at(F.filter("rest", lambda x: is_money(x) & (clean_money(x["text"]) != 0) & on(centre(x))), F.lit(-1))["text"])), F.lit(0.0))
+    nearer = lambda x: F.abs(x - F.col("dx")) <= F.abs(x - F.col("cx"))
+    text = F.trim(F.concat_ws(" ", F.nullif("stuck", F.lit("")), F.array_join(F.transform(F.filter("rest", lambda x: ~is_money(x)), lambda x: x["text"]), " ")))
+    before = F.col("bx") - 30
+    lines = lines.withColumns({"said": text, "Debit": side(lambda x: (x < before) & nearer(x)), "Credit": side(lambda x: (x < before) & ~nearer(x)), "Balance": side(lambda x: x >= before), "Date": F.last("day", ignorenulls=True).over(on_page)})
+    lines = lines.filter("Date IS NOT NULL").withColumns({"skipped": F.lower("said").rlike(L.RBC_SKIP), "paid": F.col("Debit") + F.col("Credit") + F.col("Balance") > 0})
+    # texts that wait for an amount: those since the last amount, date or skipped line
+    ends = F.coalesce(F.lag((F.col("paid") | F.col("skipped")).cast("int")).over(on_page), F.lit(1))
+    begins = F.when(F.col("day").isNotNull() | F.col("skipped"), 1).otherwise(ends)
+    lines = lines.withColumn("run", F.sum(begins).over(on_page))
+    waiting = F.array_join(F.filter(F.collect_list("said").over(Window.partitionBy(*key, "run").orderBy("y")), lambda x: x != ""), " ")
+    rows = lines.withColumn("Description", waiting).filter(~F.col("skipped") & (F.col("Debit") + F.col("Credit") > 0))
+    return rows.withColumns({"row_no": F.row_number().over(on_page).cast("long"), "part": F.lit(0)}).select(*_ROWS, "Balance")
+
+
+def rbc(tables: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of pages from tables, of pages without such rows from their words, of statements without either from their lines (page null)."""
+    rest = rbc_words(words.join(tables.select("statement", "page").distinct(), ["statement", "page"], "left_anti"))
+    found = tables.select(rest.columns).unionByName(rest)
+    text = rbc_text(lines.join(found.select("statement").distinct(), "statement", "left_anti")).withColumnRenamed("line_no", "row_no")
+    return found.unionByName(text.withColumn("part", F.lit(0)), allowMissingColumns=True)
+
+
 def _follow(lines: pd.DataFrame) -> pd.DataFrame:
     """Amount, side and balance of a statement's lines: each depends on the balance that the line before it left."""
     credit, debit, merchant = (re.compile(p, re.IGNORECASE) for p in (L.RBC_CREDIT, L.RBC_DEBIT, L.RBC_MERCHANT))

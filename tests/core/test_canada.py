@@ -47,3 +47,20 @@ Closing balance 1.00"""
         ("02 Jan", "COFFEE", 10.0, 0.0, 990.0), ("02 Jan", "SHOP", 0.0, 5.0, 995.0), ("03 Jan", "Regular transaction fee 7 Drs @", 17.5, 0.0, 0.0),
         ("03 Jan", "Misc Payment MRCH12", 0.0, 20.0, 0.0), ("4 Feb", "e-Transfer received", 0.0, 4.0, 0.0),
     ]
+
+
+def test_rbc_words_then_text(spark):
+    def put(page, y, *placed):
+        return [("s", page, 600.0, t, float(x), float(x + 20), float(y)) for t, x in placed]
+
+    got = (
+        put(1, 50, ("Cheques", 300), ("Deposits", 400), ("Balance", 500)) + put(1, 60, ("02", 0)) + put(1, 70, ("Jan", 0), ("FEE", 30), ("5.00", 300), ("95.00", 500)) + put(1, 80, ("PART", 30)) + put(1, 90, ("TWO", 30), ("7.00", 400))
+        + put(1, 100, ("Closing", 30), ("balance", 60), ("9.00", 500)) + put(1, 110, ("0033FFeebb", 0), ("X", 30), ("1.50", 300)) + put(2, 20, ("4Mar", 0), ("Y", 30), ("2.00", 322))
+    )
+    words = spark.createDataFrame(got, "statement string, page int, width double, text string, x0 double, x1 double, top double")
+    tables = spark.createDataFrame([], "statement string, page int, row_no long, part int, Date string, Description string, Debit double, Credit double, Balance double")
+    lines = spark.createDataFrame([("s", 0, "1 Jan Monthly fee 1.00"), ("t", 0, "1 Jan Monthly fee 1.00")], "statement string, line_no int, line string")
+    rows = canada.rbc(tables, words, lines).orderBy("statement", "page", "row_no").collect()
+    assert [(r.statement, r.page, r.Date, r.Description, r.Debit, r.Credit, r.Balance) for r in rows] == [
+        ("s", 1, "02 Jan", "FEE", 5.0, 0.0, 95.0), ("s", 1, "02 Jan", "PART TWO", 0.0, 7.0, 0.0), ("s", 1, "03 Feb", "X", 1.5, 0.0, 0.0), ("s", 2, "4 Mar", "Y", 2.0, 0.0, 0.0), ("t", None, "1 Jan", "Monthly fee", 1.0, 0.0, 0.0),
+    ]
