@@ -104,3 +104,17 @@ def q_gross_totals(spark, d):
 @query(S.upto(S.FOUND) + "SELECT count(*) > 0 AS funding_detected, array_to_string(list_sort(list_distinct(list(lender))), '; ') AS funders FROM found")
 def q_funders(spark, d):
     return rollup.funders(lenders.with_lender(ledger(spark, d))).select("funding_detected", F.array_join("funders", "; ").alias("funders"))
+
+
+@query(f"""WITH {S.LEDGER}, l AS (SELECT *, round(greatest(debit, credit) + 1, 2) AS amount, last_value(CASE WHEN row_no % 3 <> 0 THEN strftime(date, '%d %b') END IGNORE NULLS) OVER (PARTITION BY statement ORDER BY row_no) AS day FROM ledger)
+    SELECT statement, 1 AS page, row_number() OVER (PARTITION BY statement ORDER BY row_no) AS row_no, 0 AS part, day AS "Date", 'D' || row_no AS "Description", CASE WHEN debit > 0 THEN amount ELSE 0 END AS "Debit", CASE WHEN debit > 0 THEN 0 ELSE amount END AS "Credit", 1.0::DOUBLE AS "Balance" FROM l WHERE day IS NOT NULL""")
+def q_rbc_word_rows(spark, d):
+    rows = ledger(spark, d)
+    at = lambda text, x: F.struct(text.alias("text"), x.alias("x0"), (x + 20).alias("x1"))
+    dated = F.when(F.col("row_no") % 3 != 0, F.date_format("Date", "ddMMM"))
+    amount = F.format_number((F.greatest("Debit", "Credit") + 1).cast("decimal(18,2)"), 2)
+    placed = F.array(at(dated, F.lit(0.0)), at(F.concat(F.lit("D"), "row_no"), F.lit(40.0)), at(amount, F.when(F.col("Debit") > 0, 300.0).otherwise(400.0)), at(F.lit("1.00"), F.lit(500.0)))
+    page = F.col("statement"), F.lit(1).alias("page"), F.lit(600.0).alias("width")
+    body = rows.select(*page, (100.0 + 10 * F.col("row_no")).alias("top"), F.inline(placed)).filter("text IS NOT NULL")
+    head = F.array(*[at(F.lit(t), F.lit(x)) for t, x in (("Cheques", 300.0), ("Deposits", 400.0), ("Balance", 500.0))])
+    return canada.rbc_words(body.union(rows.select("statement").distinct().select(*page, F.lit(50.0).alias("top"), F.inline(head))))
