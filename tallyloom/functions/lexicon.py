@@ -351,6 +351,24 @@ SPECIAL_LAYOUT = [r"Deposits\s+and\s+Additions", r"ATM\s*&?\s*Debit\s+Card\s+Wit
 SPECIAL_CREDIT = [r"Deposits\s+and\s+Additions\s+\$?([\d,]+\.\d{2})", r"Electronic\s*Deposits\s+\$?([\d,]+\.\d{2})", r"Other\s*Credits\s+\$?([\d,]+\.\d{2})", r"(?<!Electronic )(?<!Other )(?<!\w)Deposits\s+\$?([\d,]+\.\d{2})"]
 SPECIAL_DEBIT = [r"ATM\s*&?\s*Debit\s+Card\s+Withdrawals\s+\$?([\d,]+\.\d{2})", r"Electronic\s+Withdrawals\s+\$?([\d,]+\.\d{2})", r"Checks\s*Paid\s+\$?([\d,]+\.\d{2})", r"Electronic\s*Payments\s+\$?([\d,]+\.\d{2})", r"Other\s*Withdrawals\s+\$?([\d,]+\.\d{2})", r"Service\s+Fees?\s+\$?([\d,]+\.\d{2})"]
 
+# Labels of summaries that are read line by line.
+LINE_FIRST = [("DEPOSITS/CREDITS", "credit"), ("CHECKS/DEBITS", "debit")]
+LINE_UNCOUNTED = [("DEPOSITS AND OTHER CREDITS", "credit"), ("WITHDRAWALS AND OTHER DEBITS", "debit")]
+LINE_AMOUNT = r"(\d{1,3}(?:,\d{3})*\.\d{2}|\d+\.\d{2})"
+
+# How statements print their numbers of transactions, and what tells the side of a row without one.
+COUNTS_BOFA = [r"#\s*of\s*deposits/credits:\s*(\d+)", r"#\s*of\s*withdrawals/debits:\s*(\d+)", r"Total\s+#\s*of\s*checks\s+(\d+)"]
+COUNTS_CHASE_CREDIT = [r"Deposits\s+and\s+Additions\s+(\d+)\s+[\d,]+\.\d{2}"]
+COUNTS_CHASE_DEBIT = [r"Checks\s+Paid\s+(\d+)\s+-?[\d,]+\.\d{2}", r"ATM\s*&\s*Debit\s+Card\s+Withdrawals\s+(\d+)\s+-?[\d,]+\.\d{2}", r"Electronic\s+Withdrawals\s+(\d+)\s+-?[\d,]+\.\d{2}", r"Fees\s+(\d+)\s+-?[\d,]+\.\d{2}"]
+COUNTS_TD_CREDIT = [("Deposits", "Electronic Deposits"), ("Electronic Deposits", "Other Credits"), ("Other Credits", "Checks Paid")]
+COUNTS_TD_DEBIT = [("Electronic Payments", "Other Withdrawals"), ("Other Withdrawals", "Service Charges"), ("Service Charges", "DAILY BALANCE")]
+COUNTS_TD_CHECKS, COUNTS_TD_CHECK_PART = r"Checks\s+Paid\s+No\.\s+Checks:\s*(\d+)", r"(Checks\s+Paid.*?(?:Electronic\s+Payments|Subtotal:))"
+COUNTS_TOTAL = r"Subtotal|Total|Beginning Balance|Ending Balance"
+WELLS_SKIP = ["BEGINNING BALANCE", "ENDING BALANCE", "DAILY BALANCE", "STATEMENT PERIOD", "TOTALS", "PAGE "]
+WELLS_CREDIT = ["DEPOSIT", "ZELLE FROM", "PURCHASE RETURN", "REFUNDED", "ACH CREDIT", "CREDIT", "SALE", "DEPOSIT MADE", "INSTANT PMT FROM"]
+WELLS_DEBIT = ["PURCHASE AUTHORIZED", "RECURRING PAYMENT", "ZELLE TO", "PAYMENT", "ACH DEBIT", "TRANSFER", "CHECK", "FEE", "WITHDRAWAL", "ACORNS", "VENMO", "PURCHASE"]
+CAPITAL_ONE_NSF = r"NSF\s+(?:charge|fee)"
+
 # States and their codes.
 STATES = {
     'alabama':'AL','alaska':'AK','arizona':'AZ','arkansas':'AR',

@@ -41,22 +41,27 @@ def side_of_midpoint(x: Column, middle: Column, balance_from: Column) -> Column:
     return F.when(x > balance_from, "Balance").when(x <= middle, "Debit").otherwise("Credit")
 
 
-def word_rows(words: DataFrame, bucket: float = 4.0) -> DataFrame:
-    """words(statement, page, text, x0, top) to lines: words of one height bucket, left to right."""
-    line = F.floor(F.col("top") / bucket)
-    rows = words.groupBy("statement", "page", line.alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("w"))
-    return rows.select("statement", "page", "line_no", F.array_join("w.text", " ").alias("line"), "w")
-
-
-def columnar_rows(words: DataFrame, split: Column, bucket: float = 4.0) -> DataFrame:
-    """Rows of words whose line begins with a date: the leftmost amount is the transaction, a credit left of the split."""
-    rows = word_rows(words, bucket).withColumn("amounts", F.filter("w", lambda x: x["text"].rlike(_MONEY)))
-    rows = rows.filter(F.col("line").rlike(r"^\d{1,2}/\d{1,2}\b") & (F.size("amounts") > 0))
-    amount = F.element_at("amounts", 1)
-    credit = amount["x0"] < split
-    value = F.abs(clean_money(amount["text"]))
-    text = F.trim(F.array_join(F.transform(F.filter(F.slice("w", F.lit(2), F.size("w")), lambda x: ~x["text"].rlike(_MONEY)), lambda x: x["text"]), " "))
-    return rows.select("statement", "page", "line_no", F.element_at("w", 1)["text"].alias("Date"), text.alias("Description"), F.when(credit, 0.0).otherwise(value).alias("Debit"), F.when(credit, value).otherwise(0.0).alias("Credit"))
+def columnar_rows(words: DataFrame, bucket: float = 4.0, head: float = 0.4) -> DataFrame:
+    """Ledger rows of words(statement, page, height, word_no, text, x0, x1, top) whose line begins with a date.
+
+    The first words for deposits and for withdrawals in the head of a page tell its columns; a page without both gives no
+    rows. Of a line's amounts the leftmost is the transaction, a credit left of the middle between the columns, and the
+    rightmost of two or more the balance. Words of one height bucket are a line."""
+    upper, middle = F.upper("text"), (F.col("x0") + F.col("x1")) / 2
+    first = lambda hit: F.min_by(middle, F.when((F.col("top") <= head * F.col("height")) & hit, F.col("word_no")))
+    columns = words.groupBy("statement", "page").agg(((first(upper.contains("DEPOSIT")) + first(upper.contains("WITHDRAWAL") | (upper.contains("CHECK") & upper.contains("DEBIT")))) / 2).alias("split"))
+    line = (F.bround(F.col("top") / bucket) * bucket).cast("long").alias("line_no")
+    rows = words.groupBy("statement", "page", line).agg(F.array_sort(F.collect_list(F.struct("x0", "word_no", middle.alias("middle"), "text"))).alias("w"))
+    rows = rows.filter(F.element_at("w", 1)["text"].rlike(r"^\d{1,2}/\d{1,2}")).join(columns.filter("split is not null"), ["statement", "page"])
+    amount = lambda x: x["text"].rlike(_MONEY) & (clean_money(x["text"]) != 0)
+    rest = F.slice("w", F.lit(2), F.size("w"))
+    valued = F.transform(F.filter(rest, amount), lambda x, k: F.struct(x["middle"].alias("middle"), k.alias("k"), clean_money(x["text"]).alias("value")))
+    rows = rows.withColumn("amounts", F.array_sort(valued)).filter(F.size("amounts") > 0)
+    text = F.array_join(F.transform(F.filter(rest, lambda x: ~amount(x)), lambda x: x["text"]), " ")
+    leftmost = F.element_at("amounts", 1)
+    credit, value = leftmost["middle"] < F.col("split"), F.round(F.abs(leftmost["value"]), 2)
+    rows = rows.select("statement", "page", "line_no", F.element_at("w", 1)["text"].alias("Date"), text.alias("Description"), F.when(credit, 0.0).otherwise(value).alias("Debit"), F.when(credit, value).otherwise(0.0).alias("Credit"), F.when(F.size("amounts") > 1, F.round(F.element_at("amounts", -1)["value"], 2)).otherwise(0.0).alias("Balance"))
+    return rows.withColumn("Amount", F.round(F.col("Credit") - F.col("Debit"), 2))
 
 
 def table_rows(cells: DataFrame, date: int = 0, description: int = 1, debit: int = 2, credit: int = 3) -> DataFrame:

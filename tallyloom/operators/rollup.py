@@ -17,17 +17,23 @@ def percent(part, whole):
     return F.when(whole > 0, part / whole * 100).otherwise(0.0)
 
 
-def statement_metrics(ledger: DataFrame, summary: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+def statement_metrics(ledger: DataFrame, summary: DataFrame | None = None, found: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
     """One row a statement of the ledger or of the summary; one without rows has sums and counts of 0.
 
     summary(statement, credits_amount, debits_amount), where it has an amount, overrules the ledger's sums; its
-    nsf_in_text, if it has that column, overrules a smaller nsf_count.
+    nsf_in_text, if it has that column, overrules a smaller nsf_count. raw: the ledger before rows without a date
+    went; its sums count where they are larger.
 
     All parts are grouped by statement, so they meet without another shuffle of the ledger."""
     found = found if found is not None else with_lender(ledger)
     obligation = lender_monthly(lender_debits(found)).groupBy("statement").agg(total(F.col("monthly")).alias("lender_debits"))
     advances = lender_credits(found).groupBy("statement").agg(total(F.col("amount")).alias("lender_credits"))
-    rows = sums(ledger).join(counts(ledger), "statement").join(obligation, "statement", "left").join(advances, "statement", "left").fillna(0.0, ["lender_debits", "lender_credits"])
+    how = "left" if raw is None else "full"
+    rows = sums(ledger).join(counts(ledger), "statement").join(obligation, "statement", how).join(advances, "statement", how).fillna(0.0, ["lender_debits", "lender_credits"])
+    if raw is not None:
+        larger = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.coalesce(f"raw_{c}", F.lit(0.0)))
+        rows = rows.join(raw.groupBy("statement").agg(total(F.col("Credit")).alias("raw_credits"), total(F.col("Debit")).alias("raw_debits")), "statement", "full")
+        rows = rows.withColumns({"credits": larger("credits"), "debits": larger("debits")}).drop("raw_credits", "raw_debits").fillna(0)
     if summary is not None:
         said = summary if "nsf_in_text" in summary.columns else summary.withColumn("nsf_in_text", F.lit(0))
         rows = rows.join(said.select("statement", "credits_amount", "debits_amount", "nsf_in_text"), "statement", "full")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.money import clean_money
-from ..functions.text import flat, squeezed
+from ..functions.money import clean_money, total
+from ..functions.text import flat, squeezed, unspaced
+from .lines import to_lines
 
 EMPTY = "struct<credits_amount:double,debits_amount:double,credit_count:int,debit_count:int>"
 
@@ -143,6 +144,42 @@ def route(texts: DataFrame, text: str = "text", translated: str | None = None) -
     return best.select("statement", "best.bank", *[F.coalesce(f"best.s.{c}", F.lit(0)).alias(c) for c in ("credits_amount", "debits_amount", "credit_count", "debit_count")])
 
 
+def line_scan(lines: DataFrame) -> DataFrame:
+    """statement and the summary's columns, read line by line: of each side the last labelled line counts.
+
+    Where at least two kinds of debits are listed apart, their sums count if they are larger."""
+    rows = lines.select("statement", "line_no", squeezed(unspaced(F.col("line"))).alias("line"))
+    rows = rows.withColumns({"upper": F.upper("line"), "amounts": F.transform(F.regexp_extract_all("line", F.lit(L.LINE_AMOUNT), 1), lambda x: F.abs(clean_money(x)))}).filter(F.size("amounts") > 0)
+    has = F.col("upper").contains
+    first, last = F.element_at("amounts", 1), F.element_at("amounts", -1)
+    number = lambda pattern: F.coalesce(F.regexp_extract("line", pattern, 1).try_cast("int"), F.lit(0))
+    one = lambda side, amount, count: F.struct(F.lit(side).alias("side"), amount.alias("amount"), count.alias("count"))
+    cases = [(has(w), one(side, first, number(r"^(\d+)"))) for w, side in L.LINE_FIRST] + [(has(w), one(side, first, F.lit(None).cast("int"))) for w, side in L.LINE_UNCOUNTED]
+    cases += [(has("DEPOSITS") & has("CREDITS") & has("&"), one("credit", last, number(r"\((\d+)\)"))), (has("CHEQUES") & has("DEBITS"), one("debit", last, number(r"\((\d+)\)")))]
+    label = F.when(*cases[0])
+    for case in cases[1:]:
+        label = label.when(*case)
+    debit = (has("CHECKS PAID") & ~has("NO.")) | has("ELECTRONIC PAYMENTS") | has("OTHER WITHDRAWALS") | (has("SERVICE CHARGES") & ~has("SUMMARY"))
+    credit = has("ELECTRONIC DEPOSITS") | has("OTHER CREDITS") | (has("DEPOSITS") & ~F.col("upper").rlike("ELECTRONIC|OTHER|SUBTOTAL|POSTING"))
+    rows = rows.withColumns({"s": label, "debit": debit, "credit": credit, "last": last})
+    latest = lambda side, part: F.coalesce(F.max_by(f"s.{part}", F.when((F.col("s.side") == side) & F.col(f"s.{part}").isNotNull(), F.col("line_no"))), F.lit(0))
+    sums = rows.groupBy("statement").agg(
+        *[latest(side, part).alias(f"{side}_{part}") for side in ("credit", "debit") for part in ("amount", "count")], F.count_if("debit").alias("kinds"),
+        total(F.when(F.col("credit"), F.col("last"))).alias("credits"), total(F.when(F.col("debit"), F.col("last"))).alias("debits"),
+    )
+    amount = lambda side: F.round(F.when(F.col("kinds") >= 2, F.greatest(f"{side}_amount", f"{side}s")).otherwise(F.col(f"{side}_amount")), 2).alias(f"{side}s_amount")
+    return sums.select("statement", amount("credit"), amount("debit"), F.col("credit_count").cast("int").alias("credit_count"), F.col("debit_count").cast("int").alias("debit_count"))
+
+
+def route_or_scan(texts: DataFrame) -> DataFrame:
+    """route(), and for statements that it finds nothing in line_scan(), as bank `lines`."""
+    columns = ("credits_amount", "debits_amount", "credit_count", "debit_count")
+    scanned = line_scan(to_lines(texts)).select("statement", F.struct(*columns).alias("scan"))
+    rows = route(texts).join(scanned, "statement", "left")
+    use = F.col("bank").isNull() & _some(F.col("scan"))
+    return rows.select("statement", F.when(use, "lines").otherwise(F.col("bank")).alias("bank"), *[F.when(use, F.col(f"scan.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
 def estimated_balance(text: Column) -> Column:
     """Midpoint of the first and last amount of an upper-case SUMMARY block, where no average is printed."""
     block = F.regexp_extract(flat(text), r"(?s)SUMMARY(.*?)(?:DEPOSITS\s*&?\s*CREDITS|\z)", 1)

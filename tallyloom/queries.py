@@ -225,4 +225,4 @@ def q_risk_notes(spark, d):
     return m.select("statement", F.array_join(risk.notes(F.col("credits"), F.col("cash_flow"), F.col("nsf_count"), F.size(names) > 0, names, F.col("withholding_rate")), " ").alias("notes"))
 
 
-from . import queries_canada, queries_lines, queries_trends  # noqa: E402,F401  they register theirs
+from . import queries_canada, queries_lines, queries_plans, queries_trends  # noqa: E402,F401  they register theirs

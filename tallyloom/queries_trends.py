@@ -88,9 +88,14 @@ def q_search_sort_page(spark, d):
     return trends.search(rows, "Kapitus", "debit", 2, descending=True, tie="row_no")
 
 
-@query(S.upto(S.METRICS) + f"""SELECT unnest(['Total Credits', 'Total Debits', 'Cash Flow']) AS metric, unnest([format('${{:,.2f}}', {S.total('credits')}), format('${{:,.2f}}', {S.total('debits')}), '$' || format('{{:,.2f}}', {S.total('cash_flow')})]) AS value FROM metrics""")
+_SUMS = ", ".join(f"{S.total(c)} AS {c}" if not c.endswith("count") else f"sum({c})::BIGINT AS {c}" for c in rollup.SUMMED)
+_SHOWN = {"Total Credits": "credits", "Total Debits": "debits", "Cash Flow": "cash_flow", "Lender Debits": "lender_debits", "Lender Credits": "lender_credits", "True Revenue": "true_revenue", "Average Daily Balance": "avg_daily_balance"}
+
+
+@query(S.upto(S.METRICS) + f""", t AS (SELECT {_SUMS}, 0.0::DOUBLE AS avg_daily_balance FROM metrics), r AS (SELECT *, CASE WHEN true_revenue > 0 THEN round(lender_debits / true_revenue * 100, 4) ELSE 0 END AS rate FROM t)
+    SELECT unnest([{S.listed([*_SHOWN, 'Withholding Rate', 'NSF Count', 'Loan Count'])}]) AS metric, unnest([{', '.join(f"'$' || format('{{:,.2f}}', {c})" for c in _SHOWN.values())}, format('{{:,.2f}}', rate) || '%', nsf_count::VARCHAR, loan_count::VARCHAR]) AS value FROM r""")
 def q_export_summary(spark, d):
-    return exports.formatted_summary(rollup.totals(rollup.statement_metrics(ledger(spark, d)))).filter("metric in ('Total Credits', 'Total Debits', 'Cash Flow')")
+    return exports.formatted_summary(rollup.totals(rollup.statement_metrics(ledger(spark, d))))
 
 
 @query(f"WITH {S.LEDGER} SELECT statement, strftime(min(date), '%b %Y') || ' – ' || strftime(max(date), '%b %Y') AS label FROM ledger GROUP BY statement")
