@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
+from . import bpe, exact_dedup, importance, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
 from .common import shared_dir, table
 
 
@@ -57,7 +57,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe)}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe, op12_importance)}
 
 _GAP = r"[\x20\x09-\x0D]+"
 _UNSPACED = quality.UNSPACED.replace("{Is", "{")
@@ -67,6 +71,9 @@ _RULES = ", ".join(
     for r in quality.RULES for a, b in [r.measure.split(" / ")]
 )
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -104,4 +111,20 @@ ORACLES = {
         k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
         SELECT page_id, payload_bytes, sha1(h) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM k""",
+    "op12_importance": rf"""
+        WITH RECURSIVE bit AS (SELECT i AS b, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bit WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY b) AS c FROM bit WHERE k = 8),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT {_WORDS} AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS x FROM d), qw AS (SELECT unnest(w) AS x FROM q),
+        xs AS (SELECT x, hex(x) AS h FROM (SELECT x FROM dw UNION SELECT x FROM qw)),
+        step AS (SELECT x, h, 0 AS k, 4294967295::BIGINT AS v FROM xs
+            UNION ALL SELECT x, h, k + 1, xor(v // 256, c[xor(v % 256, ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) + 1]) FROM step, crc WHERE 2 * k < length(h)),
+        bucket AS (SELECT x, xor(v, 4294967295) % {importance.BUCKETS} AS b FROM step WHERE 2 * k = length(h)),
+        s AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (x) GROUP BY b), t AS (SELECT b, count(*) AS t FROM qw JOIN bucket USING (x) GROUP BY b),
+        g AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {importance.BUCKETS})) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM qw) + {importance.BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+        f AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN bucket USING (x) JOIN g USING (b) GROUP BY doc_id),
+        r AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN f USING (doc_id)),
+        o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM r WHERE n_features >= {importance.LEAST_WORDS})
+        SELECT doc_id, n_features, weight, score, CASE WHEN k <= n * {importance.PERCENT} // 100 THEN k END AS rank FROM r LEFT JOIN o USING (doc_id)""",
 }
