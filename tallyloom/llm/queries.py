@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, importance, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
+from . import bpe, dialogue, exact_dedup, importance, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
 from .common import shared_dir, table
 
 
@@ -61,7 +61,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe, op12_importance)}
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by the contract's rule, then repaired."""
+    return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")), F.col("dropped"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe, op12_importance, op13_dialogue)}
 
 _GAP = r"[\x20\x09-\x0D]+"
 _UNSPACED = quality.UNSPACED.replace("{Is", "{")
