@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dialogue, exact_dedup, importance, langid, mixing, pst, quality, sharding, simhash, token_counts, warc
+from . import bpe, dialogue, exact_dedup, importance, langid, licenses, mixing, pst, quality, sharding, simhash, token_counts, warc
 from .common import shared_dir, table
 
 
@@ -57,6 +57,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +70,7 @@ def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")), F.col("dropped"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe, op12_importance, op13_dialogue)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_language_id, op5_mixing, op6_quality_rules, op7_warc, op8_sharding, op9_suffix_tree, op10_bpe, op11_licenses, op12_importance, op13_dialogue)}
 
 _GAP = r"[\x20\x09-\x0D]+"
 _UNSPACED = quality.UNSPACED.replace("{Is", "{")
