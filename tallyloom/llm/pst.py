@@ -16,12 +16,13 @@ scored in a stream that holds one block's answers at a time.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ HELD_ENTRIES = 1_000_000
 _PAD = b"\n" * DEPTH
 #: Bytes of texts whose grams are looked up at once.
 PART = 500_000
+#: Tasks that score; more blocks than half of that share them.
+MOST_TASKS = 20_000
 #: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
 BLOCK_BYTES = 32 << 20
 
@@ -76,37 +79,59 @@ def _parts(texts: list, size=len) -> Iterator[tuple[int, int]]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, train, doc_id, body. A block is a part of a file, by the file's size and the row's content, so every scan
-    sees the same blocks, however its files are split, and without a shuffle."""
-    columns = ("doc_id", "text", "_metadata.file_path", "_metadata.file_size")
+    """block, train, doc_id, body. A block is a part of a file, by the file's size and the row's place in it, so every scan
+    sees the same blocks, however its files are split and whatever rows repeat, and without a shuffle."""
+    columns = ("doc_id", "text", "_metadata.file_path", "_metadata.file_size", "_metadata.row_index")
     try:
         place = docs.select(*columns)
-    except AnalysisException:  # not read from files
+    except AnalysisException:  # not read from Parquet files
         place = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(*columns)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.ceil(F.col("file_size") / BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("row_index"), F.ceil(F.col("file_size") / BLOCK_BYTES))
     return place.select(F.xxhash64("file_path", part).alias("block"), (fold(F.col("doc_id"), FOLDS) != HELD).alias("train"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
 
 
+def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, bool], list[list[bytes]]]]:
+    """((block, train), words of some texts) of a batch, about PART bytes of texts at a time."""
+    rows = defaultdict(list)
+    for block, train, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        rows[block, train].append(body)
+    for key, bodies in rows.items():
+        for i, j in _parts(bodies):
+            yield key, [*map(words_of, bodies[i:j])]
+
+
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, train, body) to (block, word, n in training) of each word of a block."""
-    held: dict[int, Counter] = {}
+    """(block, train, body) to (block, word, n in training) of each word of a block. Words are counted as Arrow columns, which hold many of them in little memory."""
+    held: dict[int, pa.Table] = {}
+    raw: dict[int, list[pa.RecordBatch]] = defaultdict(list)
+
+    def pack() -> None:
+        for block, some in raw.items():
+            tables = [pa.Table.from_batches(some), *([held[block]] if block in held else [])]
+            summed = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+            held[block] = summed.rename_columns({"n_sum": "n"}).select(["word", "n"])
+        raw.clear()
 
     def out() -> Iterator[pa.RecordBatch]:
-        for block, counts in held.items():
-            yield pa.record_batch({"block": pa.array(np.full(len(counts), block), pa.int64()), "word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
+        for block, table in held.items():
+            for some in table.to_batches(max_chunksize=100_000):
+                yield pa.record_batch({"block": pa.array(np.full(len(some), block), pa.int64()), "word": some["word"], "n": some["n"]})
         held.clear()
 
+    waiting = 0
     for batch in batches:
-        for block, train, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            counts = held.setdefault(block, Counter())
-            found = words_of(body)
-            if train:
-                counts.update(found)
-            else:
-                counts.update(dict.fromkeys(found, 0))
-        if sum(map(len, held.values())) > HELD_ENTRIES:
-            yield from out()
+        for (block, train), texts in _by_block(batch):
+            counted = pa.array([w for words in texts for w in words], pa.binary()).value_counts()
+            n = counted.field("counts").cast(pa.int64()) if train else pa.array(np.zeros(len(counted), np.int64))
+            raw[block].append(pa.record_batch({"word": counted.field("values"), "n": n}))
+            waiting += len(counted)
+            if waiting > HELD_ENTRIES:
+                pack()
+                waiting = 0
+                if sum(map(len, held.values())) > HELD_ENTRIES:
+                    yield from out()
+    pack()
     yield from out()
 
 
@@ -139,19 +164,15 @@ def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     waiting = 0
     for batch in batches:
-        rows = defaultdict(list)
-        for block, train, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            rows[block, train].append(b" ".join(words_of(body)))
-        for key, texts in rows.items():
-            for i, j in _parts(texts):
-                codes = grams(texts[i:j])[0]
-                raw.setdefault(key, []).append(codes)
-                waiting += len(codes)
-                if waiting > 2_000_000:
-                    pack()
-                    waiting = 0
-                    if sum(len(p[0][0]) for p in held.values()) > 2 * HELD_ENTRIES:
-                        yield from out()
+        for key, texts in _by_block(batch):
+            codes = grams([b" ".join(words) for words in texts])[0]
+            raw.setdefault(key, []).append(codes)
+            waiting += len(codes)
+            if waiting > 2_000_000:
+                pack()
+                waiting = 0
+                if sum(len(p[0][0]) for p in held.values()) > 2 * HELD_ENTRIES:
+                    yield from out()
     pack()
     yield from out()
 
@@ -192,44 +213,79 @@ def scored(words: list[bytes], c: np.ndarray, lp: np.ndarray, f: float) -> float
     return float(lp[kept].sum() + (len(words) - n) * np.log10(f) + (n * np.log10(1 - 2 * f) if n else 0.0))
 
 
+class _Answers:
+    """What a block's documents ask for: counts of its words, and log-probabilities of its grams."""
+
+    def __init__(self) -> None:
+        self.words: list[pa.RecordBatch] = []
+        self.codes, self.probs = [], []
+        self.ready = False
+
+    def take(self, kind: int, rows: pa.RecordBatch) -> None:
+        if kind == 0:
+            self.words.append(rows.select(["body", "id"]))
+        else:  # copies: a view would keep all columns of its batch
+            self.codes.append(rows.column("id").to_numpy().copy())
+            self.probs.append(rows.column("value").to_numpy().copy())
+
+    def settle(self) -> None:
+        if not self.ready:
+            table = pa.Table.from_batches(self.words)
+            known = table.group_by("body").aggregate([("id", "max")]).combine_chunks()  # a word may have been asked for twice
+            self.words, self.counts = known["body"].chunk(0), known["id_max"].to_numpy()
+            codes, at = np.unique(np.concatenate(self.codes), return_index=True)
+            self.codes, self.probs = pd.Index(codes), np.concatenate(self.probs)[at]
+            self.ready = True
+
+    def counted(self, words: list[bytes]) -> np.ndarray:
+        """Training counts of words, all of which the block has asked for."""
+        at = pc.index_in(pa.array(words, pa.binary()), value_set=self.words)
+        if at.null_count:
+            raise ValueError("a block holds a word that it didn't ask for")
+        return self.counts[at.to_numpy()]
+
+    def spelled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of all symbols of texts, and where each text's begin."""
+        found, starts = grams(texts)
+        at = self.codes.get_indexer(found)
+        if at.min() < 0:
+            raise ValueError("a block holds a gram that it didn't ask for")
+        return self.probs[at].astype(np.float64), starts
+
+
 def _score(f: float, train_tokens: int):
     """Rows (block, kind, id, value, held, body) sorted by (block, kind): a block's words (0) and grams (1), then its documents (2)."""
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]
+
+    def documents(rows: pa.RecordBatch, answers: _Answers) -> Iterator[tuple]:
+        answers.settle()
+        ids, held, bodies = (rows.column(c).to_pylist() for c in ("id", "held", "body"))
+        for i, j in _parts(bodies):
+            texts = [*map(words_of, bodies[i:j])]
+            counts = answers.counted([w for words in texts for w in (*words, b"\n")])
+            lp, starts = answers.spelled([b" ".join(words) for words in texts])
+            ends = np.cumsum([len(words) + 1 for words in texts])
+            for k, words, c, x in zip(range(i, j), texts, np.split(counts, ends[:-1]), np.split(lp, starts[1:]), strict=True):
+                yield ids[k], held[k], len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], x, f), float(x.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, codes, probs, ready = None, {}, [], [], None
+        block, answers = None, _Answers()
         for batch in batches:
-            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            blocks, parts = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(parts) != 0)) + 1).tolist(), batch.num_rows]
             out: list[tuple] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if blocks[a] != block:
-                    block, known, codes, probs, ready = blocks[a], {}, [], [], None
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    known.update(zip(part.column("body").to_pylist(), part.column("id").to_pylist(), strict=True))
-                elif kinds[a] == 1:
-                    codes.append(part.column("id").to_numpy())
-                    probs.append(part.column("value").to_numpy())
+                    block, answers = blocks[a], _Answers()
+                if parts[a] < 2:
+                    answers.take(int(parts[a]), batch.slice(a, b - a))
                 else:
-                    if ready is None:
-                        flat, at = np.unique(np.concatenate(codes), return_index=True)
-                        ready = pd.Index(flat), np.concatenate(probs).astype(np.float64)[at]
-                        codes, probs = [], []
-                    docs = [*zip(part.column("id").to_pylist(), part.column("held").to_pylist(), map(words_of, part.column("body").to_pylist()), strict=True)]
-                    texts = [b" ".join(words) for _, _, words in docs]
-                    for i, j in _parts(texts):
-                        found, starts = grams(texts[i:j])
-                        at = ready[0].get_indexer(found)
-                        if at.min() < 0:
-                            raise ValueError(f"block {block} holds a gram that it didn't ask for")
-                        lp = ready[1][at]
-                        for (doc, held, words), x in zip(docs[i:j], np.split(lp, starts[1:]), strict=True):
-                            c = np.array([*map(known.__getitem__, words), known[b"\n"]], np.int64)
-                            out.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], x, f), float(x.sum())))
+                    out += documents(batch.slice(a, b - a), answers)
             if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3), strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -246,6 +302,7 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
     words = asked.mapInArrow(_ask_words, "block bigint, word binary, n bigint")
     ends = rows.groupBy("block").agg(F.lit(b"\n").alias("word"), F.count_if("train").alias("n"))
     inquiries = written(words.union(ends))
+    blocks = inquiries.filter(F.col("word") == F.lit(b"\n")).count()
     settle(spark)
     # a common word has a row in every block: summed before the shuffle, and joined back by a join that Spark can split
     counted = written(inquiries.groupBy("word").agg(F.sum("n").alias("c")))
@@ -267,5 +324,6 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
         .union(answers.select("block", F.lit(1), "gram", F.col("lp").cast("float"), none("boolean"), none("binary")))
         .union(rows.select("block", F.lit(2), "doc_id", none("float"), ~F.col("train"), "body"))
     )
-    dealt = met.repartition("block").sortWithinPartitions("block", "kind")
+    # by number: merged into few tasks, as small partitions are else, blocks would be sorted together at a greater cost of memory
+    dealt = met.repartition(max(1, min(2 * blocks, MOST_TASKS)), "block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(_score(1.0 / (n + v + 1), int(n)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelled_score double")
