@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +38,8 @@ HELD_ENTRIES = 1_000_000
 _PAD = b"\n" * DEPTH
 #: Bytes of texts whose grams are looked up at once.
 PART = 500_000
-#: Tasks that score; more blocks than half of that share them.
-MOST_TASKS = 20_000
+#: Tasks that score; where blocks are more than a quarter of that, they share them.
+MOST_TASKS = 100_000
 #: Bytes of a file for each block that its documents are dealt into; bounds what a block's answers hold.
 BLOCK_BYTES = 32 << 20
 
@@ -203,18 +202,32 @@ def suffix_tree(counts: DataFrame, gain: float = GAIN) -> DataFrame:
     return tree.select("gram", F.log10("p").alias("lp"))
 
 
-def scored(words: list[bytes], c: np.ndarray, lp: np.ndarray, f: float) -> float:
-    """log10 probability of the tokens. c: training counts of the words; lp: log10 of each symbol, the end's last."""
-    known = c > 0
-    if known.all():
-        return float(lp.sum() + len(words) * np.log10(1 - 2 * f)) if words else float(lp.sum())
-    kept = np.append(np.repeat(known, [len(w) + 1 for w in words])[:-1], True)
-    n = int(known.sum())
-    return float(lp[kept].sum() + (len(words) - n) * np.log10(f) + (n * np.log10(1 - 2 * f) if n else 0.0))
+#: Odd multipliers of the hash of words; the next one is taken where two words of a block share a hash.
+_MULTIPLIERS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(8))
+
+
+def word_hashes(raw: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end (its separator) of each word of bytes whose words are closed by one blank or line feed.
+
+    A word's hash is the sum of its bytes times powers of the multiplier, modulo 2**64, cut out of one running sum."""
+    stops = np.flatnonzero((raw == 32) | (raw == END))
+    begins = np.concatenate(([0], stops[:-1] + 1))
+    begins, stops = begins[stops > begins], stops[stops > begins]
+    power = np.full(len(raw), multiplier, np.uint64)
+    power[:1] = 1
+    np.multiply.accumulate(power, out=power)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
+    inverse = np.full(len(raw), pow(multiplier, -1, 2**64), np.uint64)
+    inverse[:1] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    return (upto[stops] - upto[begins]) * inverse[begins], begins, stops
 
 
 class _Answers:
-    """What a block's documents ask for: counts of its words, and log-probabilities of its grams."""
+    """What a block's documents ask for: counts of its words, and log-probabilities of its grams.
+
+    Words are found by hash. A document's words are among the block's, so where the block's have hashes that all differ,
+    no word is taken for another."""
 
     def __init__(self) -> None:
         self.words: list[pa.RecordBatch] = []
@@ -229,52 +242,67 @@ class _Answers:
             self.probs.append(rows.column("value").to_numpy().copy())
 
     def settle(self) -> None:
-        if not self.ready:
-            table = pa.Table.from_batches(self.words)
-            known = table.group_by("body").aggregate([("id", "max")]).combine_chunks()  # a word may have been asked for twice
-            self.words, self.counts = known["body"].chunk(0), known["id_max"].to_numpy()
-            codes, at = np.unique(np.concatenate(self.codes), return_index=True)
-            self.codes, self.probs = pd.Index(codes), np.concatenate(self.probs)[at]
-            self.ready = True
-
-    def counted(self, words: list[bytes]) -> np.ndarray:
-        """Training counts of words, all of which the block has asked for."""
-        at = pc.index_in(pa.array(words, pa.binary()), value_set=self.words)
-        if at.null_count:
-            raise ValueError("a block holds a word that it didn't ask for")
-        return self.counts[at.to_numpy()]
-
-    def spelled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of all symbols of texts, and where each text's begin."""
-        found, starts = grams(texts)
-        at = self.codes.get_indexer(found)
-        if at.min() < 0:
-            raise ValueError("a block holds a gram that it didn't ask for")
-        return self.probs[at].astype(np.float64), starts
+        if self.ready:
+            return
+        known = pa.Table.from_batches(self.words).group_by("body").aggregate([("id", "max")])  # a word may have been asked for twice
+        words, counts = known["body"].to_pylist(), known["id_max"].to_numpy()
+        end = words.index(b"\n")
+        self.ends, counts = int(counts[end]), np.delete(counts, end)
+        del words[end]
+        raw = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+        self.words = words = None
+        for self.multiplier in _MULTIPLIERS:
+            self.hashes = pd.Index(word_hashes(raw, self.multiplier)[0])
+            if self.hashes.is_unique:
+                break
+        else:
+            raise ValueError("no multiplier tells the words of a block apart")
+        self.counts = counts
+        codes, at = np.unique(np.concatenate(self.codes), return_index=True)
+        self.codes, self.probs = pd.Index(codes), np.concatenate(self.probs)[at]
+        self.ready = True
+
+
+def scored(texts: list[bytes], answers: _Answers, f: float) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score, score, spelled_score of texts, each an array: words joined by one blank each."""
+    codes, starts = grams(texts)
+    at = answers.codes.get_indexer(codes)
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    hashes, begins, stops = word_hashes(raw, answers.multiplier)
+    which = answers.hashes.get_indexer(hashes)
+    if at.min() < 0 or which.min(initial=0) < 0:
+        raise ValueError("a block holds a gram or a word that it didn't ask for")
+    lp = answers.probs[at].astype(np.float64)
+    upto = np.concatenate(([0.0], np.cumsum(lp)))
+    c, n = answers.counts[which], len(texts)
+    owner = np.searchsorted(starts, begins, "right") - 1
+    of_texts = lambda weights: np.bincount(owner, weights, n)
+    ends = np.append(starts[1:], len(lp)) - 1
+    tokens, known = of_texts(np.ones(len(c))) + 1, of_texts(c > 0)
+    base = of_texts(np.log10(c + 1)) + np.log10(answers.ends + 1) + tokens * np.log10(f)
+    # a known word is spelled with the blank after it; the end of a text is spelled in any case
+    spelled = of_texts(np.where(c > 0, upto[stops + (raw[stops] == 32)] - upto[begins], 0.0)) + lp[ends]
+    share = np.log10(1 - 2 * f) if f < 0.5 else 0.0
+    score = spelled + (tokens - 1 - known) * np.log10(f) + known * share
+    return [tokens.astype(np.int64), (known + (answers.ends > 0)).astype(np.int64), base, score, upto[ends + 1] - upto[starts]]
 
 
 def _score(f: float, train_tokens: int):
     """Rows (block, kind, id, value, held, body) sorted by (block, kind): a block's words (0) and grams (1), then its documents (2)."""
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 3)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]
 
-    def documents(rows: pa.RecordBatch, answers: _Answers) -> Iterator[tuple]:
+    def documents(rows: pa.RecordBatch, answers: _Answers) -> Iterator[pa.RecordBatch]:
         answers.settle()
-        ids, held, bodies = (rows.column(c).to_pylist() for c in ("id", "held", "body"))
+        bodies = rows.column("body").to_pylist()
         for i, j in _parts(bodies):
-            texts = [*map(words_of, bodies[i:j])]
-            counts = answers.counted([w for words in texts for w in (*words, b"\n")])
-            lp, starts = answers.spelled([b" ".join(words) for words in texts])
-            ends = np.cumsum([len(words) + 1 for words in texts])
-            for k, words, c, x in zip(range(i, j), texts, np.split(counts, ends[:-1]), np.split(lp, starts[1:]), strict=True):
-                yield ids[k], held[k], len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() + len(c) * np.log10(f)), scored(words, c[:-1], x, f), float(x.sum())
+            tokens, known, base, score, spelled = scored([b" ".join(words_of(body)) for body in bodies[i:j]], answers, f)
+            yield pa.record_batch([rows.column("id").slice(i, j - i), rows.column("held").slice(i, j - i), tokens, known, np.full(j - i, train_tokens, np.int64), base, score, spelled], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, answers = None, _Answers()
         for batch in batches:
             blocks, parts = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(parts) != 0)) + 1).tolist(), batch.num_rows]
-            out: list[tuple] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
@@ -283,9 +311,7 @@ def _score(f: float, train_tokens: int):
                 if parts[a] < 2:
                     answers.take(int(parts[a]), batch.slice(a, b - a))
                 else:
-                    out += documents(batch.slice(a, b - a), answers)
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield from documents(batch.slice(a, b - a), answers)
 
     return run
 
@@ -325,5 +351,5 @@ def score(docs: DataFrame, gain: float = GAIN) -> DataFrame:
         .union(rows.select("block", F.lit(2), "doc_id", none("float"), ~F.col("train"), "body"))
     )
     # by number: merged into few tasks, as small partitions are else, blocks would be sorted together at a greater cost of memory
-    dealt = met.repartition(max(1, min(2 * blocks, MOST_TASKS)), "block").sortWithinPartitions("block", "kind")
+    dealt = met.repartition(max(1, min(4 * blocks, MOST_TASKS)), "block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(_score(1.0 / (n + v + 1), int(n)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelled_score double")

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -136,3 +137,13 @@ def test_empty(empty, spark):
     held = next(i for i in range(100) if is_held(i))
     row = pst.score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
     assert row.train_tokens == 0 and row.spelled_score == pytest.approx(3 * math.log10(1 / 256)) and row.score == pytest.approx(math.log10(1 / 256))
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    words = [b"a", b"ab", b"ba", b"a\xc3\xa9", b"\x00", b"\x00\x00", b"abab" * 50, b"a"]
+    raw = np.frombuffer(b"\n" + b" ".join(words) + b" " + b"\n".join([*words, b""]) + b"\n", np.uint8)
+    for multiplier in pst._MULTIPLIERS:
+        hashes, begins, stops = pst.word_hashes(raw, multiplier)
+        assert [raw[a:b].tobytes() for a, b in zip(begins, stops, strict=True)] == words * 2
+        assert (hashes[:8] == hashes[8:]).all() and len(set(hashes.tolist())) == 7
+    assert all(len(x) == 0 for x in pst.word_hashes(np.frombuffer(b"\n \n", np.uint8), 3)) and len(pst.word_hashes(np.frombuffer(b"", np.uint8), 3)[0]) == 0
