@@ -263,6 +263,8 @@ BALANCE_STOP = (
     r"|SAVINGS\s+SUMMARY"
     r"|#\d{3,}"
 )
+BALANCE_LIST_STOP = r"SERVICE\s+CHARGE|SERVICE\s+FEE|FRAIS|INTEREST\s+CHARGE|ACCOUNT\s+SUMMARY"
+BALANCE_TAGS, TORN_BALANCE = r"(?i)\*(?:start|end)\*[^\n]*\n?", r"-?[\d,]{4,}\.\d{2}"
 AVERAGE_NOT_AFTER = [
     "TRACE", "REFERENCE", "ACCOUNT", "ROUTING",
     "CHECK #", "CARD", "ID #", "PHONE", "AUTHORIZED",
@@ -279,6 +281,13 @@ PRINTED_AVERAGES = [
     r"MONTHLY\s+AVER\w*\.?\s+CR\.?\s+BAL\.?\s+\$?\s*(-?[\d,]+\.?\d*)",
 ]
 
+# A daily balance, a dated line with a balance at its end, and words of lines that are no balances.
+DAILY_PAIR = r"(\d{1,2}/\d{1,2}(?:/\d{2,4})?)\s+\$?(-?[\d,]+\.\d{2})"
+DAILY_ROW = r"^(\d{1,2}/\d{1,2}(?:/\d{2,4})?).*?(-?\$?[\d,]+\.\d{2})\s*$"
+DAILY_SKIPPED = ["TOTAL", "BALANCE FORWARD", "OPENING", "CLOSING", "BEGINNING", "SERVICE FEE", "ITEMS RETURNED", "AVERAGE", "MINIMUM"]
+BEGINNING_BALANCE, ENDING_BALANCE = r"Beginning\s+balance\s+on\s+(\d{1,2}/\d{1,2})\s+(-?\$?[\d,]+\.?\d+)", r"Ending\s+balance\s+on\s+(\d{1,2}/\d{1,2})"
+RUNNING_BALANCES = r"Ending\s+daily\s+balance|Ending\s+balance|Running\s+balance"
+
 # Row layouts of single banks.
 OCR_ROW = r"(\d{1,2}/\d{1,2}(?:/\d{2,4})?|\d{1,2}\s+[A-ZÉÈÊÀÂÎÏÔÛÙÇÓÍÚÑ]{3,})\s+(.*?)\s+\$?(-?[\d,\s]+\.\d{2}|-?[\d\s]+,\d{2})"
 OCR_CREDIT_WORDS = ["DEPOSITS AND CREDITS", "OTHER CREDITS", "CREDITS", "CREDIT"]
@@ -307,26 +316,29 @@ RBC_DEBIT = (
     r"|e-Transfer\s*sent|Online\s*transfer\s*sent|Cheque\s*-\s*\d|Interac\s*purchase|Contactless\s*Interac|Bill\s*Payment|Insurance|Equipment\s*Rent|Business\s*PAD"
     r"|Misc\s*Payment\s*Fundfi|Misc\s*Payment\s*BIZFUND\s*ACHDEBIT|Misc\s*Payment\s*2313833|Misc\s*Payment\s*PAY-FILE|Misc\s*Payment\s*Canacap"
 )
+RBC_TABLE_SKIP = ["opening balance", "closing balance", "account fees", "account activity details"]
 RBC_MERCHANT = r"Misc\s*Payment\s*MRCH\d+"
 TD_CHECKS = r"(\d{2}/\d{2})\s+(\d+\*?)\s+([\d,]+\.\d{2})"
 REGIONS_CREDIT_HEADER, REGIONS_DEBIT_HEADER = r"^DEPOSITS\s*&?\s*CREDITS\b", r"^(WITHDRAWALS|FEES)\b"
+REGIONS_BOX_CREDIT, REGIONS_BOX_DEBIT, REGIONS_BOX_DATE = r"^DEPOSITS\b", r"^(WITHDRAWALS|FEES)\b", r"^\d{1,2}/\d{1,2}$"
 REGIONS_STOP = r"^Total\s+(Deposits|Withdrawals|Overdraft|Returned|For\s+This|Calendar)"
 REGIONS_ROW = r"^(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$"
 CHARGE_ROW = r"^(\d{1,2}/\d{1,2})\s+(.+?)\s+(-?\$?\d{1,3}(?:,\d{3})*\.\d{2}|-?\$?\d+\.\d{2})"
 
-# What names a bank (all patterns of a list), in the order in which banks are tried.
+# What names a bank: alternatives, of each of which all patterns must match; banks are tried in this order.
 BANKS = [
-    ("Chase", [r"\bJPMORGAN\b|\bCHASE\b", r"THROUGH"]),
-    ("Bank of America", [r"BANK\s+OF\s+AMERICA", r"DEPOSITS\s+AND\s+OTHER\s+CREDITS"]),
-    ("TD Bank", [r"\bTD\s*BANK\b|TORONTO[\-\s]DOMINION\s*BANK", r"ELECTRONIC\s*DEPOSITS|CHEQUE.{0,10}DEBIT", r"ELECTRONIC\s*PAYMENTS|CHEQUE.{0,10}DEBIT"]),
-    ("Wells Fargo", [r"WELLS\s+FARGO"]),
-    ("RBC", [r"\bRBC\b|ROYAL\s+BANK\s+OF\s+CANADA|RBCROYALBANK|CHEQUES?\s*[&＆]\s*DEBITS?"]),
-    ("US Bank", [r"U\.?S\.?\s*BANK"]),
-    ("PNC", [r"\bPNC\s*BANK\b|\bPNC\b"]),
-    ("Capital One", [r"CAPITAL\s+ONE"]),
-    ("Regions", [r"REGIONS\s+BANK|LIFEGREEN|REGIONS\.COM|REGIONSMORTGAGE|REGIONS\s+DEPOSIT|BANKING\s+WITH\s+REGIONS"]),
+    ("Chase", [[r"\bJPMORGAN\b|\bCHASE\b", r"THROUGH"]]),
+    ("Bank of America", [[r"BANK\s+OF\s+AMERICA", r"DEPOSITS\s+AND\s+OTHER\s+CREDITS"]]),
+    ("TD Bank", [[r"\bTD\s*BANK\b", r"ELECTRONIC\s*DEPOSITS", r"ELECTRONIC\s*PAYMENTS"], [r"TORONTO[\-\s]DOMINION\s*BANK", r"CHEQUE.{0,10}DEBIT"]]),
+    ("Wells Fargo", [[r"WELLS\s+FARGO"]]),
+    ("RBC", [[r"\bRBC\b|ROYAL\s+BANK\s+OF\s+CANADA|RBCROYALBANK|CHEQUES?\s*[&＆]\s*DEBITS?"]]),
+    ("US Bank", [[r"U\.?S\.?\s*BANK"]]),
+    ("PNC", [[r"\bPNC\s*BANK\b|\bPNC\b"]]),
+    ("Capital One", [[r"CAPITAL\s+ONE"]]),
+    ("Regions", [[r"REGIONS\s+BANK|LIFEGREEN|REGIONS\.COM|REGIONSMORTGAGE|REGIONS\s+DEPOSIT|BANKING\s+WITH\s+REGIONS"]]),
 ]
-CANADA_TRUST = r"TORONTO[\-\s]DOMINION\s*BANK|TD\s+CANADA\s+TRUST"
+# The Canadian layout of TD, by its name or by its column heads.
+CANADA_TRUST = r"TORONTO[\-\s]DOMINION\s*BANK|TD\s+CANADA\s+TRUST|(?=.*CHEQUE.{0,5}DEBIT)(?=.*DEPOSIT.{0,5}CREDIT)(?=.*BUSINESS\s+CHEQU)"
 
 # Labels of a summary. Each side is a list of alternatives; an alternative's patterns are added up. The last
 # group is the amount, an earlier one the count. "first" takes the first match of a pattern, "each" all, "once" all that differ.

@@ -54,3 +54,8 @@ def unspaced(line: Column) -> Column:
 def flat(text: Column) -> Column:
     """Lines, bars and tabs to single blanks."""
     return F.regexp_replace(F.translate(text, "\n|\t", "   "), r"(?U)\s+", " ")
+
+
+def extracted(text: Column, pattern: Column, group: int) -> Column:
+    """regexp_extract by a pattern that is itself a column."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(group))

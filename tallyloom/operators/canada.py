@@ -1,18 +1,20 @@
-"""Rows of Canadian statements: TD Canada tables and words, RBC text."""
+"""Rows of Canadian statements: tables, words and text of TD Canada and RBC."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.money import clean_money
+from ..functions.text import any_of
+from .folds import folded
 
 _MONEY = r"\d{1,3}(?:,\d{3})*\.\d{2}"
 _AMOUNT = r"[\d,]+\.\d{2}"
+_CREDIT, _DEBIT, _MERCHANT = (re.compile(p, re.IGNORECASE) for p in (L.RBC_CREDIT, L.RBC_DEBIT, L.RBC_MERCHANT))
 _ROWS = "statement", "page", "row_no", "part", "Date", "Description", "Debit", "Credit"
 
 
@@ -153,45 +155,83 @@ def rbc_words(words: DataFrame) -> DataFrame:
     return rows.withColumns({"row_no": F.row_number().over(on_page).cast("long"), "part": F.lit(0)}).select(*_ROWS, "Balance")
 
 
-def rbc(tables: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of pages from tables, of pages without such rows from their words, of statements without either from their lines (page null)."""
+def rbc_tables(cells: DataFrame) -> DataFrame:
+    """Ledger rows of cells(statement, page, table_no, row, col, text), as rbc_words has them, of tables with a row that names CHEQUES and DEPOSITS.
+
+    The first such row names the columns; one that it doesn't name is taken by position. Dates carry on within a table,
+    rows before the first, without an amount, or of balances and fees give nothing; tables of fewer than three rows neither.
+    Cells may have been cut in several ways (attempt): of each page the first that yields rows counts. One shuffle, by statement."""
+    cells = cells if "attempt" in cells.columns else cells.withColumn("attempt", F.lit(0))
+    table, of_table = ("statement", "page", "attempt", "table_no"), Window.partitionBy("statement", "page", "attempt", "table_no")
+    rows = cells.repartition("statement").groupBy(*table, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))).alias("c"))
+    said = F.upper(F.array_join("c.text", " "))
+    head = F.min(F.when(said.contains("CHEQUES") & said.contains("DEPOSITS"), F.struct("row", "c"))).over(of_table)
+    rows = rows.withColumns({"n": F.count("*").over(of_table), "h": head}).filter("n >= 3 AND row > h.row")
+
+    def place(word: str, otherwise: int) -> Column:
+        named = F.array_min(F.transform(F.filter("h.c", lambda x: F.upper(x["text"]).contains(word)), lambda x: x["col"]))
+        return F.coalesce(named, F.when(F.element_at("h.c", -1)["col"] >= otherwise, F.lit(otherwise)))
+
+    rows = rows.withColumns({f"{word}_at": place(word, k) for k, word in enumerate(("DATE", "DESCRIPTION", "CHEQUE", "DEPOSIT", "BALANCE"))})
+    at = lambda word: F.coalesce(F.trim(F.try_element_at(F.filter("c", lambda x: x["col"] == F.col(f"{word}_at")), F.lit(1))["text"]), F.lit(""))
+    money = lambda word: F.round(F.abs(clean_money(at(word))), 2)
+    day = r"^(\d{1,2})\s+([A-Za-z]{3})\b"
+    rows = rows.withColumns({"Description": F.trim(F.replace(at("DESCRIPTION"), F.lit("\n"), F.lit(" "))), "Debit": money("CHEQUE"), "Credit": money("DEPOSIT"), "Balance": money("BALANCE"), "said": at("DATE")})
+    dated = F.when(F.col("said").rlike(day), F.concat_ws(" ", F.regexp_extract("said", day, 1), F.regexp_extract("said", day, 2)))
+    rows = rows.withColumn("Date", F.last(dated, ignorenulls=True).over(of_table.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.filter(F.col("Date").isNotNull() & (F.col("Debit") + F.col("Credit") > 0) & ~any_of(F.lower("Description"), L.RBC_TABLE_SKIP))
+    rows = rows.withColumn("first", F.min("attempt").over(Window.partitionBy("statement", "page"))).filter("attempt = first")
+    number = F.row_number().over(Window.partitionBy("statement", "page").orderBy("table_no", "row")).cast("long")
+    return rows.withColumns({"row_no": number, "part": F.lit(0)}).select(*_ROWS, "Balance")
+
+
+def rbc(cells: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of pages from their tables, of pages without such rows from their words, of statements without either from their lines (page null)."""
+    tables = rbc_tables(cells)
     rest = rbc_words(words.join(tables.select("statement", "page").distinct(), ["statement", "page"], "left_anti"))
-    found = tables.select(rest.columns).unionByName(rest)
+    found = tables.unionByName(rest)
     text = rbc_text(lines.join(found.select("statement").distinct(), "statement", "left_anti")).withColumnRenamed("line_no", "row_no")
     return found.unionByName(text.withColumn("part", F.lit(0)), allowMissingColumns=True)
 
 
-def _follow(lines: pd.DataFrame) -> pd.DataFrame:
-    """Amount, side and balance of a statement's lines: each depends on the balance that the line before it left."""
-    credit, debit, merchant = (re.compile(p, re.IGNORECASE) for p in (L.RBC_CREDIT, L.RBC_DEBIT, L.RBC_MERCHANT))
-    balance, waiting, follows, out = 0.0, "", False, []
-    for row in lines.sort_values("line_no").itertuples():
-        if row.opening >= 0:
-            balance = row.opening
-            continue
-        amounts, follows = list(row.amounts), follows and not row.dated
-        if not amounts:
-            waiting, follows = row.rest, bool(merchant.search(row.rest))
-            continue
-        amount, printed, side, text = amounts[-1], 0.0, "", row.text or waiting
-        if follows and waiting and re.match(r"\d{6}", row.rest):
-            side, text, follows = "Credit", waiting, False
-        else:
-            if len(amounts) > 1 and balance > 0:
-                for name, sign in (("Debit", -1), ("Credit", 1)):
-                    if not side and round(abs(balance + sign * amounts[-2] - amounts[-1]), 2) < 2:
-                        amount, printed, side = amounts[-2], amounts[-1], name
-            if not side:
-                words = f"{text} {waiting}"
-                side = "Debit" if debit.search(words) else "Credit" if credit.search(words) else ""
-            follows = bool(merchant.search(text))
-        if not side:
-            waiting = text
-            continue
-        waiting = ""
-        balance = printed or round(max(0.0, balance - amount) if side == "Debit" else balance + amount, 2)
-        out.append((row.statement, row.line_no, row.date, text, amount * (side == "Debit"), amount * (side == "Credit"), printed))
-    return pd.DataFrame(out, columns=["statement", "line_no", "Date", "Description", "Debit", "Credit", "Balance"])
+class _Follow:
+    """State of rbc_text: the balance, the text that waits for an amount, and whether an amount of digits may follow a merchant's payment."""
+
+    def __init__(self, row: dict) -> None:
+        self.balance, self.waiting, self.follows = 0.0, "", False
+
+    def side(self, row: dict, text: str) -> tuple[str, float, float]:
+        """Side (or none), amount, printed balance (or 0) of a row with amounts."""
+        *_, last = amounts = row["amounts"]
+        if len(amounts) > 1 and self.balance > 0:
+            for name, sign in (("Debit", -1), ("Credit", 1)):
+                if round(abs(self.balance + sign * amounts[-2] - last), 2) < 2:
+                    return name, amounts[-2], last
+        said = f"{text} {self.waiting}"
+        return "Debit" if _DEBIT.search(said) else "Credit" if _CREDIT.search(said) else "", last, 0.0
+
+
+def _follow(state: _Follow, row: dict) -> tuple[_Follow, dict | None]:
+    """The next row's amount, side and balance: each depends on the balance that the row before left."""
+    if row["opening"] >= 0:
+        state.balance = row["opening"]
+        return state, None
+    state.follows = state.follows and not row["dated"]
+    if not row["amounts"]:
+        state.waiting, state.follows = row["rest"], bool(_MERCHANT.search(row["rest"]))
+        return state, None
+    text = row["text"] or state.waiting
+    if state.follows and state.waiting and re.match(r"\d{6}", row["rest"]):
+        side, amount, printed, text, state.follows = "Credit", row["amounts"][-1], 0.0, state.waiting, False
+    else:
+        side, amount, printed = state.side(row, text)
+        state.follows = bool(_MERCHANT.search(text))
+    if not side:
+        state.waiting = text
+        return state, None
+    state.waiting = ""
+    state.balance = printed or round(max(0.0, state.balance - amount) if side == "Debit" else state.balance + amount, 2)
+    return state, {"statement": row["statement"], "line_no": row["line_no"], "Date": row["date"], "Description": text, "Debit": amount * (side == "Debit"), "Credit": amount * (side == "Credit"), "Balance": printed}
 
 
 def rbc_text(lines: DataFrame) -> DataFrame:
@@ -200,7 +240,7 @@ def rbc_text(lines: DataFrame) -> DataFrame:
     it, debits before credits. A line of unknown side or without an amount lends its text to the next; an amount after
     digits under a merchant payment is its credit. Balance is 0 where none is printed; lines before a date give nothing.
 
-    A statement is one group of the fold."""
+    A statement's lines are folded in one pass; only the balance and the waiting text are carried."""
     line = F.trim(F.regexp_replace("line", r"\s+", " "))
     rows = lines.withColumn("line", line).filter("line <> ''")
     amounts = lambda c: F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"({_AMOUNT})"), 1), clean_money), lambda x: x > 0)
@@ -216,4 +256,4 @@ def rbc_text(lines: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_extract("rest", rf"^(.*?){_AMOUNT}", 1))
     rows = rows.select("statement", F.col("line_no").cast("long").alias("line_no"), F.coalesce("opening", F.lit(-1.0)).alias("opening"), "date", "dated", "rest", text.alias("text"), amounts(F.col("rest")).alias("amounts"))
     kind = dict(lines.dtypes)["statement"]
-    return rows.groupBy("statement").applyInPandas(_follow, f"statement {kind}, line_no long, Date string, Description string, Debit double, Credit double, Balance double")
+    return folded(rows, "statement", ["line_no"], _Follow, _follow, f"statement {kind}, line_no long, Date string, Description string, Debit double, Credit double, Balance double")

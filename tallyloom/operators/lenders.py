@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,20 +9,17 @@ from ..functions.dates import full_date
 from ..functions.lexicon import ALWAYS_CREDIT, ALWAYS_DEBIT, DEBIT_ONLY, FALSE_LENDERS, FUNDING_DEPOSIT, LENDERS, PREFIXES, SKIPPED, WEEKS_PER_MONTH
 from ..functions.money import money_of, total
 from ..functions.text import any_of, clean_text, matches
+from .needles import containing
 
 #: Longer descriptions are scanning noise.
 LONGEST = 400
 #: Keywords of at least so many letters also match the beginning of a longer word.
 COMPOUND = 6
-#: The dictionary goes to every task; a larger one is refused.
-MOST_KEYWORDS = 10_000
 
 
 def dictionary(spark, lenders: dict[str, list[str]] | None = None) -> DataFrame:
     """lender_ord, lender, kw_ord, kw: the order is that in which matches win."""
     rows = [(i, name, k, kw) for i, (name, kws) in enumerate((lenders or LENDERS).items()) for k, kw in enumerate(kws)]
-    if len(rows) > MOST_KEYWORDS:
-        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
     return spark.createDataFrame(rows, "lender_ord int, lender string, kw_ord int, kw string").withColumn("kw", clean_text(F.col("kw")))
 
 
@@ -33,13 +28,14 @@ def detect(texts: DataFrame, column: str, keywords: DataFrame) -> DataFrame:
     else the first that matches it without its payment prefix. Only texts with a match come back.
 
     A keyword matches as a whole word, at the start (also written together), or, if long, as the start of a word.
-    Each distinct text is matched once, against a dictionary of checked size."""
+    Each distinct text is matched once; keywords meet the texts that hold them by an equi-join, however many there are."""
     clean = texts.select(column).distinct().withColumn("__clean", clean_text(F.col(column)))
     tries = F.array(F.struct(F.lit(0).alias("variant"), F.col("__clean").alias("v")), F.struct(F.lit(1).alias("variant"), F.trim(F.regexp_replace("__clean", PREFIXES, "")).alias("v")))
     tried = clean.select(column, F.inline(tries))
+    written = keywords.withColumn("together", F.replace(F.col("kw"), F.lit(" "), F.lit("")))
+    met = containing(tried, "v", written.withColumn("needle", F.explode(F.array_distinct(F.array("kw", "together")))), "needle")
     inside = F.col("v").contains(F.col("kw")) & (F.col("v").startswith(F.col("kw")) | F.expr(r"v rlike concat('\\b\\Q', kw, '\\E\\b')") | ((F.length("kw") >= COMPOUND) & F.expr(r"v rlike concat('\\b\\Q', kw, '\\E')")))
-    together = F.col("v").startswith(F.replace(F.col("kw"), F.lit(" "), F.lit("")))
-    met = tried.join(F.broadcast(keywords), inside | together)
+    met = met.filter(inside | F.col("v").startswith(F.col("together")))
     return met.groupBy(column).agg(F.min(F.struct("variant", "lender_ord", "kw_ord", "lender", "kw")).alias("m")).select(column, F.col("m.lender").alias("lender"), F.col("m.kw").alias("keyword"))
 
 
@@ -146,13 +142,12 @@ def is_false_lender(text: Column) -> Column:
 def apply_saved_keywords(ledger: DataFrame, saved: DataFrame) -> DataFrame:
     """saved(name, type) against a ledger: a row for every keyword found in a description whose side has an amount; one transaction may count for several.
 
-    All keywords count: they are broadcast in blocks of about MOST_KEYWORDS."""
+    All keywords count, whatever their case and number; blank names are found nowhere. Each distinct description is searched once."""
     side = F.when(F.col("type") == "debit", F.col("Debit")).otherwise(F.col("Credit"))
-    hit = F.lower("Description").contains(F.lower("name")) & (side > 0)
-    blocks = max(1, -(-saved.count() // MOST_KEYWORDS))
-    block = F.pmod(F.xxhash64("name", "type"), F.lit(blocks))
-    found = [ledger.join(F.broadcast(saved.filter(block == b) if blocks > 1 else saved), hit) for b in range(blocks)]
-    return reduce(DataFrame.union, found).select("statement", "row_no", "Description", F.col("name").alias("keyword"), "type", F.round(side, 2).alias("amount"))
+    rows = ledger.withColumn("__text", F.lower("Description"))
+    found = containing(rows.select("__text").distinct(), "__text", saved.select("name", "type", F.lower("name").alias("__needle")), "__needle")
+    met = rows.join(found, "__text").filter(side > 0)
+    return met.select("statement", "row_no", "Description", F.col("name").alias("keyword"), "type", F.round(side, 2).alias("amount"))
 
 
 def add_keyword(saved: DataFrame, new: DataFrame) -> DataFrame:

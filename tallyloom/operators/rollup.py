@@ -70,6 +70,28 @@ def with_manual(totalled: DataFrame, picked: DataFrame, removed: bool = False) -
     return rows.withColumn("withholding_rate", F.round(percent(F.col("lender_debits"), F.col("true_revenue")), 4)).select(totalled.columns)
 
 
+def with_saved(totalled: DataFrame, matched: DataFrame) -> DataFrame:
+    """totals() with the rows that saved keywords found: matched(type, amount) from apply_saved_keywords().
+
+    Lender debits and credits grow by the amounts, withholding is taken anew of what is then left of the credits; true
+    revenue stays as it was, and without a match so does all else. One row crosses the join."""
+    side = lambda kind: total(F.when(F.col("type") == kind, F.col("amount")))
+    more = matched.agg(side("debit").alias("__debit"), side("credit").alias("__credit"), F.count("*").alias("__n")).withColumn("__k", F.lit(0))
+    rows = totalled.withColumn("__k", F.lit(0)).join(more, "__k")
+    debits, credits = (F.col(f"lender_{c}s") + F.col(f"__{c}") for c in ("debit", "credit"))
+    new = {"lender_debits": F.round(debits, 2), "lender_credits": F.round(credits, 2), "withholding_rate": F.round(percent(debits, F.col("credits") - credits), 4)}
+    return rows.select(*[F.when(F.col("__n") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in totalled.columns])
+
+
+def averages_with_saved(totalled: DataFrame, matched: DataFrame) -> DataFrame:
+    """averages() of totals() with the rows that saved keywords found; withholding is that of the totals."""
+    plain, more = averages(totalled), with_saved(totalled, matched)
+    changed = ("lender_debits", "lender_credits")
+    new = more.select(F.lit(0).alias("__k"), *[F.round(F.col(c) / F.col("statements"), 2).alias(f"__{c}") for c in changed], F.col("withholding_rate").alias("__rate"))
+    rows = plain.withColumn("__k", F.lit(0)).join(new, "__k")
+    return rows.withColumns({**{c: F.col(f"__{c}") for c in changed}, "withholding_rate": F.col("__rate")}).select(plain.columns)
+
+
 def monthly_summary(ledger: DataFrame) -> DataFrame:
     """month, revenue, debits, transactions, nsf, cash flow and debit rate by calendar month."""
     rows = ledger.withColumn("Month", F.date_format("Date", "MMMM yyyy")).groupBy("Month").agg(total(F.col("Credit")).alias("Monthly_Revenue"), total(F.col("Debit")).alias("Monthly_Debits"), F.count("Amount").alias("Transaction_Count"), F.count_if(nsf_flag(F.col("Description"))).alias("NSF_Count"))

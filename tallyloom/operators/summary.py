@@ -2,51 +2,75 @@
 
 from __future__ import annotations
 
+import json
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.money import clean_money, total
-from ..functions.text import flat, squeezed, unspaced
+from ..functions.money import clean_money, let, total
+from ..functions.text import extracted, flat, squeezed, unspaced
 from .lines import to_lines
 
-EMPTY = "struct<credits_amount:double,debits_amount:double,credit_count:int,debit_count:int>"
+_COLUMNS = ("credits_amount", "debits_amount", "credit_count", "debit_count")
+#: A rule: how amounts of a pattern count, and for either side alternatives of patterns with their number of groups.
+_RULE = "struct<how: string, counted: boolean, totals: string, sides: array<array<array<struct<p: string, groups: int>>>>>"
+_BANK = f"struct<name: string, tests: array<array<string>>, rule: {_RULE}>"
 
 
 def _groups(pattern: str) -> int:
-    import re
-
     return re.compile(pattern).groups
 
 
-def _each(text: Column, pattern: str) -> Column:
-    """All amounts that a pattern finds."""
-    return F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), _groups(pattern)), lambda x: F.abs(clean_money(x)))
+def _rule(name: str) -> dict:
+    how, *sides = L.SUMMARIES[name]
+    listed = [[[{"p": "(?i)" + p, "groups": _groups(p)} for p in patterns] for patterns in side] for side in sides]
+    return {"how": how, "counted": name != "TD Canada", "totals": "(?i)" + L.SUMMARY_TOTALS if name == "Capital One" else None, "sides": listed}
+
+
+def _banks() -> Column:
+    """All banks with their tests and rules, in the order in which they are tried: a constant, so the plan holds the expression that reads it once.
+
+    TD is two entries, of its Canadian and its other layout; a statement is of one of them."""
+    out = []
+    for name, tests in L.BANKS:
+        if name == "TD Bank":
+            out.append({"name": name, "tests": [[*t, L.CANADA_TRUST] for t in tests], "rule": _rule("TD Canada")})
+            tests = [[*t, f"^(?!.*(?:{L.CANADA_TRUST}))"] for t in tests]
+        out.append({"name": name, "tests": tests, "rule": _rule(name)})
+    return F.from_json(F.lit(json.dumps(out)), f"array<{_BANK}>")
 
 
 def _sum(amounts: Column) -> Column:
     return F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)
 
 
-def _added(text: Column, patterns: list[str], how: str) -> Column:
-    """The patterns' amounts added up: of each its first, each, or each different one."""
-    out = F.lit(0.0)
-    for p in patterns:
-        found = _each(text, p)
-        out = out + {"first": lambda f: F.coalesce(F.get(f, F.lit(0)), F.lit(0.0)), "each": _sum, "once": lambda f: _sum(F.array_distinct(f))}[how](found)
-    return F.round(out, 2)
+def _amounts(text: Column, pattern: Column, group: Column) -> Column:
+    """All amounts that a pattern finds."""
+    return F.transform(F.regexp_extract_all(text, pattern, group), lambda x: F.abs(clean_money(x)))
+
+
+def _value(text: Column, pattern: Column, how: Column) -> Column:
+    """What a pattern's amounts come to: the first, the sum of all, or the sum of those that differ."""
+    return let(_amounts(text, pattern["p"], pattern["groups"]), lambda f: F.when(how == "first", F.coalesce(F.get(f, F.lit(0)), F.lit(0.0))).when(how == "each", _sum(f)).otherwise(_sum(F.array_distinct(f))))
 
 
-def _alternatives(text: Column, sides: list[list[str]], how: str) -> Column:
-    """The first alternative that isn't 0."""
-    found = F.array(*[_added(text, patterns, how) for patterns in sides])
-    return F.coalesce(F.get(F.filter(found, lambda x: x != 0), F.lit(0)), F.lit(0.0))
+def _added(text: Column, patterns: list[str], how: str = "first") -> Column:
+    """Some patterns' values added up."""
+    listed = F.array(*[F.struct(F.lit("(?i)" + p).alias("p"), F.lit(_groups(p)).alias("groups")) for p in patterns])
+    return F.round(_sum(F.transform(listed, lambda p: _value(text, p, F.lit(how)))), 2)
 
 
-def _count(text: Column, sides: list[list[str]]) -> Column:
-    patterns = [p for s in sides for p in s if _groups(p) == 2]
-    found = [F.regexp_extract(text, "(?i)" + p, 1).try_cast("int") for p in patterns]
-    return F.coalesce(*found, F.lit(0))
+def _side(text: Column, alternatives: Column, rule: Column) -> Column:
+    """struct(amount, count): the first alternative that isn't 0, and the first count that any pattern with one finds."""
+    added = F.transform(alternatives, lambda patterns: F.round(_sum(F.transform(patterns, lambda p: _value(text, p, rule["how"]))), 2))
+    counted = F.filter(F.flatten(alternatives), lambda p: rule["counted"] & (p["groups"] == 2))
+    counts = F.transform(counted, lambda p: extracted(text, p["p"], 1).try_cast("int"))
+    first = lambda found, keep, otherwise: F.coalesce(F.get(F.filter(found, keep), F.lit(0)), F.lit(otherwise))
+    return F.struct(first(added, lambda x: x != 0, 0.0).alias("amount"), first(counts, lambda x: x.isNotNull(), 0).alias("count"))
 
 
 def _of(credits: Column, debits: Column, credit_count: Column | None = None, debit_count: Column | None = None) -> Column:
@@ -56,10 +80,12 @@ def _of(credits: Column, debits: Column, credit_count: Column | None = None, deb
 
 def is_bank(text: Column, name: str) -> Column:
     upper = F.upper(squeezed(text))
-    out = F.lit(True)
-    for pattern in dict(L.BANKS)[name]:
-        out = out & upper.rlike(pattern)
-    return out
+    return reduce(or_, [reduce(and_, [upper.rlike(p) for p in patterns]) for patterns in dict(L.BANKS)[name]])
+
+
+def is_canada_trust(text: Column) -> Column:
+    """Whether a statement of TD has the Canadian layout."""
+    return F.upper(squeezed(text)).rlike(L.CANADA_TRUST)
 
 
 def section_sum(region: Column) -> Column:
@@ -88,42 +114,50 @@ def region(text: Column, start: str, stop: str, after: str | None = None) -> Col
     return F.regexp_extract(body, rf"(?s)(?:{start})(.*?)(?:(?i:{stop})|\z)", 1)
 
 
-def bank_summary(text: Column, name: str) -> Column:
-    """The printed totals by the labels of a bank."""
-    line = flat(text)
-    how, credit, debit = L.SUMMARIES[name]
-    out = _of(_alternatives(line, credit, how), _alternatives(line, debit, how), _count(line, credit), _count(line, debit))
-    if name == "TD Bank":
-        return F.when(F.upper(squeezed(text)).rlike(L.CANADA_TRUST), bank_summary(text, "TD Canada")).otherwise(out)
-    if name == "TD Canada":
-        return _of(_alternatives(line, credit, how), _alternatives(line, debit, how))
-    if name == "Capital One":
-        both = lambda k: F.abs(clean_money(F.regexp_extract(line, "(?i)" + L.SUMMARY_TOTALS, k)))
-        return F.when((out["credits_amount"] == 0) & (out["debits_amount"] == 0), _of(both(1), both(2))).otherwise(out)
-    if name == "Regions":
-        credits = F.when(out["credits_amount"] > 0, out["credits_amount"]).otherwise(section_sum(region(line, r"DEPOSITS\s*&?\s*CREDITS", r"Total\s+Deposits|WITHDRAWALS")))
-        fee = F.coalesce(F.nullif(_added(line, [r"Monthly\s+Fee\s+\$?\s*([\d,]+\.\d{2})"], "first"), F.lit(0.0)), section_sum(region(line, r"\bFEES\b", r"Total\s+Overdraft|Total\s+Returned")))
-        summed = section_sum(region(line, "WITHDRAWALS", r"Total\s+Withdrawals|\bFEES\b", r"DEPOSITS\s*&?\s*CREDITS")) + fee + _added(line, [debit[0][2]], "first")
-        return _of(credits, F.when(_added(line, [debit[0][0]], "first") > 0, out["debits_amount"]).otherwise(F.round(summed, 2)))
-    return out
-
-
-def generic_summary(text: Column) -> Column:
-    """Of each side the largest amount with its count, the earliest of equals; a layout of sections is summed instead."""
-    line = flat(text)
-
-    def largest(patterns: list[str]) -> Column:
-        found = [F.transform(F.regexp_extract_all(line, F.lit("(?i)" + p), 2), lambda x: F.abs(clean_money(x))) for p in patterns]
-        counts = [F.transform(F.regexp_extract_all(line, F.lit("(?i)" + p), 1), lambda x: F.coalesce(x.try_cast("int"), F.lit(0))) for p in patterns]
-        ranked = lambda k: lambda x, y: F.struct(x.alias("amount"), F.lit(-k).alias("earlier"), y.alias("count"))
-        pairs = [F.zip_with(a, c, ranked(k)) for k, (a, c) in enumerate(zip(found, counts, strict=True))]
-        return F.array_max(F.concat(*pairs))
-
-    credit, debit = largest(L.GENERIC_CREDIT), largest(L.GENERIC_DEBIT)
+def _regions(line: Column, said: Column) -> Column:
+    """Labelled totals, else the sums of the sections."""
+    withdrawals, _, checks = L.SUMMARIES["Regions"][2][0]
+    credits = F.when(said["credits_amount"] > 0, said["credits_amount"]).otherwise(section_sum(region(line, r"DEPOSITS\s*&?\s*CREDITS", r"Total\s+Deposits|WITHDRAWALS")))
+    fee = F.coalesce(F.nullif(_added(line, [r"Monthly\s+Fee\s+\$?\s*([\d,]+\.\d{2})"]), F.lit(0.0)), section_sum(region(line, r"\bFEES\b", r"Total\s+Overdraft|Total\s+Returned")))
+    summed = section_sum(region(line, "WITHDRAWALS", r"Total\s+Withdrawals|\bFEES\b", r"DEPOSITS\s*&?\s*CREDITS")) + fee + _added(line, [checks])
+    return _of(credits, F.when(_added(line, [withdrawals]) > 0, said["debits_amount"]).otherwise(F.round(summed, 2)))
+
+
+def _bank_summary(line: Column, bank: Column) -> Column:
+    """The printed totals of a flat text by the labels of a bank."""
+    rule = bank["rule"]
+    line = F.when(bank["name"] == "RBC", F.translate(F.replace(line, F.lit("&amp;"), F.lit("&")), "–—−", "---")).otherwise(line)
+
+    def whole(line: Column, sides: Column) -> Column:
+        credit, debit = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+        said = _of(credit["amount"], debit["amount"], credit["count"], debit["count"])
+        both = lambda k: F.abs(clean_money(extracted(line, rule["totals"], k)))
+        none = (said["credits_amount"] == 0) & (said["debits_amount"] == 0)
+        return F.when(rule["totals"].isNotNull() & none, _of(both(1), both(2))).when(bank["name"] == "Regions", _regions(line, said)).otherwise(said)
+
+    return let(line, lambda text: let(F.transform(rule["sides"], lambda alternatives: _side(text, alternatives, rule)), lambda sides: whole(text, sides)))
+
+
+def generic_summary(line: Column) -> Column:
+    """Of a flat text: of each side the largest amount with its count, the earliest of equals; a layout of sections is summed instead."""
+
+    def largest(patterns: Column) -> Column:
+        def ranked(pattern: Column, k: Column) -> Column:
+            counts = F.transform(F.regexp_extract_all(line, pattern, F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+            return F.zip_with(_amounts(line, pattern, F.lit(2)), counts, lambda x, y: F.struct(x.alias("amount"), (-k).alias("earlier"), y.alias("count")))
+
+        return F.array_max(F.flatten(F.transform(patterns, ranked)))
+
+    listed = lambda patterns: F.array(*[F.lit("(?i)" + p) for p in patterns])
     special = line.rlike("(?i)" + L.SPECIAL_LAYOUT[0]) & line.rlike("(?i)" + L.SPECIAL_LAYOUT[1])
     summed = lambda patterns: F.when(special, F.nullif(_added(line, patterns, "each"), F.lit(0.0)))
     amount = lambda x: F.round(F.coalesce(x["amount"], F.lit(0.0)), 2)
-    return _of(F.coalesce(summed(L.SPECIAL_CREDIT), amount(credit)), F.coalesce(summed(L.SPECIAL_DEBIT), amount(debit)), F.coalesce(credit["count"], F.lit(0)), F.coalesce(debit["count"], F.lit(0)))
+
+    def whole(found: Column) -> Column:
+        credit, debit = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        return _of(F.coalesce(summed(L.SPECIAL_CREDIT), amount(credit)), F.coalesce(summed(L.SPECIAL_DEBIT), amount(debit)), F.coalesce(credit["count"], F.lit(0)), F.coalesce(debit["count"], F.lit(0)))
+
+    return let(F.transform(F.array(listed(L.GENERIC_CREDIT), listed(L.GENERIC_DEBIT)), largest), whole)
 
 
 def _some(summary: Column) -> Column:
@@ -132,16 +166,17 @@ def _some(summary: Column) -> Column:
 
 def route(texts: DataFrame, text: str = "text", translated: str | None = None) -> DataFrame:
     """statement, bank, and the summary's columns: the first bank that matches and finds an amount (in the text, then its
-    translation), else the generic labels, else zeros. A bank that matches and finds nothing passes on to the next."""
-    found = []
-    for name, _ in L.BANKS:
-        for column in dict.fromkeys((text, translated or text)):
-            found.append(F.when(is_bank(F.col(text), name), F.struct(F.lit(name).alias("bank"), bank_summary(F.col(column), name).alias("s"))))
-    for column in dict.fromkeys((text, translated or text)):
-        found.append(F.struct(F.lit("generic").alias("bank"), generic_summary(F.col(column)).alias("s")))
-    hits = F.filter(F.array(*found), lambda c: c.isNotNull() & _some(c["s"]))
-    best = texts.select("statement", F.explode(F.slice(F.concat(hits, F.array(F.lit(None).cast(f"struct<bank:string,s:{EMPTY}>"))), 1, 1)).alias("best"))
-    return best.select("statement", "best.bank", *[F.coalesce(f"best.s.{c}", F.lit(0)).alias(c) for c in ("credits_amount", "debits_amount", "credit_count", "debit_count")])
+    translation), else the generic labels, else zeros. A bank that matches and finds nothing passes on to the next.
+
+    Banks and labels are data: one expression reads them, so the plan doesn't grow with the rules."""
+    rows = texts.select("statement", F.upper(squeezed(F.col(text))).alias("upper"), F.array(*[flat(F.col(c)) for c in dict.fromkeys((text, translated or text))]).alias("lines"))
+    named = F.filter(_banks(), lambda b: F.exists(b["tests"], lambda patterns: F.forall(patterns, lambda p: F.rlike(F.col("upper"), p))))
+    one = lambda bank, said: F.struct(bank.alias("bank"), said.alias("s"))
+    by_bank = F.flatten(F.transform(named, lambda b: F.transform("lines", lambda line: one(b["name"], _bank_summary(line, b)))))
+    by_any = F.transform("lines", lambda line: one(F.lit("generic"), generic_summary(line)))
+    first = lambda found: F.get(F.filter(found, lambda c: _some(c["s"])), F.lit(0))
+    best = rows.select("statement", F.coalesce(first(by_bank), first(by_any)).alias("best"))
+    return best.select("statement", "best.bank", *[F.coalesce(f"best.s.{c}", F.lit(0)).alias(c) for c in _COLUMNS])
 
 
 def line_scan(lines: DataFrame) -> DataFrame:
@@ -171,13 +206,12 @@ def line_scan(lines: DataFrame) -> DataFrame:
     return sums.select("statement", amount("credit"), amount("debit"), F.col("credit_count").cast("int").alias("credit_count"), F.col("debit_count").cast("int").alias("debit_count"))
 
 
-def route_or_scan(texts: DataFrame) -> DataFrame:
+def route_or_scan(texts: DataFrame, translated: str | None = None) -> DataFrame:
     """route(), and for statements that it finds nothing in line_scan(), as bank `lines`."""
-    columns = ("credits_amount", "debits_amount", "credit_count", "debit_count")
-    scanned = line_scan(to_lines(texts)).select("statement", F.struct(*columns).alias("scan"))
-    rows = route(texts).join(scanned, "statement", "left")
+    scanned = line_scan(to_lines(texts)).select("statement", F.struct(*_COLUMNS).alias("scan"))
+    rows = route(texts, translated=translated).join(scanned, "statement", "left")
     use = F.col("bank").isNull() & _some(F.col("scan"))
-    return rows.select("statement", F.when(use, "lines").otherwise(F.col("bank")).alias("bank"), *[F.when(use, F.col(f"scan.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    return rows.select("statement", F.when(use, "lines").otherwise(F.col("bank")).alias("bank"), *[F.when(use, F.col(f"scan.{c}")).otherwise(F.col(c)).alias(c) for c in _COLUMNS])
 
 
 def estimated_balance(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MONTHS
+from .folds import folded
 
 
 def month_over_month(series: DataFrame, key: str, month: str, value: str) -> DataFrame:
@@ -34,14 +38,21 @@ def forecast(series: DataFrame, key: str, month: str, value: str) -> DataFrame:
 
 
 def fix_year_gaps(dates: DataFrame, key: str, date: str) -> DataFrame:
-    """key, position, fixed: in date order, a date over six months after the one before it, as corrected, loses a year.
+    """key, position, fixed: in date order, a date over six months after the one before it, as corrected, loses a year; null dates go.
+
+    Each step depends on the corrected one before. Positions are those of the corrected dates, in their order."""
 
-    Each step depends on the corrected one before: a fold over a key's ordered dates, which are a statement each."""
-    rows = dates.groupBy(key).agg(F.array_sort(F.collect_list(F.to_date(date))).alias("d"))
-    index = lambda d: F.year(d) * 12 + F.month(d)
-    late = lambda a, d: (F.size(a) > 0) & (index(d) - index(F.try_element_at(a, F.lit(-1))) > 6)
-    fixed = F.aggregate("d", F.array().cast("array<date>"), lambda a, d: F.concat(a, F.array(F.when(late(a, d), F.add_months(d, -12)).otherwise(d))))
-    return rows.select(key, F.posexplode(F.array_sort(fixed)).alias("position", "fixed"))
+    def step(before: datetime.date | None, row: dict) -> tuple[datetime.date, dict]:
+        day = row["d"]
+        if before is not None and (day.year - before.year) * 12 + day.month - before.month > 6:
+            day = day.replace(year=day.year - 1, day=min(day.day, calendar.monthrange(day.year - 1, day.month)[1]))
+        return day, {"k": row["k"], "fixed": day}
+
+    kind = dict(dates.dtypes)[key]
+    rows = dates.select(F.col(key).alias("k"), F.to_date(date).alias("d")).filter("d IS NOT NULL")
+    fixed = folded(rows, "k", ["d"], lambda _: None, step, f"k {kind}, fixed date")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("fixed")) - 1
+    return fixed.select(F.col("k").alias(key), place.alias("position"), "fixed")
 
 
 def running_balance(rows: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -49,19 +60,20 @@ def running_balance(rows: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
     Of the amounts the last is a balance if the balance before, plus or minus the amount before it, comes to it within
     the tolerance; that also tells the side. Otherwise the last is an amount of unknown side and the balance stays."""
-    ordered = rows.groupBy("statement").agg(F.first("opening").alias("opening"), F.array_sort(F.collect_list(F.struct("line_no", "amounts"))).alias("r"))
-    zero = F.struct(F.col("opening").cast("double").alias("balance"), F.array().cast("array<struct<line_no:bigint,amount:double,balance:double,section:string>>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        last, before = F.try_element_at(row["amounts"], F.lit(-1)), F.try_element_at(row["amounts"], F.lit(-2))
-        near = lambda v: F.coalesce(F.abs(v - last) <= tolerance, F.lit(False))
-        section = F.when(near(state["balance"] + before), "Credit").when(near(state["balance"] - before), "Debit").otherwise("")
-        known = section != ""
-        balance = F.when(known, last).otherwise(state["balance"])
-        new = F.struct(row["line_no"].cast("bigint").alias("line_no"), F.when(known, before).otherwise(last).alias("amount"), balance.alias("balance"), section.alias("section"))
-        return F.struct(balance.alias("balance"), F.concat(state["out"], F.array(new)).alias("out"))
-
-    return ordered.select("statement", F.inline(F.aggregate("r", zero, step, lambda s: s["out"])))
+
+    def step(balance: float, row: dict) -> tuple[float, dict]:
+        amounts, section = row["amounts"], ""
+        amount = amounts[-1] if amounts else None
+        if len(amounts) > 1:
+            for name, sign in (("Credit", 1), ("Debit", -1)):
+                if not section and abs(balance + sign * amounts[-2] - amounts[-1]) <= tolerance:
+                    section, amount = name, amounts[-2]
+        balance = amounts[-1] if section else balance
+        return balance, {"statement": row["statement"], "line_no": row["line_no"], "amount": amount, "balance": balance, "section": section}
+
+    kind = dict(rows.dtypes)["statement"]
+    ordered = rows.select("statement", F.col("opening").cast("double").alias("opening"), F.col("line_no").cast("long").alias("line_no"), F.col("amounts").cast("array<double>").alias("amounts"))
+    return folded(ordered, "statement", ["line_no"], lambda row: row["opening"], step, f"statement {kind}, line_no long, amount double, balance double, section string")
 
 
 def sort_month(date: Column, name: Column) -> Column:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows, computed now and kept in the folder that spark.checkpoint.dir names, where they survive lost executors.
-
-    Only a local session may leave it unset; it then gets a folder of its own."""
-    context = rows.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Only a local session may leave it unset; it then gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not context.master.startswith("local"):
+        found = spark.conf.get("spark.checkpoint.dir", "")
+        if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cuts-"))
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-cuts-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, computed now and kept in folder(), where they survive lost executors."""
+    folder(rows.sparkSession)
     return rows.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,24 +13,7 @@ from ..operators import balance, geometry, ledger, lenders, parsers, rollup, sum
 from ..operators.lines import to_lines
 from ..operators.metrics import nsf_in_text
 from .cuts import cut
-
-#: Row parsers by bank; every other bank's rows come from the universal parser, then the simple one.
-BY_BANK = {"Chase": parsers.chase, "Capital One": parsers.capital_one, "Regions": parsers.regions, "Bank of America": parsers.bank_of_america}
-
-
-def parse(texts: DataFrame, year: Column) -> DataFrame:
-    """Raw ledger of (statement, text): each statement by its bank's parser, what that leaves empty by the universal, then the simple one."""
-    bank = F.coalesce(*[F.when(summary.is_bank(F.col("text"), name), F.lit(name)) for name in (*BY_BANK, "TD Bank")])
-    known = texts.withColumn("bank", bank)
-    tried = [parser(to_lines(known.filter(F.col("bank") == name))) for name, parser in BY_BANK.items()]
-    tried.append(parsers.td_bank(to_lines(known.filter("bank = 'TD Bank'")), year))
-    unread = lambda rows, left: left.join(rows.select("statement").distinct(), "statement", "left_anti")
-    banks = cut(reduce(DataFrame.unionByName, tried))
-    left = unread(banks, texts)
-    universal = cut(parsers.universal(to_lines(left)))
-    simple = parsers.simple(to_lines(unread(universal, left)))
-    return banks.unionByName(universal).unionByName(simple).withColumnRenamed("line_no", "row_no")
-
+from .readers import READERS, Reader, Sources, cascade, known
 
 def with_columns_of(raw: DataFrame, words: DataFrame) -> DataFrame:
     """raw, and for statements that it has no credits of the rows by columns on their pages, if those have any."""
@@ -41,30 +24,42 @@ def with_columns_of(raw: DataFrame, words: DataFrame) -> DataFrame:
     return raw.join(better, "statement", "left_anti").unionByName(rows.select(raw.columns))
 
 
-def process(texts: DataFrame, year: Column, words: DataFrame | None = None, today: Column | None = None) -> dict[str, DataFrame]:
+def process(
+    texts: DataFrame, year: Column, words: DataFrame | None = None, today: Column | None = None, *, pages: DataFrame | None = None, cells: DataFrame | None = None,
+    boxes: DataFrame | None = None, ledgers: DataFrame | None = None, readers: Sequence[Reader] = READERS,
+) -> dict[str, DataFrame]:
     """ledger, metrics, lenders, flagged, totals, averages of (statement, text), a row in metrics for each statement. The
-    rows are parsed now and once, all else when it is used; keyed by statement throughout.
+    texts are taken and the rows read now and once, all else when it is used; keyed by statement throughout.
 
     Lenders are found in the rows as read, also in those whose date can't be resolved; the ledger holds the others only.
-    words: of the pages, see geometry.columnar_rows. today: for statements without any date, else the year's first day."""
-    raw = parse(texts, year)
-    raw = cut(lenders.repair_direction(with_columns_of(cut(raw), words) if words is not None else cut(raw)))
+    pages, words, cells, boxes: see readers.Sources. ledgers: statements that came as rows (see files.ledgers), which join
+    the others' rows. today: for statements without any date, else the year's first day."""
+    if ledgers is not None:
+        ledgers = cut(ledgers)
+        whole = ledgers.select("statement").distinct().withColumn("text", F.lit(""))
+        texts = texts.select("statement", "text", *[c for c in ("kind",) if c in texts.columns]).unionByName(whole.join(texts.select("statement"), "statement", "left_anti"), allowMissingColumns=True)
+    texts = known(texts, readers)
+    raw = cascade(Sources(texts, year, pages, words, cells, boxes), readers)
+    raw = with_columns_of(cut(raw), words) if words is not None else raw
+    if ledgers is not None:
+        raw = raw.unionByName(ledgers.select(raw.columns))
+    raw = cut(lenders.repair_direction(raw))
     rows = ledger.prepare(raw, year).withColumns({"Section": F.lit(""), "Raw Line": F.lit("")})
     found = lenders.with_lender(raw).withColumn("Date", dates.ledger_date(F.col("Date"), year))
-    text = F.col("text")
-    printed = texts.select("statement", nsf_in_text(text).alias("nsf_in_text")).join(summary.route_or_scan(texts), "statement", "left")
+    text, short = F.col("text"), texts.select("statement", F.col("short").alias("text"))
+    printed = texts.select("statement", nsf_in_text(text).alias("nsf_in_text")).join(summary.route_or_scan(texts, "short"), "statement", "left")
     metrics = rollup.statement_metrics(rows, printed, found, raw)
     span = dates.period(text)
     own = texts.select(
         "statement", F.when(summary.is_bank(text, "Regions"), summary.estimated_balance(text)).alias("estimated"), span["start"].alias("period_start"), span["stop"].alias("period_end"),
         dates.statement_date(text, F.col("statement").cast("string"), year, F.make_date(year, F.lit(1), F.lit(1)) if today is None else today).alias("statement_date"),
     )
-    charged = parsers.charges(to_lines(texts)).groupBy("statement").agg(total(F.col("amount")).alias("charges_only"))
+    charged = parsers.charges(to_lines(short)).groupBy("statement").agg(total(F.col("amount")).alias("charges_only"))
     more = own.join(balance.average_balance(texts).select("statement", "average"), "statement", "left").join(charged, "statement", "left").fillna(0.0, ["charges_only"])
     average = F.coalesce("average", "avg_daily_balance")
     metrics = metrics.join(more, "statement", "left").withColumn("avg_daily_balance", F.when(average == 0, F.coalesce("estimated", F.lit(0.0))).otherwise(average)).drop("average", "estimated")
     sums = rollup.totals(metrics)
     return {
-        "ledger": rows, "metrics": metrics, "lenders": lenders.lender_list(lenders.lender_debits(found), lenders.lender_credits(found)), "flagged": parsers.flagged(to_lines(texts)),
+        "ledger": rows, "metrics": metrics, "lenders": lenders.lender_list(lenders.lender_debits(found), lenders.lender_credits(found)), "flagged": parsers.flagged(to_lines(short)),
         "totals": sums, "averages": rollup.averages(sums),
     }

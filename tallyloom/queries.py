@@ -111,14 +111,43 @@ def q_saved_keywords(spark, d):
     return lenders.apply_saved_keywords(ledger(spark, d), _saved(spark)).withColumnRenamed("Description", "description")
 
 
-@query("SELECT * FROM (VALUES ('paypal', 'debit'), ('pay', 'debit'), ('Deposit', 'credit'), ('loan', 'credit'), ('stripe', 'credit')) t(name, type)")
+_SAVED_ROWS = f"saved AS (SELECT * FROM (VALUES {', '.join(map(str, _SAVED))}) t(name, type)), matched AS (SELECT type, CASE WHEN type = 'debit' THEN debit ELSE credit END AS amount FROM ledger JOIN saved ON contains(lower(description), lower(name)) AND CASE WHEN type = 'debit' THEN debit ELSE credit END > 0)"
+_SAVED_TOTALS = S.upto(S.METRICS) + f""", {_SAVED_ROWS}, t AS (SELECT count(*) AS statements, {_SUMS}, 0.0::DOUBLE AS avg_daily_balance FROM metrics),
+    p AS (SELECT {S.total("CASE WHEN type = 'debit' THEN amount END")} AS d, {S.total("CASE WHEN type = 'credit' THEN amount END")} AS c FROM matched),
+    u AS (SELECT t.* REPLACE (round(lender_debits + d, 2) AS lender_debits, round(lender_credits + c, 2) AS lender_credits), CASE WHEN credits > lender_credits + c THEN round((lender_debits + d) / (credits - (lender_credits + c)) * 100, 4) ELSE 0 END AS withholding_rate FROM t, p)"""
+
+
+@query(_SAVED_TOTALS + "SELECT * FROM u")
+def q_saved_keyword_totals(spark, d):
+    rows = ledger(spark, d)
+    return rollup.with_saved(rollup.totals(rollup.statement_metrics(rows)), lenders.apply_saved_keywords(rows, _saved(spark)))
+
+
+@query(_SAVED_TOTALS + f"SELECT statements, {', '.join(f'round({c} / statements, 2) AS {c}' for c in rollup.SUMMED)}, avg_daily_balance, withholding_rate FROM u")
+def q_saved_keyword_averages(spark, d):
+    rows = ledger(spark, d)
+    return rollup.averages_with_saved(rollup.totals(rollup.statement_metrics(rows)), lenders.apply_saved_keywords(rows, _saved(spark)))
+
+
+
+#: Keywords of parts: each brand and type, of debits where the size is even.
+_KEPT = "SELECT DISTINCT {} AS name, CASE WHEN p_size % 2 = 0 THEN 'debit' ELSE 'credit' END AS type FROM part"
+
+
+def _kept(spark, d, name):
+    return load(spark, d, "part").select(name.alias("name"), F.when(F.col("p_size") % 2 == 0, "debit").otherwise("credit").alias("type")).distinct()
+
+
+@query(f"WITH saved AS ({_KEPT.format('p_brand')}), new AS ({_KEPT.format('upper(p_brand)')} UNION SELECT trim(p_type), 'debit' FROM part) SELECT name, type FROM saved UNION ALL SELECT name, type FROM new WHERE NOT EXISTS (FROM saved s WHERE lower(s.name) = lower(new.name) AND s.type = new.type)")
 def q_add_keyword(spark, d):
-    return lenders.add_keyword(_saved(spark), spark.createDataFrame([("PAYPAL", "debit"), ("stripe", "credit"), (" ", "debit")], "name string, type string"))
+    new = _kept(spark, d, F.upper("p_brand")).unionByName(load(spark, d, "part").select(F.trim("p_type").alias("name"), F.lit("debit").alias("type"))).unionByName(load(spark, d, "part").select(F.lit(" ").alias("name"), F.lit("debit").alias("type")))
+    return lenders.add_keyword(_kept(spark, d, F.col("p_brand")), new)
 
 
-@query("SELECT * FROM (VALUES ('pay', 'debit'), ('loan', 'credit')) t(name, type)")
+@query(f"WITH saved AS ({_KEPT.format('p_brand')}), gone AS ({_KEPT.format('lower(p_brand)')}) SELECT name, type FROM saved WHERE type = 'credit' OR NOT EXISTS (FROM gone WHERE gone.name = lower(saved.name) AND gone.type = 'credit')")
 def q_remove_keyword(spark, d):
-    return lenders.remove_keyword(_saved(spark), spark.createDataFrame([("PayPal", "DEBIT"), ("deposit", "credit")], "name string, type string"))
+    gone = _kept(spark, d, F.lower("p_brand")).filter("type = 'credit'").withColumn("type", F.lit("DEBIT"))
+    return lenders.remove_keyword(_kept(spark, d, F.col("p_brand")), gone)
 
 
 @query(f"WITH {S.LEDGER} SELECT strftime(date, '%B %Y') AS \"Month\", {S.total('credit')} AS \"Monthly_Revenue\", {S.total('debit')} AS \"Monthly_Debits\", count(*) AS \"Transaction_Count\", count(*) FILTER ({S.matches_any('description', L.NSF_FLAG, 'i')}) AS \"NSF_Count\", round({S.total('credit')} - {S.total('debit')}, 2) AS \"Monthly_Cash_Flow\", round({S.total('debit')} / {S.total('credit')} * 100, 4) AS \"Withholding_Rate\" FROM ledger GROUP BY 1")
@@ -225,4 +254,4 @@ def q_risk_notes(spark, d):
     return m.select("statement", F.array_join(risk.notes(F.col("credits"), F.col("cash_flow"), F.col("nsf_count"), F.size(names) > 0, names, F.col("withholding_rate")), " ").alias("notes"))
 
 
-from . import queries_canada, queries_lines, queries_plans, queries_trends  # noqa: E402,F401  they register theirs
+from . import queries_banks, queries_canada, queries_lines, queries_plans, queries_trends  # noqa: E402,F401  they register theirs

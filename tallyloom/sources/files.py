@@ -1,26 +1,82 @@
-"""Uploads as DataFrames. PDF, image and spreadsheet content needs an extractor that the caller brings; none is built in."""
+"""Uploads as DataFrames: CSV and .xlsx ledgers by their own headers. PDF and image content needs extractors that the caller brings; none is built in."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import HEADER_PARTS
+from ..functions.text import any_of
+from ..plans.cuts import cut
+from .sheets import sheet_rows
+
 ACCEPTED = (".csv", ".xlsx", ".xls", ".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
-#: Tiers of text extraction: (name, least characters to accept); the last is always accepted.
-TIERS = (("digital", 500), ("neural", 300), ("plain", 0))
+PICTURES = (".png", ".jpg", ".jpeg", ".tiff", ".bmp")
+#: Most columns of a CSV file; one with more is an error.
+MOST_COLUMNS = 100
+_LEDGER = ("Date", "Description", "Debit", "Credit", "Amount", "Balance")
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; types come when the ledger is normalised."""
+    """Files of one header. All columns as text; types come when the ledger is normalised."""
     return spark.read.option("header", True).csv(path)
 
 
+def _named(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Raw ledger of rows(statement, row_no, cells) by headers(statement, header): the leftmost column that looks like a name counts."""
+    looks = lambda h: F.coalesce(*[F.when(any_of(F.lower(h), parts), F.lit(name)) for name, parts in HEADER_PARTS], F.when(h == "Balance", F.lit("Balance")), F.lit(""))
+    names = headers.select("statement", F.transform("header", lambda h: looks(F.regexp_replace(F.trim(F.coalesce(h, F.lit(""))), "^\\ufeff", ""))).alias("names"))
+    cell = lambda name: F.coalesce(F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1), F.lit(""))
+    return rows.join(names, "statement").select("statement", F.col("row_no").cast("long").alias("row_no"), *[cell(c).alias(c) for c in _LEDGER])
+
+
+def csv_ledgers(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """statement (the file's name, or as given of `_metadata`), row_no and the columns of a raw ledger, as text, of the CSV files under a path, each by its own header.
+
+    The first record of a file is its header, so columns may stand in another order in each, be missing, or be more. A
+    field may hold line feeds: a file is read by one task. Its rows meet its header by the file's name."""
+    schema = ", ".join(f"c{k} string" for k in range(MOST_COLUMNS + 1))
+    read = spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    listed = F.array(*[f"c{k}" for k in range(MOST_COLUMNS)])
+    filled = F.array_max(F.transform(listed, lambda x, k: F.when(x.isNotNull(), k + 1).otherwise(0)))
+    cells = F.when(F.col(f"c{MOST_COLUMNS}").isNotNull(), F.raise_error(F.lit(f"more than {MOST_COLUMNS} columns")).cast("array<string>")).otherwise(F.slice(listed, F.lit(1), filled))
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1) if name is None else name
+    rows = read.select(name.alias("statement"), F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
+    heads = rows.groupBy("statement").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("first"))
+    return _named(rows.join(heads.select("statement", "first"), "statement").filter("row_no > first").drop("first"), heads)
+
+
+def xlsx_ledgers(files: DataFrame) -> DataFrame:
+    """As csv_ledgers, of the first sheets of the .xlsx files among files(statement, content). The first row is the header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["statement"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                held: list[tuple[int, list]] = []
+                for row in sheet_rows(content):
+                    held.append(row)
+                    if len(held) == 10_000:
+                        yield _sheet_batch(name, held)
+                        held = []
+                if held:
+                    yield _sheet_batch(name, held)
+
+    rows = files.filter(F.lower("statement").endswith(".xlsx")).select("statement", "content").mapInArrow(run, "statement string, row_no long, cells array<string>")
+    heads = rows.groupBy("statement").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("first"))
+    return _named(rows.join(heads.select("statement", "first"), "statement").filter("row_no > first").drop("first"), heads)
+
+
+def _sheet_batch(name: str, rows: list[tuple[int, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"statement": [name] * len(rows), "row_no": pa.array([n for n, _ in rows], pa.int64()), "cells": pa.array([cells for _, cells in rows], pa.list_(pa.string()))})
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """statement (file name), content of accepted files; of equal names the first path."""
     files = spark.read.format("binaryFile").load(path).withColumn("statement", F.element_at(F.split("path", "/"), -1))
@@ -29,28 +85,55 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return kept.join(first, ["statement", "path"]).select("statement", "content")
 
 
-def extracted(files: DataFrame, extractors: list[Callable[[str, bytes], str]]) -> DataFrame:
-    """statement, text of each file by the first extractor whose text is long enough for its tier.
+@dataclass(frozen=True)
+class Tier:
+    """A way to get text out of a file: make() gives an extractor of (name, content), once a worker's task; texts of
+    fewer than `least` characters go on to the next tier, but for the last one's, which are always accepted."""
 
-    Extractors are made once a worker by being plain functions of (name, content); one that raises counts as empty."""
-    least = [n for _, n in TIERS][-len(extractors) :]
+    name: str
+    least: int
+    make: Callable[[], Callable[[str, bytes], str | None]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, content in zip(batch["statement"], batch["content"], strict=True):
-                text = ""
-                for extract, n in zip(extractors, least, strict=True):
+
+#: Least characters of text from documents by their own text and by recognition, and from pictures.
+LEAST_DIGITAL, LEAST_RECOGNISED, LEAST_PICTURE = 500, 300, 100
+
+
+def extracted(files: DataFrame, tiers: Sequence[Tier]) -> DataFrame:
+    """statement, text, tier, errors of files(statement, content): the text of the first tier that gives enough of it.
+
+    Each tier runs, when this is called, over the files that those before it left too short, and what it gives is written,
+    so a costly tier sees no file twice and none that needs no more. A file that a tier fails on counts as empty there
+    and its error is kept: errors is an array of `tier: message`."""
+
+    def runner(tier: Tier):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            extract = None
+            for batch in batches:
+                extract = extract or tier.make()
+                texts, errors = [], []
+                for name, content in zip(batch["statement"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                    text, error = "", None
                     try:
                         text = extract(name, content) or ""
-                    except Exception:  # noqa: BLE001  a damaged file is an empty one
-                        text = ""
-                    if len(text.strip()) >= max(n, 1):
-                        break
-                out.append((name, text))
-            yield pd.DataFrame(out, columns=["statement", "text"])
-
-    return files.mapInPandas(run, "statement string, text string")
+                    except Exception as e:  # noqa: BLE001  a file may be damaged in any way
+                        error = f"{tier.name}: {type(e).__name__}: {e}"
+                    texts.append(text)
+                    errors.append(error)
+                yield pa.RecordBatch.from_pydict({"statement": batch["statement"], "text": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())})
+
+        return run
+
+    left, out, failed = files.select("statement", "content"), [], None
+    for k, tier in enumerate(tiers):
+        got = cut(left.mapInArrow(runner(tier), "statement string, text string, error string").withColumn("tier", F.lit(tier.name)))
+        enough = F.length(F.trim("text")) >= tier.least if k + 1 < len(tiers) else F.lit(True)
+        out.append(got.filter(enough).select("statement", "text", "tier"))
+        errors = got.filter("error is not null").select("statement", F.lit(k).alias("k"), "error")
+        failed = errors if failed is None else failed.union(errors)
+        left = left.join(got.filter(~enough).select("statement"), "statement", "left_semi")
+    said = failed.groupBy("statement").agg(F.array_sort(F.collect_list(F.struct("k", "error"))).alias("e"))
+    return reduce(DataFrame.union, out).join(said, "statement", "left").select("statement", "text", "tier", F.coalesce("e.error", F.array().cast("array<string>")).alias("errors"))
 
 
 def plain_text(name: str, content: bytes) -> str:
