@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_labels
@@ -43,9 +43,11 @@ class Sources:
         return replace(self, texts=statements, **mine)
 
     def some(self, name: str) -> DataFrame:
-        """Cells or words, none if none are known."""
+        """Cells or words, none if none are known; a page whose width isn't known ends where its last word does."""
         found = getattr(self, name)
-        return self.texts.sparkSession.createDataFrame([], {"cells": _CELLS, "words": _WORDS}[name]) if found is None else found
+        if found is None:
+            return self.texts.sparkSession.createDataFrame([], {"cells": _CELLS, "words": _WORDS}[name])
+        return found.withColumn("width", F.max("x1").over(Window.partitionBy("statement", "page"))) if name == "words" and "width" not in found.columns else found
 
     @property
     def lines(self) -> DataFrame:

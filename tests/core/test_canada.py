@@ -58,9 +58,24 @@ def test_rbc_words_then_text(spark):
         + put(1, 100, ("Closing", 30), ("balance", 60), ("9.00", 500)) + put(1, 110, ("0033FFeebb", 0), ("X", 30), ("1.50", 300)) + put(2, 20, ("4Mar", 0), ("Y", 30), ("2.00", 322))
     )
     words = spark.createDataFrame(got, "statement string, page int, width double, text string, x0 double, x1 double, top double")
-    tables = spark.createDataFrame([], "statement string, page int, row_no long, part int, Date string, Description string, Debit double, Credit double, Balance double")
+    cells = spark.createDataFrame([], "statement string, page int, table_no int, row int, col int, text string")
     lines = spark.createDataFrame([("s", 0, "1 Jan Monthly fee 1.00"), ("t", 0, "1 Jan Monthly fee 1.00")], "statement string, line_no int, line string")
-    rows = canada.rbc(tables, words, lines).orderBy("statement", "page", "row_no").collect()
+    rows = canada.rbc(cells, words, lines).orderBy("statement", "page", "row_no").collect()
     assert [(r.statement, r.page, r.Date, r.Description, r.Debit, r.Credit, r.Balance) for r in rows] == [
         ("s", 1, "02 Jan", "FEE", 5.0, 0.0, 95.0), ("s", 1, "02 Jan", "PART TWO", 0.0, 7.0, 0.0), ("s", 1, "03 Feb", "X", 1.5, 0.0, 0.0), ("s", 2, "4 Mar", "Y", 2.0, 0.0, 0.0), ("t", None, "1 Jan", "Monthly fee", 1.0, 0.0, 0.0),
     ]
+
+
+def test_rbc_tables_map_headers_carry_dates_and_take_the_first_cutting_with_rows(spark):
+    head = ["Posted", "Description", "Cheques & Debits ($)", "Deposits & Credits ($)", "Balance ($)"]
+    body = [["", "before a date", "1.00", "", ""], ["3 Jan", "Fee", "$1,001.50", "", "9.00"], ["", "Pay\nroll", "", "2.25", ""], ["4 Jan", "Closing balance", "7.00", "", ""], ["", "nothing", "", "", "8.00"], ["5 Feb x", "Both", "1.00", "2.00", "(3.00)"]]
+    tables = {("s", 1, 0, 0): [["no head"], *body], ("s", 1, 1, 0): [["title"], head, *body], ("s", 1, 2, 0): [head, *body, *body], ("s", 2, 0, 0): [head[:4], ["6 Mar", "Short", "4.00", ""], ["", "", "", ""]], ("s", 2, 0, 1): [head, body[1]]}
+    rows = [(s, p, a, t, r, c, x) for (s, p, a, t), table in tables.items() for r, row in enumerate(table) for c, x in enumerate(row)]
+    cells = spark.createDataFrame(rows, "statement string, page int, attempt int, table_no int, row int, col int, text string")
+    got = [tuple(r)[1:] for r in canada.rbc_tables(cells).orderBy("page", "row_no").collect()]
+    assert got == [
+        (1, 1, 0, "3 Jan", "Fee", 1001.5, 0.0, 9.0), (1, 2, 0, "3 Jan", "Pay roll", 0.0, 2.25, 0.0), (1, 3, 0, "5 Feb", "Both", 1.0, 2.0, 3.0), (2, 1, 0, "6 Mar", "Short", 4.0, 0.0, 0.0),
+    ]
+    words = spark.createDataFrame([], "statement string, page int, width double, text string, x0 double, x1 double, top double")
+    lines = spark.createDataFrame([("s", 0, "1 Jan Monthly fee 1.00"), ("t", 0, "1 Jan Monthly fee 1.00")], "statement string, line_no int, line string")
+    assert [(r.statement, r.Description) for r in canada.rbc(cells, words, lines).orderBy("statement", "page", "row_no").collect()] == [("s", "Fee"), ("s", "Pay roll"), ("s", "Both"), ("s", "Short"), ("t", "Monthly fee")]

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import lenders, risk, trends
 from tallyloom.operators.summary import section_sum
+from tallyloom.sources.adapters import load
 
 SCHEMA = "statement string, row_no long, Date string, Description string, Debit double, Credit double, Amount double, Balance double, Section string, `Raw Line` string"
 
@@ -40,12 +41,34 @@ def test_risk(spark, inputs, want):
     assert tuple(spark.range(1).select(points, risk.level(points)).first()) == want
 
 
-def test_no_saved_keyword_is_left_out(spark, monkeypatch):
-    monkeypatch.setattr(lenders, "MOST_KEYWORDS", 3)
-    texts = [f"PAY <K{i}> NOW" for i in range(10)]
-    saved = spark.createDataFrame([(f"<k{i}>", "debit") for i in range(10)] + [("pay", "debit"), ("now", "credit")], "name string, type string")
+def test_keywords_of_any_length_are_found_as_parts(spark):
+    texts = [f"PAY <K{i}> NOW" for i in range(10)] + ["é日本 x", "", "aa"]
+    saved = spark.createDataFrame([(f"<k{i}>", "debit") for i in range(10)] + [("pay", "debit"), ("pay", "debit"), ("now", "credit"), ("W", "debit"), ("日本", "debit"), ("É日", "debit"), ("", "debit"), (None, "debit"), ("aaa", "debit")], "name string, type string")
     got = [(r.row_no, r.keyword, r.amount) for r in lenders.apply_saved_keywords(rows(spark, texts), saved).collect()]
-    assert sorted(got) == sorted([(i, f"<k{i}>", 700.0) for i in range(10)] + [(i, "pay", 700.0) for i in range(10)])
+    assert sorted(got) == sorted([(i, f"<k{i}>", 700.0) for i in range(10)] + [(i, "pay", 700.0) for i in range(10)] * 2 + [(i, "W", 700.0) for i in range(10)] + [(10, "日本", 700.0), (10, "É日", 700.0)])
+
+
+def test_50_000_keywords_meet_the_ledger_by_equal_grams(spark):
+    """The rows that looking for each keyword in each description gives, without a nested loop or a product of both."""
+    words = [f"{a}{b}{c} {k}" for k, (a, b, c) in enumerate((a, b, c) for a in ("KAP", "ON", "FUND", "X") for b in ("ITUS", "DECK", "BOX", "") for c in range(3125))]
+    saved = spark.createDataFrame([(w, "debit" if k % 2 else "credit") for k, w in enumerate(words)], "name string, type string")
+    assert saved.count() == 50_000
+    ledger = load(spark, "/root/testdata/sf0.1", "lineitem").select(F.col("l_orderkey").alias("statement"), F.col("l_linenumber").alias("row_no"), F.concat_ws(" ", F.lit("ach kapitus0"), F.col("l_partkey").cast("string")).alias("Description"), F.lit(1.0).alias("Debit"), F.lit(2.0).alias("Credit"))
+    found = lenders.apply_saved_keywords(ledger, saved)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    listed = {w.lower() for w in words}
+    want = 0
+    for description, n in ledger.groupBy("Description").count().collect():
+        want += n * len({description[i:j] for i in range(len(description)) for j in range(i + 1, len(description) + 1)} & listed)
+    assert found.count() == want > 0
+
+
+def test_many_lenders_are_one_dictionary(spark):
+    names = {f"LENDER {k}": [f"ZQ{k} CAPITAL"] for k in range(20_000)}
+    ledger = rows(spark, ["ACH ZQ77 CAPITAL 12", "ZQ19999CAPITAL", "ZQ20000 CAPITAL", "AZQ77 CAPITAL"])
+    got = {(r.Description, r.lender) for r in lenders.detect(ledger, "Description", lenders.dictionary(spark, names)).collect()}
+    assert got == {("ACH ZQ77 CAPITAL 12", "LENDER 77"), ("ZQ19999CAPITAL", "LENDER 19999")}
 
 
 def test_section_sum_and_year_gaps(spark):
