@@ -118,8 +118,8 @@ ORACLES = {
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
         k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
-        SELECT page_id, payload_bytes, sha1(h) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM k""",
+        SELECT page_id, payload_bytes, sha1(h) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to FROM k""",
     "op12_importance": rf"""
         WITH RECURSIVE bit AS (SELECT i AS b, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bit WHERE k < 8),
         crc AS (SELECT list(v ORDER BY b) AS c FROM bit WHERE k = 8),

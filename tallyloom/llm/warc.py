@@ -14,6 +14,7 @@ import hashlib
 import re
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,24 +42,25 @@ INDEX = "page_id bigint, bundle string, frame int, at bigint, length bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _urn(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """A record's id: a page_id may come with several payloads, and with one more than once (copy)."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest[:20]}{f':{copy}' if copy else ''}>"
 
 
 def _page(urn: str) -> int | None:
-    found = urn.strip("<>").rpartition(":")[2]
+    found = urn.strip("<>").split(":")[2]
     return None if found == "null" else int(found)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response with its payload, or a revisit with the HTTP head only."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0) -> bytes:
+    """A response with its payload, or a revisit with the HTTP head only, which refers to the first response of that id and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, digest, copy)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to, digest)}"]
     block = http if refers_to is not None else http + payload
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -152,7 +154,9 @@ class BundleReader:
 
 
 def _html(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    """page_id, who (the same as text, so that null ids meet too), url, payload."""
+    page_id = F.col("page_id").cast("long")
+    return pages.select(page_id.alias("page_id"), F.coalesce(page_id.cast("string"), F.lit("null")).alias("who"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
 
 
 def _digests() -> list[Column]:
@@ -160,14 +164,15 @@ def _digests() -> list[Column]:
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, SAME, refers_to) of the pages that revisit another; a page_id may repeat with other payloads.
+    """(page_id, who, SAME, refers_to) of the pages that revisit another; a page_id may repeat with other payloads.
 
-    Equal: the same SHA-1, MD5 and length. Only digests are shuffled and hot payloads are pre-aggregated."""
-    keys = written(_html(pages).select("page_id", *_digests()))
+    Equal: the same SHA-1, MD5 and length. A null page_id is smaller than all others; of payloads with null ids only
+    none revisits. Only digests are shuffled and hot payloads are pre-aggregated."""
+    keys = written(_html(pages).select("page_id", "who", *_digests()))
     same = list(SAME)
     long = keys.filter(F.col("bytes") >= least)
     kept = long.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return long.join(kept, same).filter("page_id <> refers_to").select("page_id", *same, "refers_to").distinct()
+    return long.join(kept, same).filter("page_id IS DISTINCT FROM refers_to").select("page_id", "who", *same, "refers_to").distinct()
 
 
 def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -175,8 +180,9 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
 
     Each task writes its own rows into bundles of about bundle_bytes, so payloads move at most once, to meet what they
     refer to. A bundle's name holds the task attempt: the index that is kept names the files of the attempt that wrote
-    it. Null html is an empty payload, null url leaves the header out, a null page_id is named null. Rows that repeat
-    a page_id and payload are alike: all response or all revisit. An empty table writes no bundle."""
+    it. Null html is an empty payload, null url leaves the header out, a null page_id is named null and, among equal
+    payloads, is smaller than any other. Rows that repeat a page_id and payload are alike: all response or all revisit,
+    each with a record id of its own. An empty table writes no bundle."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = (folder or f"{shared_dir(spark)}/tallyloom/warc-{uuid.uuid4().hex}").rstrip("/")
@@ -185,6 +191,7 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         out, size, n = None, 0, 0
+        copies: Counter = Counter()  # rows of one page_id and payload are dealt to one task
         for batch in batches:
             index = []
             for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
@@ -192,7 +199,9 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
                     if out:
                         out.close()
                     out, size, n = BundleWriter(f"{folder}/bundle-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.zst", frame_bytes), 0, n + 1
-                data = record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), refers_to)
+                digest = hashlib.sha1(payload)
+                data = record(page_id, url, payload, digest.hexdigest(), refers_to, copies[page_id, digest.digest()])
+                copies[page_id, digest.digest()] += 1
                 size += len(data)
                 index.append(out.add(page_id, data))
             if index:
@@ -203,8 +212,8 @@ def archive(pages: DataFrame, folder: str | None = None, bundle_bytes: int = BUN
     files, name = pafs.FileSystem.from_uri(folder)
     files.create_dir(name, recursive=True)
     # dealt by page_id and digests once, whole: an even key, so that a task has a bundle's worth of rows and not a splinter of them
-    key = ["page_id", *SAME]
-    rows = _html(pages).select("*", *_digests()).repartition(*key).join(revisits(pages), key, "left").select("page_id", "url", "payload", "refers_to")
+    key = ["who", *SAME]
+    rows = _html(pages).select("*", *_digests()).repartition(*key).join(revisits(pages).drop("page_id"), key, "left").select("page_id", "url", "payload", "refers_to")
     return written(rows.mapInArrow(write, INDEX))
 
 

@@ -18,7 +18,7 @@ def brute(rows):
     for r in rows:
         body = (r.html or "").encode()
         ids = [i for i in same[body] if i is not None]
-        revisit = len(body) >= 1000 and r.page_id is not None and r.page_id != max(ids)
+        revisit = len(body) >= 1000 and bool(ids) and r.page_id != max(ids)
         out[r.page_id, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", max(ids) if revisit else None] += 1
     return out
 
@@ -40,13 +40,30 @@ def test_round_trip(spark):
 
 def test_an_id_that_repeats_with_two_payloads(spark):
     a, b = "a" * 2000, "b" * 2000
-    for rows in ([(5, "u", a), (5, "v", b), (9, "w", a)], [(5, "u", a), (5, "v", b), (9, "w", a), (10, "x", b)]):
+    for rows in ([(5, "u", a), (5, "v", b), (9, "w", a), (None, "n", a)], [(5, "u", a), (5, "v", b), (9, "w", a), (10, "x", b)], [(None, "u", a), (None, "v", a), (None, None, b), (1, "x", b)]):
         pages = spark.createDataFrame(rows, "page_id long, url string, html string")
         got = warc.read_back(warc.archive(pages)).collect()
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute(pages.collect())
         assert {bytes(r.payload) for r in got if r.record_type == "response"} == {a.encode(), b.encode()}
 
 
+def test_each_record_id_names_one_record(spark):
+    a, b = "a" * 2000, "b" * 2000
+    rows = [(5, "u", a), (5, "v", b), (9, "w", a), (9, "w2", a), (None, "n", a), (None, "n2", a), (None, "m", b), (7, "s", "x"), (7, "s", "x"), (8, "t", "x"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.archive(pages)
+    heads = []
+    for path in {r.bundle for r in index.collect()}:
+        plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(open(path.removeprefix("file://"), "rb").read()), read_across_frames=True).read()
+        heads += [dict(x.split(": ", 1) for x in part.split("\r\n\r\n")[0].split("\r\n")[1:]) for part in plain.decode().split("WARC/1.1\r\nWARC")[1:] for part in ["\r\nWARC" + part]]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(heads) == len(ids) == len(rows)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            named = ids[h["WARC-Refers-To"]]
+            assert named["WARC-Type"] == "response" and named["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+
+
 def test_index_and_frames(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     index = warc.archive(pages, bundle_bytes=60_000, frame_bytes=10_000)
