@@ -86,6 +86,15 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total:
     return marked.filter("__hot").select(*rows.columns, *values).unionByName(others)
 
 
+#: Rows of numbers that a task can hold of a broadcast side.
+FEW = 1_000_000
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """A written cut of ids, marked for a broadcast if it has at most FEW rows; larger ones meet by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """rows with a column for each of sums (new name: column): its sum over all rows before, in a total order.
 

@@ -10,11 +10,11 @@ are tallied by the positional bytes they share, those under the guaranteed minim
 * `sketch`: 256 positional bytes, each the low byte of a min-wise hash of the shingles. Two texts share a byte
   with a probability of their Jaccard similarity. A SimHash can't serve a similarity of 0.8: at that similarity
   64 bits differ in 10 on average, which guarantees no shared byte at all. Index and tally are the same, under a
-  bar well below 0.8; groups of such candidates are then verified by the exact Jaccard of their shingle-hash sets.
+  bar well below 0.8; such candidates are then verified by the exact Jaccard of their shingle-hash sets.
 
 Posting lists are worked on by chunk pairs of bounded size, and a task emits a spanning forest of the links it
-finds in a chunk pair, not the links: a list of m fingerprints gives fewer than m rows a chunk pair. Groups of
-candidates are verified in the same way, with the sets beside the sketches, so the forest is one of verified links.
+finds in a chunk pair, not the links: a list of m fingerprints gives fewer than m rows a chunk pair. Candidates are
+verified where they meet: those of the forests first, then those that are apart still, with the sets beside the sketches.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, written
+from .common import discard, if_small, map_batches, meet, settle, small_batches, written
 from .components import components
 
 BITS = 3
@@ -39,8 +39,6 @@ SKETCH = 256
 SHARE = 0.65
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 ALIKE = (4, 5)
-#: Shingles in a chunk of a group of candidates, about.
-CHUNK_SHINGLES = 1 << 20
 
 
 def covering(n: int = 8, of: int = 5, k: int = 4) -> list[tuple[int, ...]]:
@@ -113,18 +111,17 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
 
 def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, fp (sketch), digest of the shingle-hash set and its size per row."""
+    """doc_id, fp (sketch), digest of the shingle-hash set per row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp, digest, n = [], [], []
+        fp, digest = [], []
         for text in batch.column(1).to_pylist():
             h = np.unique(shingle_hashes(text, k))
             fp.append(_sketch_of(h))
             digest.append(xxhash.xxh128_digest(h.tobytes()))
-            n.append(len(h))
-        return pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp, pa.binary()), "digest": pa.array(digest, pa.binary()), "shingles": pa.array(n, pa.int64())})
+        return pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp, pa.binary()), "digest": pa.array(digest, pa.binary())})
 
-    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, fp binary, digest binary, shingles bigint")
+    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, fp binary, digest binary")
 
 
 def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -220,113 +217,154 @@ def _by_units(flush):
     return run
 
 
+def _candidates(unit: slice, i: int, j: int, chunk: np.ndarray, fp: np.ndarray, least: int, bits: int | None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a unit that are linked, with the positional bytes they share; with group, only those of different groups."""
+    left = unit.start + np.flatnonzero(chunk[unit] == i)
+    right = left if i == j else unit.start + np.flatnonzero(chunk[unit] == j)
+    found: list[list[np.ndarray]] = [[], [], []]
+    for n, p in enumerate(left):
+        others = right[n + 1 :] if i == j else right
+        if group is not None:
+            others = others[group[others] != group[p]]
+        if len(others) and (ok := _linked(fp[p][None, :], fp[others], least, bits)).any():
+            hit = others[ok]
+            for column, x in zip(found, (np.full(len(hit), p), hit, (fp[p][None, :] == fp[hit]).sum(1, dtype=np.int32)), strict=True):
+                column.append(x)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+
+
 def _link_units(least: int, bits: int | None):
-    """Rows (key, i, j, chunk, rep, fp) sorted by (key, i, j) to a spanning forest (a, b) of the links of each unit."""
-
-    def unit(chunk: np.ndarray, i: int, j: int, rep: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        left = np.flatnonzero(chunk == i)
-        right = left if i == j else np.flatnonzero(chunk == j)
-        for n, p in enumerate(left):
-            others = right[n + 1 :] if i == j else right
-            if len(others) and (ok := _linked(fp[p][None, :], fp[others], least, bits)).any():
-                hit = others[ok]
-                found_a.append(np.full(len(hit), rep[p]))
-                found_b.append(rep[hit])
-        if not found_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        kept = _forest(a, b)
-        return a[kept], b[kept]
+    """Rows (key, i, j, chunk, rep, fp) sorted by (key, i, j) to a spanning forest (a, b) of the links of each unit.
+
+    The links that share most bytes come first, of those that share as many the ones between neighbours, so that the
+    forest is made of likely links and of few hubs."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         key, i, j, chunk, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep"))
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
         new, sizes = _spans(key, i, j)
-        out_a, out_b = [], []
         starts = new[(sizes == 2) & (i[new] == j[new])]  # most lists: a pair
+        ok = _linked(fp[starts], fp[starts + 1], least, bits) if len(starts) else np.empty(0, bool)
+        out = [(rep[starts[ok]], rep[starts[ok] + 1])]
+        others = (sizes > 2) | (sizes == 2) & (i[new] != j[new])
+        for at, n in zip(new[others].tolist(), sizes[others].tolist(), strict=True):
+            p, q, same = _candidates(slice(at, at + n), int(i[at]), int(j[at]), chunk, fp, least, bits)
+            order = np.lexsort((q - p, -same))
+            a, b = rep[p[order]], rep[q[order]]
+            kept = _forest(a, b)
+            out.append((a[kept], b[kept]))
+        return _edges(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    return _by_units(flush)
+
+
+def _open_units(least: int):
+    """Rows (key, i, j, chunk, rep, fp, component) sorted by (key, i, j) to (key, i, j, chunk, rep) of those with a candidate of another component in their unit."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, chunk, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "component"))
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
+        new, sizes = _spans(key, i, j)
+        starts = new[(sizes == 2) & (i[new] == j[new])]
+        starts = starts[component[starts] != component[starts + 1]]
         if len(starts):
-            ok = _linked(fp[starts], fp[starts + 1], least, bits)
-            out_a.append(rep[starts[ok]])
-            out_b.append(rep[starts[ok] + 1])
-        for at, n in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            a, b = unit(chunk[at : at + n], int(i[at]), int(j[at]), rep[at : at + n], fp[at : at + n])
-            out_a.append(a)
-            out_b.append(b)
-        for at in new[(sizes == 2) & (i[new] != j[new])].tolist():
-            a, b = unit(chunk[at : at + 2], int(i[at]), int(j[at]), rep[at : at + 2], fp[at : at + 2])
-            out_a.append(a)
-            out_b.append(b)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return _edges(a, b)
+            starts = starts[_linked(fp[starts], fp[starts + 1], least, None)]
+        rows = [starts, starts + 1]
+        others = (sizes > 2) | (sizes == 2) & (i[new] != j[new])
+        for at, n in zip(new[others].tolist(), sizes[others].tolist(), strict=True):
+            rows += _candidates(slice(at, at + n), int(i[at]), int(j[at]), chunk, fp, least, None, component)[:2]
+        at = np.unique(np.concatenate(rows))
+        return pa.record_batch({c: pa.array(table.column(c).to_numpy()[at], pa.int64()) for c in ("key", "i", "j", "chunk", "rep")})
 
     return _by_units(flush)
 
 
 def _verify_units(least: int):
-    """Rows (key, i, j, chunk, rep, fp, hashes) sorted by (key, i, j) to a spanning forest (a, b) of the verified links of each unit.
+    """Rows (key, i, j, chunk, rep, fp, component, hashes) sorted by (key, i, j) to verified links (a, b) between components, a forest for each unit.
 
-    Pairs that verified links connect already aren't compared; all others that reach the least are."""
+    All candidates of a unit are compared but those that verified links connect already."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        key, i, j, chunk, rep = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep"))
+        key, i, j, chunk, rep, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "rep", "component"))
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         found = []
         for at, n in zip(*(x.tolist() for x in _spans(key, i, j)), strict=True):
             trees = _Trees()
-            left = at + np.flatnonzero(chunk[at : at + n] == i[at])
-            right = left if i[at] == j[at] else at + np.flatnonzero(chunk[at : at + n] == j[at])
-            for m, p in enumerate(left.tolist()):
-                others = right[m + 1 :] if i[at] == j[at] else right
-                if not len(others):
-                    continue
-                x = int(rep[p])
-                for q in others[_linked(fp[p][None, :], fp[others], least, None)].tolist():
-                    y = int(rep[q])
-                    if trees.top(x) != trees.top(y) and _alike(sets[p], sets[q]):
-                        trees.join(x, y)
-                        found.append((x, y))
+            for p, q, _ in zip(*(x.tolist() for x in _candidates(slice(at, at + n), int(i[at]), int(j[at]), chunk, fp, least, None, component)), strict=True):
+                x, y = int(component[p]), int(component[q])
+                if trees.top(x) != trees.top(y) and _alike(sets[p], sets[q]):
+                    trees.join(x, y)
+                    found.append((int(rep[p]), int(rep[q])))
         return _edges(*np.array(found, np.int64).reshape(-1, 2).T)
 
     return _by_units(flush)
 
 
 def link(nodes: DataFrame, sets: list[tuple[int, ...]], least: int, bits: int | None, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect what is linked among nodes (rep bigint, fp binary; distinct): a forest for each unit of a posting list.
+    """Edges (a, b) that connect what is linked among nodes (rep bigint, fp binary; distinct): a forest for each unit of a posting list."""
+    small_batches(nodes.sparkSession)
+    return _posted(nodes, sets, chunk, "fp").mapInArrow(_link_units(least, bits), "a bigint, b bigint").distinct()
+
+
+def _posted(nodes: DataFrame, sets: list[tuple[int, ...]], chunk: int, *carried: str) -> DataFrame:
+    """Rows (key, i, j, chunk, rep, carried) of the posting lists of nodes, dealt into units.
 
     A posting list of more than `chunk` fingerprints is dealt into chunks by hash and each pair of chunks is a unit
     of its own, so that no task holds more than two chunks and none is left out. A list of m distinct fingerprints is
     copied m / chunk times and compared pair by pair, which is exact and grows with the square of m; lists are short
     because equal fingerprints are one node and a key holds four bytes: one list holds what agrees in half of a SimHash
     or in a band of a sketch, near-duplicates with different fingerprints and next to no others."""
-    spark = nodes.sparkSession
-    small_batches(spark)
     byte = lambda p: F.substring("fp", p + 1, 1)
     keys = F.array(*[F.xxhash64(F.lit(n), F.concat(*map(byte, s))) for n, s in enumerate(sets)])
     posted = nodes.select("rep", F.explode(keys).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = posted.join(shared, "key").join(nodes, "rep").withColumn("chunks", F.ceil(F.col("n") / chunk))
-    return _dealt(met, "fp").mapInArrow(_link_units(least, bits), "a bigint, b bigint").distinct()
-
-
-def _dealt(met: DataFrame, *carried: str) -> DataFrame:
-    """Rows (key, rep, chunks, ...) dealt into the units of each key: pairs of its chunks."""
     met = met.withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), F.col("chunks")))
     units = met.select("key", "chunk", "rep", *carried, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    units = units.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", *carried)
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _in_units(units.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", *carried))
+
+
+def _in_units(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep, hashes (the sorted shingle-hash set) of some nodes (rep, digest), made anew from their texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(if_small(wanted), "rep", "left_semi")
+    return _shingle_sets(texts, k).join(nodes.select("rep", "digest"), ["rep", "digest"]).dropDuplicates(["rep"]).select("rep", "hashes")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, k: int, least: int, chunk: int = CHUNK) -> DataFrame:
+    """node, component of the nodes (rep, fp, digest) whose shingle sets are alike, chained.
 
+    Only pairs that meet in a posting list are compared. First the likeliest candidates, a forest for each unit, are
+    verified and what they connect is one; then, in each unit, those candidates that are still apart are, which are few:
+    in a group of copies the forest connects nearly all. So the work grows with the candidates, not with the square of
+    what chains of them connect, and no list of all pairs is made."""
+    small_batches(docs.sparkSession)
+    forest = written(link(nodes.select("rep", "fp"), BANDS, least, None, chunk))
+    settle(docs.sparkSession)
+    ends = written(forest.select(F.col("a").alias("rep")).union(forest.select("b")).distinct())
+    sets = written(_sets(docs, nodes, ends, k))
+    met = forest.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
-def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int, least: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect the nodes (rep, fp, digest, shingles) of each group of candidates (node, component) whose shingle sets are alike.
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (batch.column(c).to_pylist() for c in (2, 3))
+        return batch.select(["a", "b"]).filter(pa.array([_alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    A group meets whole, in chunk pairs bounded in rows and shingles; the sets are made anew from the texts of its nodes only."""
-    near = written(nodes.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("key")), "rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(near.select("rep").distinct(), "rep", "left_semi").distinct()
-    sizes = near.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("shingles") / CHUNK_SHINGLES)).alias("chunks"))
-    met = near.join(sizes, "key").join(_shingle_sets(texts, k), ["rep", "digest"])
-    return _dealt(met, "fp", "hashes").mapInArrow(_verify_units(least), "a bigint, b bigint").distinct()
+    links = written(map_batches(met, alike, "a bigint, b bigint"))
+    settle(docs.sparkSession)
+    known = components(links).withColumnRenamed("node", "rep")
+    # nodes of the forest are all that have a candidate at all
+    placed = written(nodes.select("rep", "fp").join(ends, "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    still = written(_posted(placed, BANDS, chunk, "fp", "component").mapInArrow(_open_units(least), "key bigint, i bigint, j bigint, chunk bigint, rep bigint"))
+    settle(docs.sparkSession)
+    rest = _in_units(still.join(placed, "rep").join(sets, "rep").select("key", "i", "j", "chunk", "rep", "fp", "component", "hashes"))
+    more = written(rest.mapInArrow(_verify_units(least), "a bigint, b bigint").distinct())
+    found = components(links.union(more))
+    discard(forest, sets, still, placed, ends)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -335,14 +373,15 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     Null, empty and blank texts have fingerprint zero and link like any other. A row without doc_id has a
     fingerprint and no component. Repeated rows come back repeated; an empty table gives none."""
     rows = written(fingerprints(docs, k))
-    nodes = written(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = components(link(nodes, KEYS, 8 - BITS, BITS))
-    joined = nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    out = rows.join(joined.select("fp", F.coalesce("component", "rep").alias("component_id")), "fp", "left")
-    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nodes = written(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    groups = components(link(nodes.select("rep", "fp"), KEYS, 8 - BITS, BITS))
+    joined = nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = meet(rows.filter("doc_id is not null"), joined, ["fp"], "n", total).unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
+    return met.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE, chunk: int = CHUNK) -> DataFrame:
     """Rows of docs without near copies: of each group of texts whose k-word shingles are alike to 0.8 or more, chained,
     that of the smallest doc_id stays. Null, empty and blank texts have no shingles and stay, as do rows without doc_id.
 
@@ -351,9 +390,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataF
     share: the least share of equal sketch bytes of a candidate pair; whether it is a link is decided by the shingle sets."""
     least = int(np.ceil(share * SKETCH))
     words = written(sketches(docs, k).filter((F.length("fp") > 0) & F.col("doc_id").isNotNull()))
-    nodes = written(words.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles")))
-    candidates = components(link(nodes.select("rep", "fp"), BANDS, least, None))
-    found = components(_verified(docs, nodes, candidates, k, least)).withColumnRenamed("node", "rep")
-    groups = nodes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    gone = words.join(groups, "digest").filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    nodes = written(words.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = _verified(docs, nodes, k, least, chunk).withColumnRenamed("node", "rep")
+    groups = nodes.join(found, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = written(meet(words, groups, ["digest"], "n", total).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(if_small(gone), docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -142,7 +142,7 @@ def test_pairs_about_the_bar_against_brute_force(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(want.values())
 
 
-def test_verified_in_chunks(spark, monkeypatch):
+def test_verified_in_chunks(spark):
     """A group far over a chunk keeps the links between its chunks."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
@@ -154,8 +154,27 @@ def test_verified_in_chunks(spark, monkeypatch):
         texts.append(" ".join(copy))
     want = union(range(60), [(a, b) for a, b in itertools.combinations(range(60), 2) if jaccard(texts[a], texts[b]) >= 0.8])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 1000)
-    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(want.values())
+    for chunk in (7, 16):
+        assert {r.doc_id for r in simhash.drop_near_copies(docs, chunk=chunk).collect()} == set(want.values())
+
+
+def test_a_chain_of_20_000_texts_is_one_group(spark):
+    """Each is alike to its neighbours only: the work is that of the links, not of all pairs of the chain."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 9 + i).cast("string")))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    assert [r.doc_id for r in simhash.drop_near_copies(docs).collect()] == [0]
+
+
+def test_texts_about_one_form_stay(spark):
+    """Most pairs are candidates and none are alike, but for two copies: each is compared where it meets the others."""
+    form = [f"f{i}" for i in range(150)]
+    texts = [" ".join(form[:75] + [f"own{n}x{i}" for i in range(26)] + form[75:]) for n in range(150)]
+    texts += [texts[0].replace("own0x5 ", ""), texts[40].replace("own40x25", "changed")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = union(range(len(texts)), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8])
+    assert 140 < len(set(want.values())) < len(texts)
+    for chunk in (16, 512):
+        assert {r.doc_id for r in simhash.drop_near_copies(docs, chunk=chunk).collect()} == set(want.values())
 
 
 def test_sketch_estimates_jaccard():
