@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, meet, running, small_batches, written
+from .common import if_small, map_batches, meet, running, small_batches, written
 
 #: Words are runs of ASCII letters, digits and characters beyond ASCII: every other ASCII byte is a gap, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
@@ -157,6 +157,6 @@ def resample(docs: DataFrame, target: DataFrame, least_words: int = LEAST_WORDS,
 
 
 def sample(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
-    """The drawn rows of docs with all their columns; docs' doc_id must be unique (repeated ids come back for each drawn row)."""
-    drawn = resample(docs, target, **how).filter("rank is not null").select(F.col("doc_id").alias("__drawn")).distinct()
-    return docs.join(drawn, docs["doc_id"].cast("long").eqNullSafe(F.col("__drawn")), "left_semi")
+    """The drawn rows of docs with all their columns; docs' doc_id should be unique: of an id that repeats all rows come if one is drawn."""
+    drawn = written(resample(docs, target, **how).filter("rank is not null").select(F.col("doc_id").alias("__drawn")).distinct())
+    return docs.join(if_small(drawn), docs["doc_id"].cast("long").eqNullSafe(F.col("__drawn")), "left_semi")

@@ -26,11 +26,14 @@ STOP_WORDS = (
     "ve", "bir", "bu", "da", "ja", "ei", "az", "egy", "és", "nem", "hogy",
     "și", "în", "cu", "yang", "dan", "và", "là", "của", "không",
 )
-#: Scripts whose words aren't set apart by blanks, and letters of the script that STOP_WORDS are written in.
+#: Scripts whose words aren't set apart by blanks; characters of words that aren't of the script that STOP_WORDS are
+#: written in; words with a letter (tried at their beginnings only, so long words without one cost no more than others).
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-LATIN = r"\p{IsLatin}"
+LATE = r"[\x{0E00}-\x{10FFFF}&&" + UNSPACED + "]"  # the same: none of them comes earlier, and looking a script up is dear
+NO_LATIN = r"[^\x20\x09-\x0D\p{IsLatin}]"
+LETTER_WORD = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D](?<!\p{L}))*+\p{L}[^\x20\x09-\x0D]*+"
 SYMBOLS = r"[#*$%&|<>]"
-WINDOW = 8
+WINDOW = 8  # 1 doubled three times, see repeated_words
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
 
@@ -57,7 +60,7 @@ RULES = (
     Rule("symbols", "n_symbols / n_words", most=0.15),
     Rule("exclamations", "n_exclamations / n_words", most=0.3),
     Rule("no_letters", "n_letter_words / n_words", least=0.6),
-    Rule("few_stop_words", "n_stop_words / n_words", least=0.02, where="n_latin * 2 > word_chars"),
+    Rule("few_stop_words", "n_stop_words / n_words", least=0.02, where="(word_chars - n_no_latin) * 2 > word_chars"),
     Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", most=0.4),
     Rule("capitals", "n_capitals / greatest(word_chars, 1)", most=0.6),
 )
@@ -71,11 +74,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in windows of WINDOW words that occur twice or more in the text, the first included.
 
-    Windows are compared by 64-bit hash. Sorting (hash, position) puts equal ones side by side; a window's words
-    that an earlier repeated window hasn't counted are those past it."""
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    each = F.transform(words, lambda w: F.xxhash64(w))  # noqa: PLW0108
-    hashes = let(each, lambda hs: F.transform(starts, lambda i: F.xxhash64(F.slice(hs, i, WINDOW))))
+    Windows are compared by 64-bit hash, made of those of their halves, halves of halves and words. Sorting (hash,
+    position) puts equal ones side by side; a window's words that an earlier repeated window hasn't counted are those past it."""
+
+    def doubled(width: int) -> Callable[[Column], Column]:
+        def of(hs: Column) -> Column:
+            n = F.size(hs) - width
+            return F.zip_with(F.slice(hs, F.lit(1), n), F.slice(hs, F.lit(1 + width), n), lambda a, b: F.xxhash64(a, b))
+
+        return of
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))  # noqa: PLW0108
+    for width in (1, 2, 4):
+        hashes = let(hashes, doubled(width))
 
     def positions(pairs: Column) -> Column:
         same = lambda p, k: F.coalesce(F.get(pairs, k)["h"] == p["h"], F.lit(False))
@@ -93,17 +104,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """A struct of all counts of a text; null counts as empty."""
+    """A struct of all counts of a text; null counts as empty. Characters and words of a kind are counted by matches, words of the list in the text lower-cased once."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, GAP), lambda w: w != "")
+    listed = lambda t: F.filter(F.split(t, GAP), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    of_words = let(words, lambda w: F.struct(
-        F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words"), F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("n_letter_words"),
-    ))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    of_words = let(listed(text), lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    return F.struct(of_words.alias("w"), of_lines.alias("l"), without(SYMBOLS).alias("n_symbols"), without("!").alias("n_exclamations"), without(r"\p{Lu}").alias("n_capitals"), without(UNSPACED).alias("n_unspaced"), without(LATIN).alias("n_latin"))
+    stop_words = F.size(F.filter(F.split(F.lower(text), GAP), lambda x: x.isin(*STOP_WORDS)))
+    return F.struct(
+        of_words.alias("w"), of_lines.alias("l"), stop_words.alias("n_stop_words"), count(LETTER_WORD).alias("n_letter_words"), count(SYMBOLS).alias("n_symbols"), count("!").alias("n_exclamations"), count(r"\p{Lu}").alias("n_capitals"),
+        count(LATE).alias("n_unspaced"), count(NO_LATIN).alias("n_no_latin"),
+    )
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -126,6 +138,6 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A null or blank text has no words: it fails base and every ratio that speaks of it. base_failed: under MIN_WORDS words, or over
     MAX_REPEATED per cent of them in repeated windows. Repeated rows come back repeated, null ids as null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("m"))
-    flat = rows.select("doc_id", *[F.col(f"m.{p}{c}").cast("long").alias(c) for p, c in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"), ("w.", "n_stop_words"), ("w.", "n_letter_words"), ("l.", "n_lines"), ("", "n_exclamations"), ("", "n_capitals"), ("", "n_unspaced"), ("", "n_latin"))])
+    flat = rows.select("doc_id", *[F.col(f"m.{p}{c}").cast("long").alias(c) for p, c in (("w.", "n_words"), ("w.", "word_chars"), ("", "n_symbols"), ("l.", "n_dup_lines"), ("w.", "n_repeat_words"), ("", "n_stop_words"), ("", "n_letter_words"), ("l.", "n_lines"), ("", "n_exclamations"), ("", "n_capitals"), ("", "n_unspaced"), ("", "n_no_latin"))])
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     return flat.withColumn("base_failed", base).withColumn("failed", compiled(rules)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")

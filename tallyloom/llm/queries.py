@@ -111,7 +111,7 @@ ORACLES = {
         r AS (SELECT doc_id, sum(least(8, i - coalesce(last, i - 8))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM g WHERE c > 1) GROUP BY doc_id),
         m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
                 (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclamations,
-                length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '{_UNSPACED}', '', 'g')) AS n_unspaced, length(t) - length(regexp_replace(t, '\p{{Latin}}', '', 'g')) AS n_latin, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
+                length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '{_UNSPACED}', '', 'g')) AS n_unspaced, length(array_to_string(w, '')) - (length(t) - length(regexp_replace(t, '\p{{Latin}}', '', 'g'))) AS n_no_latin, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
                 FROM d LEFT JOIN r USING (doc_id)),
         b AS (SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEATED} AS base_failed, array_to_string(list_filter([{_RULES}], lambda x: x IS NOT NULL), ',') AS failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM b""",
