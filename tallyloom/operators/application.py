@@ -96,16 +96,28 @@ def fields(cells: DataFrame) -> DataFrame:
     return found.select("form", "field", ruled.alias("value")).filter("value is not null")
 
 
+def largest_table(cells: DataFrame) -> DataFrame:
+    """cells(form, row, col, text) of the table with most rows, of equal ones the first, on the first page of cells(form, page, table_no, row, col, text)."""
+    sizes = cells.groupBy("form", "page", "table_no").agg(F.countDistinct("row").alias("n"))
+    best = sizes.groupBy("form").agg(F.min_by(F.struct("page", "table_no"), F.struct("page", -F.col("n"), "table_no")).alias("at"))
+    chosen = best.select("form", "at.page", "at.table_no")
+    return cells.join(chosen, ["form", "page", "table_no"]).select("form", "row", "col", "text")
+
+
 def masked(found: DataFrame) -> DataFrame:
     """Identity numbers and birth dates to their last two characters."""
     return found.withColumn("value", F.when(F.col("field").isin(*_SECRET), F.concat(F.lit("***"), F.substring("value", -2, 2))).otherwise(F.col("value")))
 
 
 def wide(found: DataFrame, today: Column) -> DataFrame:
-    """One row a form with the fields that are derived from others."""
+    """One row a form with all fields and those that are derived from others. Column names don't tell cases apart, so the
+    second names of state and zip are state_of_business and zip_of_business."""
     names = sorted({f for _, known in _PARTS for f in known.values()})
     row = found.groupBy("form").pivot("field", names).agg(F.first("value"))
-    return row.withColumns({
-        "Industry_App": F.coalesce("Industry_App", "_industry_fallback"), "time_in_business_years": F.year(today) - F.nullif(F.regexp_extract("Date_Current_Ownership_Started", r"(\d{4})", 1), F.lit("")).cast("int"),
+    started = F.nullif(F.regexp_extract("Date_Current_Ownership_Started", r"(\d{4})", 1), F.lit("")).cast("int")
+    row = row.withColumns({
+        "Industry_App": F.coalesce("Industry_App", "_industry_fallback"), "Time_in_Business": F.year(today) - started, "Percent_Ownership": F.col("Principle_Ownership"),
         "Portal_Email": F.coalesce("Principle_Email", "Business_Email"), "Portal_Mobile": F.coalesce("Principle_Phone", "Business_Phone"), "estimated_fico_score": F.when(F.col("_fico_raw").rlike(r"^\d+$"), F.col("_fico_raw").cast("int")),
     }).drop("_industry_fallback", "_fico_raw")
+    names = {"business_description": "Industry_App", "ownership_percentage": "Principle_Ownership", "time_in_business_years": "Time_in_Business", "state_of_business": "Business_State", "zip_of_business": "Business_Zip"}
+    return row.withColumns({new: F.col(old) for new, old in names.items()})

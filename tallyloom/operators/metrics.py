@@ -21,10 +21,18 @@ def nsf_flag(text: Column) -> Column:
     return matches(text, NSF_FLAG, True)
 
 
+def _counts() -> list[Column]:
+    upper = F.upper("Description")
+    return [nsf_rows(F.col("Description")).alias("nsf_count"), F.count_if(matches(upper, LOAN)).alias("loan_count"), F.count_if(matches(upper, POS)).alias("pos_count")]
+
+
+def _sums() -> list[Column]:
+    return [total(F.col("Credit")).alias("credits"), total(F.col("Debit")).alias("debits"), F.round(F.coalesce(F.avg(F.when(F.col("Balance") > 0, F.col("Balance"))), F.lit(0.0)), 2).alias("avg_daily_balance")]
+
+
 def counts(ledger: DataFrame) -> DataFrame:
     """statement, nsf_count, loan_count, pos_count by description."""
-    upper = F.upper("Description")
-    return ledger.groupBy("statement").agg(nsf_rows(F.col("Description")).alias("nsf_count"), F.count_if(matches(upper, LOAN)).alias("loan_count"), F.count_if(matches(upper, POS)).alias("pos_count"))
+    return ledger.groupBy("statement").agg(*_counts())
 
 
 def nsf_in_text(text: Column) -> Column:
@@ -33,9 +41,9 @@ def nsf_in_text(text: Column) -> Column:
     return F.size(F.regexp_extract_all(section, F.lit(r"(?m)^\s*\d{1,2}/\d{1,2}"), 0))
 
 
-def sums(ledger: DataFrame) -> DataFrame:
-    """statement, credits, debits, balance (mean of the positive ones, 0 if none)."""
-    return ledger.groupBy("statement").agg(total(F.col("Credit")).alias("credits"), total(F.col("Debit")).alias("debits"), F.round(F.coalesce(F.avg(F.when(F.col("Balance") > 0, F.col("Balance"))), F.lit(0.0)), 2).alias("avg_daily_balance"))
+def sums_and_counts(ledger: DataFrame) -> DataFrame:
+    """statement, credits, debits, avg_daily_balance (mean of the positive balances, 0 if none) and counts(), in one pass."""
+    return ledger.groupBy("statement").agg(*_sums(), *_counts())
 
 
 def nsf_charges(text: Column) -> Column:
@@ -43,6 +51,11 @@ def nsf_charges(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"(?i)({L.CAPITAL_ONE_NSF})"), 1))
 
 
+def bank_nsf(text: Column, bank: Column) -> Column:
+    """What a bank's statement says of missing funds: Chase lists returned items, Capital One names charges; null for other banks."""
+    return F.when(bank == "Chase", nsf_in_text(text)).when(bank == "Capital One", nsf_charges(text))
+
+
 def distinct_counts(ledger: DataFrame) -> DataFrame:
     """statement, credit_count, debit_count, total_count of rows that differ in date, text (whatever its case and blanks) or
     amounts; rows without text don't count, nor do dates given as text that don't begin with m/d."""

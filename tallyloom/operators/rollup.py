@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import total
 from .lenders import lender_credits, lender_debits, lender_monthly, with_lender
-from .metrics import counts, nsf_flag, sums
+from .metrics import nsf_flag, sums_and_counts
 
 SUMMED = ("credits", "debits", "cash_flow", "lender_debits", "lender_credits", "true_revenue", "nsf_count", "loan_count", "pos_count")
 
@@ -29,7 +29,7 @@ def statement_metrics(ledger: DataFrame, summary: DataFrame | None = None, found
     obligation = lender_monthly(lender_debits(found)).groupBy("statement").agg(total(F.col("monthly")).alias("lender_debits"))
     advances = lender_credits(found).groupBy("statement").agg(total(F.col("amount")).alias("lender_credits"))
     how = "left" if raw is None else "full"
-    rows = sums(ledger).join(counts(ledger), "statement").join(obligation, "statement", how).join(advances, "statement", how).fillna(0.0, ["lender_debits", "lender_credits"])
+    rows = sums_and_counts(ledger).join(obligation, "statement", how).join(advances, "statement", how).fillna(0.0, ["lender_debits", "lender_credits"])
     if raw is not None:
         larger = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.coalesce(f"raw_{c}", F.lit(0.0)))
         rows = rows.join(raw.groupBy("statement").agg(total(F.col("Credit")).alias("raw_credits"), total(F.col("Debit")).alias("raw_debits")), "statement", "full")

@@ -126,6 +126,33 @@ def short_dollars(value: Column) -> Column:
     return F.when(F.abs(value) >= 1_000_000, F.concat(F.lit("$"), scaled(1_000_000, 1), F.lit("M"))).when(F.abs(value) >= 1000, F.concat(F.lit("$"), scaled(1000, 0), F.lit("k"))).otherwise(F.concat(F.lit("$"), plain))
 
 
+def full_dollars(value: Column) -> Column:
+    """$1,234: whole dollars, halves away from 0; null counts as 0."""
+    return F.concat(F.lit("$"), F.format_number(F.round(F.coalesce(value, F.lit(0)), 0), 0))
+
+
+def shown(value: Column, unit: str = "") -> Column:
+    """12.3% or 12.3×: one decimal and the unit; without a unit a whole number, halves up. Null counts as 0."""
+    value = F.coalesce(value, F.lit(0)).cast("double")
+    return F.concat(F.round(value, 1).cast("decimal(30,1)").cast("string"), F.lit(unit)) if unit else F.floor(value + 0.5).cast("string")
+
+
+def period_label(start: Column, stop: Column, day: Column) -> Column:
+    """`Jan 5, '24 – Feb 4, '24` of a period's dates, else the month of a yyyy-MM-dd text, else a dash."""
+    short = lambda d: F.date_format(d, "MMM d, ''yy")
+    both = F.concat(short(start), F.lit(" – "), short(stop))
+    return F.coalesce(both, F.substring(F.nullif(day, F.lit("")), 1, 7), F.lit("—"))
+
+
+def forecast_series(series: DataFrame, key: str, month: str, value: str) -> DataFrame:
+    """key, month, revenue, forecast of a sparkline: each month's value, the last of them also as the forecast's beginning, and
+    a month more with what forecast() predicts."""
+    last = F.max(month).over(Window.partitionBy(key))
+    seen = series.select(key, F.col(month).alias("month"), F.col(value).alias("revenue"), F.when(F.col(month) == last, F.col(value)).alias("forecast"))
+    ahead = forecast(series, key, month, value).select(key, F.col("next_month").alias("month"), F.lit(None).cast("double").alias("revenue"), F.col("predicted").alias("forecast"))
+    return seen.unionByName(ahead)
+
+
 def usual_year(names: DataFrame, otherwise: Column) -> DataFrame:
     """One row, year: the most frequent 20yy in names(position, filename), of equally frequent ones that met first, else the given one."""
     years = names.select("position", F.posexplode(F.regexp_extract_all(F.lower("filename"), F.lit(r"\b(20\d{2})\b"), 1)).alias("k", "year"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.money import total
-from ..operators import balance, geometry, ledger, lenders, parsers, rollup, summary
+from ..operators import balance, geometry, ledger, lenders, parsers, rollup, summary, trends
 from ..operators.lines import to_lines
 from ..operators.metrics import nsf_in_text
 from .cuts import cut
@@ -49,10 +49,12 @@ def process(
     text, short = F.col("text"), texts.select("statement", F.col("short").alias("text"))
     printed = texts.select("statement", nsf_in_text(text).alias("nsf_in_text")).join(summary.route_or_scan(texts, "short"), "statement", "left")
     metrics = rollup.statement_metrics(rows, printed, found, raw)
-    span = dates.period(text)
-    own = texts.select(
+    span, name = dates.period(text), F.col("statement").cast("string")
+    # one row: the year that most of the files' names hold
+    usual = trends.usual_year(texts.select(name.alias("position"), name.alias("filename")), year).select(F.lit(0).alias("__k"), F.col("year").alias("usual"))
+    own = texts.withColumn("__k", F.lit(0)).join(F.broadcast(usual), "__k").select(
         "statement", F.when(summary.is_bank(text, "Regions"), summary.estimated_balance(text)).alias("estimated"), span["start"].alias("period_start"), span["stop"].alias("period_end"),
-        dates.statement_date(text, F.col("statement").cast("string"), year, F.make_date(year, F.lit(1), F.lit(1)) if today is None else today).alias("statement_date"),
+        dates.statement_date(text, name, F.col("usual"), F.make_date(year, F.lit(1), F.lit(1)) if today is None else today).alias("statement_date"),
     )
     charged = parsers.charges(to_lines(short)).groupBy("statement").agg(total(F.col("amount")).alias("charges_only"))
     more = own.join(balance.average_balance(texts).select("statement", "average"), "statement", "left").join(charged, "statement", "left").fillna(0.0, ["charges_only"])

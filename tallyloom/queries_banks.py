@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import catalogue_sql as S
-from .operators import balance, canada, geometry, summary
+from .operators import application, balance, canada, geometry, metrics, rollup, summary, trends
 from .operators.ledger import normalise
 from .plans.cuts import folder
 from .plans.statements import process
@@ -151,3 +151,56 @@ def q_daily_sections(spark, d):
     pair = F.concat(F.lit("DAILY ENDING BALANCE\n01/02 "), a, F.lit("\n01/03 $"), b)
     text = F.when(key % 3 == 0, F.concat(F.lit("*start*x 01/09 9,999.00\n"), pair, F.lit("\n*end*daily ending balance 1,500.00 12.00\n"))).when(key % 3 == 1, F.concat(pair, F.lit(" 01/04 777.00\nSERVICE CHARGE SUMMARY\n01/05 7.00"))).otherwise(F.concat(F.lit("01/02 short\n01-05 a long line 3.00 "), b))
     return balance.average_balance(load(spark, d, "customer").select(key.alias("statement"), text.alias("text")))
+
+
+@query("""SELECT c_custkey AS statement, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 5 WHEN 1 THEN c_custkey % 4 + 1 END::INT AS nsf FROM customer""")
+def q_bank_nsf(spark, d):
+    """What statements of Chase, Capital One and another bank say of missing funds."""
+    key = F.col("c_custkey")
+    text = F.concat(F.lit("Items returned unpaid\n"), F.repeat(F.lit("01/05 CHECK 10.00\nits number\n"), (key % 5).cast("int")), F.lit("\n01/09 later\n"), F.repeat(F.lit("NSF  Fee 35.00; nsf charge back\n"), F.lit(0)), F.repeat(F.lit("NSF Charge 35.00 "), (key % 4 + 1).cast("int")))
+    bank = F.get(F.array(F.lit("Chase"), F.lit("Capital One"), F.lit("PNC")), (key % 3).cast("int"))
+    return load(spark, d, "customer").select(key.alias("statement"), metrics.bank_nsf(text, bank).alias("nsf"))
+
+
+@query(S.upto(S.LEDGER) + f""", b AS (SELECT *, CASE WHEN row_no % 3 > 0 THEN greatest(debit, credit) * 3 - 100 END AS balance FROM ledger) SELECT statement, {S.total('credit')} AS credits, coalesce(round(avg(balance) FILTER (balance > 0), 2), 0) AS avg_daily_balance FROM b GROUP BY statement""")
+def q_ledger_balances(spark, d):
+    """Statements whose rows carry balances, some of them missing, some below nothing."""
+    rows = ledger(spark, d).withColumn("Balance", F.when(F.col("row_no") % 3 > 0, F.greatest("Debit", "Credit") * 3 - 100))
+    return rollup.statement_metrics(rows).select("statement", "credits", "avg_daily_balance")
+
+
+@query(r"""WITH c AS (SELECT c_custkey AS form, c_name AS name, lpad(c_custkey::VARCHAR, 9, '4') AS digits, c_custkey % 30 + 1990 AS began, c_custkey % 2 = 0 AS described, c_acctbal::DECIMAL(18,2) AS amount FROM customer)
+    SELECT form, name AS "Business_Legal_Name", digits[1:2] || '-' || digits[3:9] AS "Federal_Tax_ID", '03-01-' || began AS "Date_Current_Ownership_Started", (2025 - began)::INT AS "Time_in_Business", CASE WHEN described THEN 'Bakery ' || form ELSE 'new ovens' END AS "Industry_App",
+    digits[1:3] || '-' || digits[4:5] || '-' || digits[6:9] AS "Principle_SSN", CASE WHEN described THEN 'NJ' END AS "Business_State", '07-04-1969' AS "Principle_DOB", '60%' AS "Principle_Ownership", 'b' || form || '@x.org' AS "Portal_Email", (600 + form % 200)::INT AS estimated_fico_score,
+    abs(amount)::VARCHAR AS "Requested_Funding_Amount", 'LLC' AS "Entity_Type1", 'Second ' || form AS "Secondary_Owner_Name", '40%' AS "Secondary_Ownership" FROM c""")
+def q_application_forms(spark, d):
+    """Forms of two tables on their first page and one on the next, of which the largest of the first page counts."""
+    key = F.col("c_custkey")
+    k, even = key.cast("string"), key % 2 == 0
+    digits = F.lpad(k, 9, "4")
+    amount = F.abs(F.col("c_acctbal")).cast("decimal(18,2)")
+    lines = [
+        F.concat(F.lit("Business Legal Name: "), "c_name"), F.concat(F.lit("Federal Tax ID: "), digits), F.concat(F.lit("Business Start Date (MM/YYYY): 3/"), (key % 30 + 1990).cast("string")), F.concat(F.lit("State: "), F.when(even, "New Jersey").otherwise("nowhere")),
+        F.concat(F.lit("Email: b"), k, F.lit("@x.org")), F.lit("Type of Entity: X LLC"), F.lit("OWNER INFORMATION"), F.concat(F.lit("Principle Owner Name: "), k), F.concat(F.lit("SSN: "), digits), F.lit("Date of Birth: 7/4/69"), F.lit("Ownership %: 60"), F.lit("Email: Phone:"),
+        F.concat(F.lit("Secondary Owner Name: Second "), k), F.lit("Ownership %: 40%"), F.lit("BUSINESS PROPERTY INFORMATION"), F.concat(F.lit("Business Description: "), F.when(even, F.concat(F.lit("Bakery "), k)).otherwise("")),
+        F.lit("Purpose of Funds Requested: new ovens"), F.concat(F.lit("Estimated FICO Score: "), (key % 200 + 600).cast("string")), F.concat(F.lit("Requested Advance Amount: $"), F.format_number(amount, 2)),
+    ]
+    small = [F.lit("Business Legal Name: of another table"), F.lit("x")]
+    later = [F.lit("Business Legal Name: of the next page")] * (len(lines) + 5)
+    table = lambda page, no, texts: F.transform(F.array(*texts), lambda t, i: F.struct(F.lit(page).alias("page"), F.lit(no).alias("table_no"), i.alias("row"), F.lit(0).alias("col"), t.alias("text")))
+    cells = load(spark, d, "customer").select(key.alias("form"), F.inline(F.concat(table(0, 0, small), table(0, 1, lines), table(1, 0, later))))
+    wide = application.wide(application.fields(application.largest_table(cells)), F.lit("2025-06-30").cast("date"))
+    return wide.select("form", "Business_Legal_Name", "Federal_Tax_ID", "Date_Current_Ownership_Started", "Time_in_Business", "Industry_App", "Principle_SSN", "Business_State", "Principle_DOB", "Principle_Ownership", "Portal_Email", "estimated_fico_score", "Requested_Funding_Amount", "Entity_Type1", "Secondary_Owner_Name", "Secondary_Ownership")
+
+
+@query("""SELECT c_custkey, '$' || format('{:,}', round(c_acctbal)::BIGINT) AS dollars, (floor(c_acctbal * 4) / 4)::DECIMAL(30,1) || '%' AS percent, (c_custkey / 8.0)::DECIMAL(30,1) || '×' AS ratio, floor(c_acctbal + 0.5)::BIGINT::VARCHAR AS whole FROM customer""")
+def q_shown_values(spark, d):
+    rows, quarter = load(spark, d, "customer"), F.floor(F.col("c_acctbal") * 4) / 4
+    return rows.select("c_custkey", trends.full_dollars(F.col("c_acctbal")).alias("dollars"), trends.shown(quarter, "%").alias("percent"), trends.shown(F.col("c_custkey") / 8, "×").alias("ratio"), trends.shown(F.col("c_acctbal")).alias("whole"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%b %-d, ''%y') || ' – ' || strftime(o_orderdate::DATE + 30, '%b %-d, ''%y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE '—' END AS label FROM orders""")
+def q_period_label(spark, d):
+    k = F.col("o_orderkey") % 3
+    start = F.when(k == 0, F.to_date("o_orderdate"))
+    return load(spark, d, "orders").select("o_orderkey", trends.period_label(start, F.date_add(start, 30), F.when(k < 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("")).alias("label"))

@@ -42,12 +42,12 @@ def q_regions_rows(spark, d):
 
 @query(f"""WITH {S.LEDGER}, {_LINES}, m AS (SELECT *, CASE WHEN {S.contains_any('upper(line)', L.OCR_DEBIT_WORDS)} THEN 'Debit' WHEN {S.contains_any('upper(line)', L.OCR_CREDIT_WORDS)} THEN 'Credit' END AS mark FROM lines),
     c AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY statement ORDER BY line_no) AS section, {_AMOUNT} AS a FROM m WHERE true), r AS (SELECT * FROM c WHERE row_no >= 0)
-    SELECT statement, line_no, CASE WHEN section = 'Debit' THEN a ELSE 0 END AS debit, CASE WHEN section = 'Debit' THEN 0 ELSE a END AS credit FROM r""".replace(f", {_AMOUNT} AS a FROM m WHERE true", f", CASE WHEN row_no >= 0 THEN {_AMOUNT} END AS a FROM m"))
+    SELECT statement, line_no, "Date", "Description" || ' =' AS "Description", CASE WHEN section = 'Debit' THEN a ELSE 0 END AS debit, CASE WHEN section = 'Debit' THEN 0 ELSE a END AS credit FROM (SELECT *, {_SPLIT} FROM r)""".replace(f", {_AMOUNT} AS a FROM m WHERE true", f", CASE WHEN row_no >= 0 THEN {_AMOUNT} END AS a FROM m"))
 def q_ocr_rows(spark, d):
     rows = statement_lines(spark, d)
     # an amount must not run together with the number that ends a description
     rows = rows.withColumn("line", F.regexp_replace("line", r" (\d+\.\d{2})$", r" = \$$1"))
-    return parsers.simple(rows).select("statement", "line_no", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
+    return parsers.simple(rows).select("statement", "line_no", "Date", "Description", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
 
 
 @query(f"""WITH {S.LEDGER}, {_LINES} SELECT statement, line_no, {_SPLIT}, CASE WHEN line_no > 2000000000 THEN {_AMOUNT} ELSE 0 END AS debit, CASE WHEN line_no > 2000000000 THEN 0 ELSE {_AMOUNT} END AS credit FROM lines WHERE row_no >= 0 AND {_AMOUNT} > 0""")
@@ -56,16 +56,22 @@ def q_bofa_rows(spark, d):
     # an amount must not run together with the number that ends a description
     line = F.regexp_replace(heads, r" (\d+\.\d{2})$", r" \$$1")
     rows = parsers.bank_of_america(statement_lines(spark, d).withColumn("line", line))
-    return rows.select("statement", "line_no", "Date", F.regexp_replace("Description", r"\s*\$$", "").alias("Description"), F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
+    return rows.select("statement", "line_no", "Date", "Description", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
 
 
-@query(f"""WITH {S.LEDGER}, {_LINES}, r AS (SELECT *, regexp_matches(line, '(?i){L.CAPITAL_ONE_CREDIT}') AS gain, {_AMOUNT} AS a FROM lines WHERE row_no >= 0 AND NOT regexp_matches(line, '(?i){L.CAPITAL_ONE_SKIP}'))
-    SELECT statement, line_no, regexp_extract(line, '^(\\d\\d/\\d\\d)', 1) AS "Date", CASE WHEN gain THEN 0 ELSE a END AS debit, CASE WHEN gain THEN a ELSE 0 END AS credit FROM r WHERE a > 0""")
+@query(f"""WITH {S.LEDGER}, {_LINES}, p AS (SELECT *, line_no < 2000000000 AND line_no = max(line_no) FILTER (row_no >= 0 AND line_no < 2000000000) OVER (PARTITION BY statement) AND count(*) FILTER (line_no >= 2000000000) OVER (PARTITION BY statement) > 0 AS joined FROM lines),
+    q AS (SELECT *, {_SPLIT}, {_AMOUNT} AS a FROM (FROM p WHERE row_no >= 0) WHERE NOT regexp_matches(line, '(?i){L.CAPITAL_ONE_SKIP}')),
+    r AS (SELECT * REPLACE ("Description" || CASE WHEN joined THEN ' ELECTRONIC WITHDRAWALS' ELSE '' END AS "Description") FROM q)
+    SELECT statement, line_no, "Date", "Description", CASE WHEN gain THEN 0 ELSE a END AS debit, CASE WHEN gain THEN a ELSE 0 END AS credit, 77.25::DOUBLE AS balance FROM (SELECT *, regexp_matches("Description", '(?i){L.CAPITAL_ONE_CREDIT}') AS gain FROM r) WHERE a > 0""")
 def q_capital_one_rows(spark, d):
-    lines = statement_lines(spark, d).filter(F.col("line").rlike(r"^\d"))
-    begins = lines.select("statement").distinct().select("statement", F.lit(0).cast("long").alias("line_no"), F.lit("ACCOUNT DETAIL").alias("line"))
-    rows = parsers.capital_one(lines.unionByName(begins))
-    return rows.select("statement", "line_no", "Date", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"))
+    """Rows with a balance, headers between them, lines of noise, and a row before the detail and one after its total. A header is joined to the row above."""
+    lines = statement_lines(spark, d)
+    lines = lines.withColumn("line", F.when(F.col("line").rlike(r"^\d"), F.concat("line", F.lit(" 77.25"))).otherwise(F.col("line")))
+    extra = lambda at, *texts: lines.select("statement").distinct().select("statement", F.posexplode(F.array(*map(F.lit, texts))).alias("k", "line")).select("statement", (at + F.col("k")).cast("long").alias("line_no"), "line")
+    before = extra(0, "Capital One", "01/01 BEFORE 1.00 2.00", "ACCOUNT DETAIL", "MANAGE YOUR CASH", "Page 1 of 3", "CONTINUED FOR PERIOD")
+    after = extra(4_000_000_000, "THANK YOU FOR BANKING", "Total $12.00", "01/09 AFTER 3.00 4.00")
+    rows = parsers.capital_one(lines.unionByName(before).unionByName(after))
+    return rows.select("statement", "line_no", "Date", "Description", F.col("Debit").alias("debit"), F.col("Credit").alias("credit"), F.col("Balance").alias("balance"))
 
 
 @query(f"""WITH {S.LEDGER}, {_LINES} SELECT statement, line_no, kw AS keyword, line, {_AMOUNT} AS amount FROM (SELECT *, CASE {' '.join(rf"WHEN regexp_matches(upper(line), '\b{w}\b') THEN '{w}'" for w in L.FLAGGED)} END AS kw FROM lines) WHERE kw IS NOT NULL""")

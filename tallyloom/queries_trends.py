@@ -25,15 +25,22 @@ def q_mom_change(spark, d):
     return trends.month_over_month(_months(spark, d), "customer", "month", "credits")
 
 
-@query(f"""WITH {_MONTHS}, x AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY month) - 1 AS x, round(credits * 100)::BIGINT AS y FROM months),
+_FORECAST = f"""WITH {_MONTHS}, x AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY month) - 1 AS x, round(credits * 100)::BIGINT AS y FROM months),
     g AS (SELECT customer, count(*) AS n, arg_max(credits, month) AS last, strftime((max(month) || '-01')::DATE + INTERVAL 1 MONTH, '%Y-%m') AS next_month, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy FROM x GROUP BY customer),
     u AS (SELECT *, n * sxx - sx * sx AS d, greatest(sy * (n * sxx - sx * sx) + (n * sxy - sx * sy) * (n * n - sx), 0) AS u FROM g),
-    f AS (SELECT customer, n, last, next_month, CASE WHEN n = 1 THEN greatest(round(last, 2), 0) ELSE ((2 * u + n * d) // (2 * n * d)) / 100 END AS predicted FROM u)
-    SELECT *, round(predicted - last, 2) AS delta, CASE WHEN n >= 6 THEN 'High' WHEN n >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM f""")
+    f AS (SELECT customer, n, last, next_month, CASE WHEN n = 1 THEN greatest(round(last, 2), 0) ELSE ((2 * u + n * d) // (2 * n * d)) / 100 END AS predicted FROM u)"""
+
+
+@query(_FORECAST + """ SELECT *, round(predicted - last, 2) AS delta, CASE WHEN n >= 6 THEN 'High' WHEN n >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM f""")
 def q_forecast(spark, d):
     return trends.forecast(_months(spark, d), "customer", "month", "credits")
 
 
+@query(_FORECAST + """ SELECT customer, month, credits AS revenue, CASE WHEN month = max(month) OVER (PARTITION BY customer) THEN credits END AS forecast FROM months UNION ALL SELECT customer, next_month, NULL, predicted FROM f""")
+def q_forecast_series(spark, d):
+    return trends.forecast_series(_months(spark, d), "customer", "month", "credits")
+
+
 @query("""WITH RECURSIVE o AS (SELECT o_custkey AS customer, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
     r AS (SELECT customer, k, d AS f FROM o WHERE k = 1 UNION ALL SELECT o.customer, o.k, CASE WHEN (year(d) * 12 + month(d)) - (year(f) * 12 + month(f)) > 6 THEN (d - INTERVAL 12 MONTH)::DATE ELSE d END FROM r JOIN o ON o.customer = r.customer AND o.k = r.k + 1)
     SELECT customer, row_number() OVER (PARTITION BY customer ORDER BY f) - 1 AS position, strftime(f, '%Y-%m-%d') AS fixed FROM r""")

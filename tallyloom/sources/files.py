@@ -21,6 +21,8 @@ ACCEPTED = (".csv", ".xlsx", ".xls", ".pdf", ".png", ".jpg", ".jpeg", ".tiff", "
 PICTURES = (".png", ".jpg", ".jpeg", ".tiff", ".bmp")
 #: Most columns of a CSV file; one with more is an error.
 MOST_COLUMNS = 100
+#: File that names the version of a list of keywords that counts.
+_POINTER = "CURRENT"
 _LEDGER = ("Date", "Description", "Debit", "Credit", "Amount", "Balance")
 
 
@@ -140,28 +142,54 @@ def plain_text(name: str, content: bytes) -> str:
     return bytes(content).decode("utf-8", "replace")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The JVM's path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version of the keywords that a folder's pointer names."""
+    place, fs = _hadoop(spark, f"{path.rstrip('/')}/{_POINTER}")
+    return spark.read.text(f"{path.rstrip('/')}/{_POINTER}").first()[0] if fs.exists(place) else None
+
+
 def saved_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """name, type; a missing or damaged file has none. A file of one JSON array, or what save_keywords wrote: an object a line."""
+    """name, type; a missing or damaged file has none. A file of one JSON array, or what save_keywords wrote."""
     schema = "name string, type string"
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    ours = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    version = _version(spark, path)
+    read = spark.read.schema(schema).option("multiLine", version is None).option("mode", "DROPMALFORMED")
     try:
-        return spark.read.schema(schema).option("multiLine", not ours).option("mode", "DROPMALFORMED").json(path).filter("name is not null")
+        return read.json(path if version is None else f"{path.rstrip('/')}/{version}").filter("name is not null")
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
 def save_keywords(saved: DataFrame, path: str) -> None:
-    """The whole file anew. It is written beside the old one, which `saved` may still be reading, and then renamed into its place; a failure leaves the old one."""
-    spark = saved.sparkSession
-    new, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}" for _ in range(2))
-    saved.coalesce(1).write.json(new)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = files.exists(place(path)) and files.rename(place(path), place(old))
-    if not files.rename(place(new), place(path)):
-        if had:
-            files.rename(place(old), place(path))
-        raise OSError(f"can't put the new keywords in the place of {path}")
-    if had:
-        files.delete(place(old), True)
+    """The whole list anew, as a version in a folder whose pointer then moves to it at once: a reader gets the old list or
+    the new one, never none, and a failure leaves the old one. `saved` may still read the version before, which stays; older ones go.
+
+    A list that came as one JSON file becomes such a folder, which then takes the file's place."""
+    spark, path = saved.sparkSession, path.rstrip("/")
+    place, fs = _hadoop(spark, path)
+    before = _version(spark, path)
+    plain = before is None and fs.exists(place)
+    home = f"{path}.{uuid.uuid4().hex}" if plain else path
+    version = f"version-{uuid.uuid4().hex}"
+    saved.coalesce(1).write.json(f"{home}/{version}")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{home}/{version}-pointer")
+    part = next(f.getPath() for f in fs.listStatus(_hadoop(spark, f"{home}/{version}-pointer")[0]) if f.getPath().getName().startswith("part-"))
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(part, _hadoop(spark, f"{home}/{_POINTER}")[0], over)
+    if plain:
+        aside = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")[0]
+        if not (fs.rename(place, aside) and fs.rename(_hadoop(spark, home)[0], place)):
+            raise OSError(f"can't put the new keywords in the place of {path}")
+        fs.delete(aside, True)
+    for f in fs.listStatus(place):
+        name = f.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            fs.delete(f.getPath(), True)

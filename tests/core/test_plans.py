@@ -42,6 +42,21 @@ def test_keywords_are_saved_over_the_file_they_are_read_from(spark, tmp_path):
         save_keywords(saved_keywords(spark, path).unionByName(spark.createDataFrame([(name, "credit")], "name string, type string")), path)
     assert sorted(r.name for r in saved_keywords(spark, path).collect()) == ["one", "three", "two"]
     assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["keywords"]
+    versions = [f for f in os.listdir(tmp_path / "keywords") if f.startswith("version-")]
+    assert len(versions) == 2 and (tmp_path / "keywords" / "CURRENT").read_text().strip() in versions
+
+
+def test_a_reader_keeps_its_version_and_a_json_file_becomes_a_folder(spark, tmp_path):
+    (tmp_path / "keywords").write_text('[{"name": "one", "type": "debit"},\n {"name": "two", "type": "credit"}]')
+    path = f"file://{tmp_path}/keywords"
+    before = saved_keywords(spark, path)
+    save_keywords(before.filter("name = 'two'"), path)
+    kept = saved_keywords(spark, path)
+    save_keywords(kept.unionByName(spark.createDataFrame([("three", "debit")], "name string, type string")), path)
+    assert [r.name for r in kept.collect()] == ["two"] and sorted(r.name for r in saved_keywords(spark, path).collect()) == ["three", "two"]
+    (tmp_path / "broken").write_text("{not json")
+    assert saved_keywords(spark, f"file://{tmp_path}/broken").count() == 0
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["broken", "keywords"]
 
 
 def test_dropped_files(spark, tmp_path):
