@@ -29,7 +29,7 @@ def _both(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node in edges(a, b); rounds grow with the logarithm of the longest chain.
 
-    Minima are pre-aggregated. A hub's links meet its minimum in one task up to HUB links; the hubs above that which
+    Links with a null end and those of a node to itself are none; without links there are no rows. Minima are pre-aggregated. A hub's links meet its minimum in one task up to HUB links; the hubs above that which
     hold a notable share of all links are few and meet theirs by a broadcast of bounded size. Only two numbers a round, count and checksum, reach the driver."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -245,14 +246,13 @@ class _Answers:
         if self.ready:
             return
         known = pa.Table.from_batches(self.words).group_by("body").aggregate([("id", "max")])  # a word may have been asked for twice
-        words, counts = known["body"].to_pylist(), known["id_max"].to_numpy()
-        end = words.index(b"\n")
-        self.ends, counts = int(counts[end]), np.delete(counts, end)
-        del words[end]
-        raw = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
-        self.words = words = None
+        end = pc.equal(known["body"], b"\n")
+        self.ends = known.filter(end)["id_max"][0].as_py()
+        known = known.filter(pc.invert(end))
+        counts, words, self.words = known["id_max"].to_numpy(), known["body"], None
         for self.multiplier in _MULTIPLIERS:
-            self.hashes = pd.Index(word_hashes(raw, self.multiplier)[0])
+            parts = (np.frombuffer(b"\n".join([*words.slice(at, 50_000).to_pylist(), b""]), np.uint8) for at in range(0, len(words), 50_000))
+            self.hashes = pd.Index(np.concatenate([np.empty(0, np.uint64), *(word_hashes(raw, self.multiplier)[0] for raw in parts)]))
             if self.hashes.is_unique:
                 break
         else:

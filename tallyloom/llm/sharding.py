@@ -97,10 +97,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 2
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """doc, slot, shard of the shards under path; schema: that of the documents."""
+    """doc, slot, shard of the shards under path; schema: that of the documents. Nulls, repeated rows and columns of any name
+    come back as they were written; shards of an empty table give no rows."""
     return spark.read.schema(StructType().add("doc", schema).add("slot", "long").add("shard", "integer")).parquet(path)
 
 
 def report_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The columns of assign, taken from the texts and slots in the shards that write_shards wrote."""
+    """The columns of assign, taken from the texts and slots in the shards that write_shards wrote; null texts count as empty, null ids stay null, an empty table gives no rows."""
     return _report(_text_columns(read_shards(spark, path, schema), "shard", "slot"))

@@ -224,7 +224,10 @@ def count_with_edits(docs: DataFrame, edits: str = "edits", path: str | None = N
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, edits: an edit session for each document, from its own text: a replaced passage in the middle, words cut at a quarter, its last word again in front, and a line at the end."""
+    """doc_id, text, edits: an edit session for each document, from its own text: a replaced passage in the middle, words cut at a quarter, its last word again in front, and a line at the end.
+
+    A null or empty text gets the same edits, of which those of passages that it doesn't have insert at its end or do
+    nothing; repeated rows, null ids and an empty table stay as they are."""
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda start, stop, text: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.alias("text"))
     half, quarter = F.floor(n / 2), F.floor(n / 4)

@@ -85,6 +85,7 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)}
     assert components(edges.limit(0)).count() == 0
+    assert components(spark.createDataFrame([(None, 1), (2, None), (None, None), (3, 3)], "a long, b long")).count() == 0
 
 
 def jaccard(a, b, k=5):

@@ -85,3 +85,11 @@ def test_kept_trees(spark, small, empty):
     assert {r.doc_id: r.n_tokens for r in after.collect()} == want
     assert token_counts.apply_edits(token_counts.trees(empty), spark.createDataFrame(edits, "doc_id long, seq long, start int, stop int, text string")).count() == 0
     assert token_counts.count_with_edits(token_counts.sample_edits(empty)).count() == 0
+
+
+def test_sample_edits_of_odd_rows(odd, empty):
+    rows = token_counts.count_with_edits(token_counts.sample_edits(odd)).collect()
+    assert len(rows) == odd.count()
+    none = next(r for r in rows if r.doc_id == 1)
+    assert (none.n_tokens, none.edited_chars) == (0, len("\n\nEnd of text."))  # the cut after the first edit takes what that put in
+    assert token_counts.count_with_edits(token_counts.sample_edits(empty)).count() == 0
