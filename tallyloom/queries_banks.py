@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import catalogue_sql as S
-from .operators import application, balance, canada, geometry, metrics, rollup, summary, trends
+from .operators import application, balance, canada, geometry, lenders, metrics, rollup, summary, trends
 from .operators.ledger import normalise
 from .plans.cuts import folder
 from .plans.statements import process
@@ -204,3 +204,32 @@ def q_period_label(spark, d):
     k = F.col("o_orderkey") % 3
     start = F.when(k == 0, F.to_date("o_orderdate"))
     return load(spark, d, "orders").select("o_orderkey", trends.period_label(start, F.date_add(start, 30), F.when(k < 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("")).alias("label"))
+
+
+@query("""WITH v AS (SELECT c_custkey AS statement, c_custkey % 3 AS k, (abs(c_acctbal) + 1)::DECIMAL(18,2)::DOUBLE AS a, (c_custkey % 1000 + 0.25)::DOUBLE AS b FROM customer)
+    SELECT statement, 'generic' AS bank, round(CASE k WHEN 0 THEN 2 * a + 6 WHEN 1 THEN a ELSE greatest(a, 3) END, 2) AS credits_amount, round(CASE k WHEN 0 THEN b + 12 WHEN 1 THEN b ELSE greatest(b, 4) END, 2) AS debits_amount,
+    CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN 12 WHEN a > 3 THEN 5 ELSE 7 END::INT AS credit_count, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN 0 WHEN b > 4 THEN 6 ELSE 8 END::INT AS debit_count FROM v""")
+def q_generic_summary(spark, d):
+    """Unknown banks: a layout of sections, whose amounts are added up; labels in two languages; two totals of a side, of which the larger counts."""
+    key = F.col("c_custkey")
+    a, b = F.format_number((F.abs("c_acctbal") + 1).cast("decimal(18,2)"), 2), F.format_number((key % 1000 + 0.25).cast("decimal(18,2)"), 2)
+    sections = F.concat(F.lit("Deposits and Additions $"), a, F.lit("\nElectronic Deposits 5.00\nOther Credits 1.00\nDeposits and Additions "), a, F.lit("\nATM & Debit Card Withdrawals "), b, F.lit("\nElectronic Withdrawals 7.00\nChecks Paid 5.00"))
+    plain = F.concat(F.lit("12 Deposits/Credits "), a, F.lit("\nWithdrawals/Debits - $"), b)
+    twice = F.concat(F.lit("5 Credit(s) This Period $"), a, F.lit("\n6 Debit(s) This Period "), b, F.lit("\n7 Deposits/Credits 3.00\n8 Checks/Debits 4.00"))
+    text = F.when(key % 3 == 0, sections).when(key % 3 == 1, plain).otherwise(twice)
+    return summary.route(load(spark, d, "customer").select(key.alias("statement"), text.alias("text")))
+
+
+@query("""SELECT c_custkey AS statement, CASE WHEN c_custkey % 2 = 0 THEN round((abs(c_acctbal) + 6)::DECIMAL(18,2)::DOUBLE, 2) ELSE 0 END AS estimated FROM customer""")
+def q_estimated_balance(spark, d):
+    """Between the first and the last amount of a summary block, whose end is the next section; statements without a block have 0."""
+    money = lambda x: F.format_number((F.abs("c_acctbal") + x).cast("decimal(18,2)"), 2)
+    text = F.concat(F.lit("5.00 before\nSUMMARY\nBeginning Balance $"), money(1), F.lit("\nFees 8.00\nEnding Balance "), money(11), F.lit("\nDEPOSITS & CREDITS\n01/02 9.99"))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("statement"), summary.estimated_balance(F.when(F.col("c_custkey") % 2 == 0, text).otherwise("no such block 7.00")).alias("estimated"))
+
+
+@query(S.upto(S.LEDGER) + """ SELECT row_no, CASE WHEN row_no % 3 = 0 THEN strftime(date, '%Y-%m-%d') || ' ' || debit::DECIMAL(18,2) || ' Debit raw ' || row_no ELSE description END AS description FROM ledger""")
+def q_row_texts(spark, d):
+    """What a row is searched by: its description, or where that is blank all its other values."""
+    rows = ledger(spark, d).select("row_no", F.date_format("Date", "yyyy-MM-dd").alias("Date"), F.when(F.col("row_no") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "Description")).alias("Description"), F.col("Debit").cast("decimal(18,2)").cast("string").alias("Debit"), F.lit("Debit").alias("Section"), F.concat(F.lit("raw "), "row_no").alias("Raw Line"))
+    return rows.select("row_no", lenders.description(rows).alias("description"))
