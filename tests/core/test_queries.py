@@ -29,6 +29,6 @@ def agree(spark, tmp_path):
     return check
 
 
-@pytest.mark.parametrize("query", ["q_lenient_amount"])
+@pytest.mark.parametrize("query", ["q_lenient_amount", "q_money_parse"])
 def test_half_thousands_go_to_the_even_one(agree, query):
     agree(query, orders=([(k, 1, "F", price, DAY, "x") for k in (1, 8) for price in (198500.0, 199500.0, 1200.5)], ORDER))
