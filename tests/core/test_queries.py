@@ -37,3 +37,8 @@ def test_half_thousands_go_to_the_even_one(agree, query):
 def test_words_below_a_long_order_join_none_of_its_rows(agree):
     items = [(1, 10 + k, k, 100.0 + k, DAY) for k in range(1, 31)] + [(2, 5, 1, 7.0, DAY)]
     agree("q_box_rows", lineitem=(items, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp"))
+
+
+def test_rows_of_no_amount_give_nothing(agree):
+    events = [(k, DAY, 1, kind, value) for k, (kind, value) in enumerate((("purchase", 5.0), ("view", 0.0), ("click", 0.0), ("view", 3.0), ("view", 0.004)))]
+    agree("q_capital_one_rows", events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double"))
