@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -84,13 +84,14 @@ _RULES = {"State": state, "Phone": phone, "SSN": ssn, "Tax_ID": ein, "DOB": form
 def fields(cells: DataFrame) -> DataFrame:
     """cells(form, row, col, text) to (form, field, value): `Label: value` cells by the part of the form their row is in; of several the first valid one.
 
-    Parts begin at the rows that hold their heads; labels are looked up by part, in a table of fixed size."""
+    Parts begin at the rows that hold their heads; labels are looked up by part, in a table of fixed size. Only that table is
+    joined: what a form's cells say of each other is windows over the form."""
     text = F.trim("text")
-    heads = cells.groupBy("form").agg(*[F.min(F.when(text.rlike(p), F.col("row"))).alias(c) for c, p in (("owner", "(?i)^OWNER INFORMATION$"), ("second", "(?i)Secondary Owner Name"), ("property", "(?i)^BUSINESS PROPERTY INFORMATION$"))])
+    heads = {c: F.min(F.when(text.rlike(p), F.col("row"))).over(Window.partitionBy("form")) for c, p in (("owner", "(?i)^OWNER INFORMATION$"), ("second", "(?i)Secondary Owner Name"), ("property", "(?i)^BUSINESS PROPERTY INFORMATION$"))}
     part = F.when(F.col("row") > F.col("property"), "property").when(F.col("row") > F.col("owner"), F.when(F.col("row") >= F.col("second"), "secondary").otherwise("principal")).otherwise("business")
     labels = cells.sparkSession.createDataFrame([(p, label, field) for p, known in _PARTS for label, field in known.items()], "part string, label string, field string")
     split = F.split("text", ":", 2)
-    rows = cells.join(heads, "form").filter(F.col("text").contains(":")).withColumns({"part": part, "label": F.lower(F.trim(F.get(split, F.lit(0)))), "value": valid(F.get(split, F.lit(1)))})
+    rows = cells.filter("form IS NOT NULL").withColumns(heads).filter(F.col("text").contains(":")).withColumns({"part": part, "label": F.lower(F.trim(F.get(split, F.lit(0)))), "value": valid(F.get(split, F.lit(1)))})
     found = first_write(rows.join(F.broadcast(labels), ["part", "label"]), "form", "field", "value", "row", "col")
     ruled = F.coalesce(*[F.when(F.col("field").endswith(end), rule(F.col("value"))) for end, rule in _RULES.items()], F.when(~F.col("field").rlike("(" + "|".join(_RULES) + ")$"), F.col("value")))
     return found.select("form", "field", ruled.alias("value")).filter("value is not null")
@@ -98,10 +99,11 @@ def fields(cells: DataFrame) -> DataFrame:
 
 def largest_table(cells: DataFrame) -> DataFrame:
     """cells(form, row, col, text) of the table with most rows, of equal ones the first, on the first page of cells(form, page, table_no, row, col, text)."""
-    sizes = cells.groupBy("form", "page", "table_no").agg(F.countDistinct("row").alias("n"))
-    best = sizes.groupBy("form").agg(F.min_by(F.struct("page", "table_no"), F.struct("page", -F.col("n"), "table_no")).alias("at"))
-    chosen = best.select("form", "at.page", "at.table_no")
-    return cells.join(chosen, ["form", "page", "table_no"]).select("form", "row", "col", "text")
+    # the rank of a table's last row is the number of its rows
+    rank = F.dense_rank().over(Window.partitionBy("form", "page", "table_no").orderBy("row"))
+    ranked = cells.filter("form IS NOT NULL").repartition("form").withColumn("n", rank)
+    best = F.min(F.struct("page", -F.col("n"), "table_no")).over(Window.partitionBy("form"))
+    return ranked.withColumn("at", best).filter("page = at.page AND table_no = at.table_no").select("form", "row", "col", "text")
 
 
 def masked(found: DataFrame) -> DataFrame:

@@ -42,3 +42,9 @@ def test_words_below_a_long_order_join_none_of_its_rows(agree):
 def test_rows_of_no_amount_give_nothing(agree):
     events = [(k, DAY, 1, kind, value) for k, (kind, value) in enumerate((("purchase", 5.0), ("view", 0.0), ("click", 0.0), ("view", 3.0), ("view", 0.004)))]
     agree("q_capital_one_rows", events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+
+
+def test_forms_are_shuffled_once_and_only_the_labels_are_joined(spark, agree, tmp_path):
+    agree("q_application_forms", customer=([(k, f"Name {k}", 5.0 * k) for k in range(1, 40)], "c_custkey long, c_name string, c_acctbal double"))
+    plan = entry.queries()["q_application_forms"](spark, os.fspath(tmp_path))._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 1
