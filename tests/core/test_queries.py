@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallyloom.operators import summary
 
 DAY = datetime.datetime(2024, 1, 5)
 ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
@@ -48,3 +49,8 @@ def test_forms_are_shuffled_once_and_only_the_labels_are_joined(spark, agree, tm
     agree("q_application_forms", customer=([(k, f"Name {k}", 5.0 * k) for k in range(1, 40)], "c_custkey long, c_name string, c_acctbal double"))
     plan = entry.queries()["q_application_forms"](spark, os.fspath(tmp_path))._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
     assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_summaries_of_few_texts_are_many_tasks(spark):
+    texts = spark.createDataFrame([(k, "Chase\nDeposits and Additions 9.00") for k in range(50)], "statement long, text string").coalesce(1)
+    assert summary.route(texts).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
