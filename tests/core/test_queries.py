@@ -54,3 +54,9 @@ def test_forms_are_shuffled_once_and_only_the_labels_are_joined(spark, agree, tm
 def test_summaries_of_few_texts_are_many_tasks(spark):
     texts = spark.createDataFrame([(k, "Chase\nDeposits and Additions 9.00") for k in range(50)], "statement long, text string").coalesce(1)
     assert summary.route(texts).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("query", ["q_bank_summaries", "q_router_priority"])
+def test_a_file_of_customers_is_work_for_all_cores(spark, agree, tmp_path, query):
+    agree(query, customer=([(k, 5.0 * k) for k in range(1, 40)], "c_custkey long, c_acctbal double"))
+    assert entry.queries()[query](spark, os.fspath(tmp_path)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
