@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallyloom.operators import summary
+from tallyloom.operators import metrics, summary
 
 DAY = datetime.datetime(2024, 1, 5)
 ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
@@ -60,3 +60,9 @@ def test_summaries_of_few_texts_are_many_tasks(spark):
 def test_a_file_of_customers_is_work_for_all_cores(spark, agree, tmp_path, query):
     agree(query, customer=([(k, 5.0 * k) for k in range(1, 40)], "c_custkey long, c_acctbal double"))
     assert entry.queries()[query](spark, os.fspath(tmp_path)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_counted_by_all_cores(spark):
+    texts = spark.createDataFrame([("a", "Chase\nDeposits and Additions 2 9.00")], "statement string, text string")
+    rows = spark.createDataFrame([("a", "01/02", "x", 1.0, 0.0)], "statement string, Date string, Description string, Debit double, Credit double")
+    assert "RepartitionByExpression" in metrics.transaction_counts(texts, rows)._jdf.queryExecution().optimizedPlan().toString()
