@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -66,3 +67,19 @@ def test_texts_are_counted_by_all_cores(spark):
     texts = spark.createDataFrame([("a", "Chase\nDeposits and Additions 2 9.00")], "statement string, text string")
     rows = spark.createDataFrame([("a", "01/02", "x", 1.0, 0.0)], "statement string, Date string, Description string, Debit double, Credit double")
     assert "RepartitionByExpression" in metrics.transaction_counts(texts, rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+ITEM = "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp, l_quantity double"
+ITEMS = [(k, 10 * k + n, n, 1234.5 + k + n, DAY, float(5 * n)) for k in range(1, 20) for n in range(1, 6)]
+
+
+@pytest.fixture
+def physical(spark, tmp_path):
+    """The physical plan of a query on the tables of `agree`."""
+    return lambda query: entry.queries()[query](spark, os.fspath(tmp_path))._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+
+
+def test_checks_and_other_rows_are_read_in_one_pass(agree, physical):
+    agree("q_check_row_explode", lineitem=(ITEMS, ITEM))
+    plan = physical("q_check_row_explode")
+    assert "Union" not in plan and len(re.findall(r"\bWindow \[", plan)) == 2
