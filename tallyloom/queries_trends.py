@@ -149,7 +149,7 @@ def q_asof_section(spark, d):
     mark = lambda page, y, s: F.struct(F.lit(page).alias("page"), F.lit(y).alias("y"), F.lit(s).alias("section"))
     heads = load(spark, d, "orders").select(F.col("o_orderkey").alias("statement"), F.inline(F.array(mark(0, 100.0, "Credit"), mark(1, 250.0, "Debit"))))
     rows = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("statement"), F.col("l_linenumber").alias("n"), (F.col("l_linenumber") % 2).alias("page"), (F.col("l_quantity") * 10.0).alias("y"))
-    return geometry.carried_headers(heads, rows).select("statement", "n", "y", "section").distinct()
+    return geometry.carried_headers(heads, rows, "n").select("statement", "n", "y", "section")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN x >= 420 THEN 'Balance' WHEN abs(x - 200) <= abs(x - 320) THEN 'Debit' ELSE 'Credit' END AS nearest, CASE WHEN x > 430 THEN 'Balance' WHEN x <= 260 THEN 'Debit' ELSE 'Credit' END AS midpoint FROM (SELECT *, l_quantity * 10.0 AS x FROM lineitem)""")

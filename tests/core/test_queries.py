@@ -83,3 +83,8 @@ def test_checks_and_other_rows_are_read_in_one_pass(agree, physical):
     agree("q_check_row_explode", lineitem=(ITEMS, ITEM))
     plan = physical("q_check_row_explode")
     assert "Union" not in plan and len(re.findall(r"\bWindow \[", plan)) == 2
+
+
+def test_sections_of_equal_rows_are_told_once_without_sets_of_rows(agree, physical):
+    agree("q_asof_section", lineitem=([*ITEMS, *ITEMS[:7]], ITEM), orders=([(k, 1, "F", 1.0, DAY, "x") for k in range(1, 15)], ORDER))
+    assert "Aggregate" not in physical("q_asof_section")
