@@ -88,3 +88,8 @@ def test_checks_and_other_rows_are_read_in_one_pass(agree, physical):
 def test_sections_of_equal_rows_are_told_once_without_sets_of_rows(agree, physical):
     agree("q_asof_section", lineitem=([*ITEMS, *ITEMS[:7]], ITEM), orders=([(k, 1, "F", 1.0, DAY, "x") for k in range(1, 15)], ORDER))
     assert "Aggregate" not in physical("q_asof_section")
+
+
+def test_words_of_columns_are_grouped_once(agree, physical):
+    agree("q_columnar_rows", lineitem=(ITEMS, ITEM))
+    assert "Join" not in physical("q_columnar_rows")
