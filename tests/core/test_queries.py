@@ -93,3 +93,10 @@ def test_sections_of_equal_rows_are_told_once_without_sets_of_rows(agree, physic
 def test_words_of_columns_are_grouped_once(agree, physical):
     agree("q_columnar_rows", lineitem=(ITEMS, ITEM))
     assert "Join" not in physical("q_columnar_rows")
+
+
+def test_amounts_of_labels_that_a_text_lacks_are_not_searched_for(spark):
+    texts = spark.createDataFrame([(1, "Credit Union\n5 Credit(s) This Period 7.00\n6 Debit(s) This Period 8.00"), (2, "x")], "statement long, text string")
+    routed = summary.route(texts)
+    assert {tuple(r) for r in routed.collect()} == {(1, "generic", 7.0, 8.0, 5, 6), (2, None, 0.0, 0.0, 0, 0)}
+    assert re.search(r"CASE WHEN \(size\(.{0,60}> 0\) THEN zip_with", routed._jdf.queryExecution().optimizedPlan().toString())
