@@ -4,12 +4,14 @@ import datetime
 import os
 import re
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyloom.operators import metrics, summary
+from tallyloom.operators import balance, metrics, summary
 
 DAY = datetime.datetime(2024, 1, 5)
 ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
@@ -100,3 +102,9 @@ def test_amounts_of_labels_that_a_text_lacks_are_not_searched_for(spark):
     routed = summary.route(texts)
     assert {tuple(r) for r in routed.collect()} == {(1, "generic", 7.0, 8.0, 5, 6), (2, None, 0.0, 0.0, 0, 0)}
     assert re.search(r"CASE WHEN \(size\(.{0,60}> 0\) THEN zip_with", routed._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_means_at_half_cents_are_of_exact_sums(spark):
+    means = spark.sql("SELECT transform(sequence(1, 400), k -> array(0.1D * k, 0.2D, 0.3D, round(0.1D * k, 1), 7.7D, 0.15D + 0.01D * k, 1.01D, 2.2D)) AS v").selectExpr("inline(transform(v, x -> struct(transform(x, y -> round(y, 2)) AS v)))")
+    for values, mean in means.select("v", balance.mean(F.col("v")).alias("m")).collect():
+        assert mean == float(sum(Decimal(str(x)) for x in values)) / len(values)
