@@ -38,6 +38,12 @@ def test_half_thousands_go_to_the_even_one(agree, query):
     agree(query, orders=([(k, 1, "F", price, DAY, "x") for k in (1, 8) for price in (198500.0, 199500.0, 1200.5)], ORDER))
 
 
+@pytest.mark.parametrize("query", ["q_lenient_amount", "q_money_parse"])
+def test_prices_of_half_cents_are_cut_as_by_the_sql(agree, query):
+    prices = (143755.925, 1.005, 8.575, 0.125, 0.375, -0.125, -1.005, 1000000.125, 0.004, -0.004, 99.994999, 1e9 + 0.005)
+    agree(query, orders=([(42 * n + k, 1, "F", price, DAY, "x") for n, price in enumerate(prices) for k in range(42)], ORDER))
+
+
 def test_words_below_a_long_order_join_none_of_its_rows(agree):
     items = [(1, 10 + k, k, 100.0 + k, DAY) for k in range(1, 31)] + [(2, 5, 1, 7.0, DAY)]
     agree("q_box_rows", lineitem=(items, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp"))
