@@ -44,6 +44,11 @@ def test_prices_of_half_cents_are_cut_as_by_the_sql(agree, query):
     agree(query, orders=([(42 * n + k, 1, "F", price, DAY, "x") for n, price in enumerate(prices) for k in range(42)], ORDER))
 
 
+def test_monthly_obligations_of_half_cents_are_those_of_the_sql(agree):
+    events = [(24 * k, DAY, k, "purchase", value) for k, value in enumerate((67.5, 15.5, 2.5, 1.5, 100.0, 33.5, 0.5))]
+    agree("q_lender_monthly", events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+
+
 def test_words_below_a_long_order_join_none_of_its_rows(agree):
     items = [(1, 10 + k, k, 100.0 + k, DAY) for k in range(1, 31)] + [(2, 5, 1, 7.0, DAY)]
     agree("q_box_rows", lineitem=(items, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp"))
