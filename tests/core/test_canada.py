@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import canada
@@ -79,3 +81,12 @@ def test_rbc_tables_map_headers_carry_dates_and_take_the_first_cutting_with_rows
     words = spark.createDataFrame([], "statement string, page int, width double, text string, x0 double, x1 double, top double")
     lines = spark.createDataFrame([("s", 0, "1 Jan Monthly fee 1.00"), ("t", 0, "1 Jan Monthly fee 1.00")], "statement string, line_no int, line string")
     assert [(r.statement, r.Description) for r in canada.rbc(cells, words, lines).orderBy("statement", "page", "row_no").collect()] == [("s", "Fee"), ("s", "Pay roll"), ("s", "Both"), ("s", "Short"), ("t", "Monthly fee")]
+
+
+def test_pages_are_dealt_to_many_tasks(spark):
+    words = spark.createDataFrame([("s", 1, 600.0, "D", 1.0, 2.0, 3.0)], "statement string, page int, width double, text string, x0 double, x1 double, top double")
+    years = spark.createDataFrame([("s", 2024)], "statement string, year int")
+    least = 16 * spark.sparkContext.defaultParallelism
+    for rows in (canada.td_words(words, years), canada.rbc_words(words)):
+        dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[statement[^]]*\], (\d+)", rows._jdf.queryExecution().optimizedPlan().toString())]
+        assert dealt and min(dealt) >= least
