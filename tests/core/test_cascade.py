@@ -81,3 +81,13 @@ def test_process_takes_banks_and_ledgers(spark):
 @pytest.mark.parametrize("readers", [R.READERS, ()])
 def test_no_statements(spark, readers):
     assert cascade(Sources(known(spark.createDataFrame([], "statement string, text string"), readers), F.lit(2025)), readers).count() == 0
+
+
+def test_the_first_reader_of_a_statement_is_told_without_a_join_and_tests_without_a_lambda(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(R, "cut", lambda rows: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), rows)[1])
+    row = lambda name: lambda s: s.texts.filter(F.col("text").contains(name)).select("statement", F.lit(0).alias("line_no"), F.lit("1/2").alias("Date"), F.lit(name).alias("Description"), F.lit(1.0).alias("Debit"), F.lit(0.0).alias("Credit"))
+    two = tuple(R.Reader(n, lambda t: t.contains("Bank"), row(n)) for n in ("North", "South"))
+    got = cascade(Sources(known(texts(spark, ("a", "Bank South"), ("b", "Bank North South"), ("c", "South")), two), F.lit(2025)), two, ())
+    assert sorted((r.statement, r.Description) for r in got.collect()) == [("a", "South"), ("b", "North")]
+    assert len(plans) == 2 and "lambda" not in plans[0] and "Join" not in plans[1]

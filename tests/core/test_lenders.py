@@ -76,3 +76,20 @@ def test_section_sum_and_year_gaps(spark):
     assert [r[0] for r in got] == [509.59, 509.59]
     dates = spark.createDataFrame([("k", d) for d in ("2024-01-01", "2024-12-01", "2025-03-01")], "k string, d string")
     assert [str(r.fixed)[:7] for r in trends.fix_year_gaps(dates, "k", "d").orderBy("position").collect()] == ["2023-12", "2024-01", "2024-03"]
+
+
+def test_lenders_are_looked_for_only_in_rows_that_may_move(spark, monkeypatch):
+    cases = [(700.0, 0.0, -700.0, "Credit"), (700.0, 0.0, -700.0, "Debit"), (0.0, 5.0, 5.0, "debit"), (0.0, 5.0, -5.0, None), (0.0, 5.0, 5.0, ""), (None, 5.0, -5.0, "")]
+    made = [("s", 2 * k + n, "1/5", f"{name} {k}", d, c, a, None, s, "") for k, (d, c, a, s) in enumerate(cases) for n, name in enumerate(("KAPITUS", "COFFEE"))]
+    searched, detect = [], lenders.detect
+    monkeypatch.setattr(lenders, "detect", lambda texts, *rest: (searched.append(texts), detect(texts, *rest))[1])
+    got = {r.row_no: (r.Debit, r.Credit, r.Amount) for r in lenders.repair_direction(spark.createDataFrame(made, SCHEMA)).collect()}
+    stay = {2 * k + n: (d or 0.0, c, a) for k, (d, c, a, _) in enumerate(cases) for n in (0, 1)}
+    assert got == stay | {0: (0.0, 700.0, 700.0), 4: (5.0, 0.0, -5.0), 6: (5.0, 0.0, -5.0), 10: (5.0, 0.0, -5.0)}
+    assert {r.row_no // 2 for r in searched[0].collect()} == {0, 2, 3, 5}
+
+
+def test_texts_without_a_prefix_are_tried_once(spark):
+    found = lenders.detect(rows(spark, ["KAPITUS 1", "ACH DEBIT KAPITUS 2"]), "Description", lenders.dictionary(spark))
+    assert {r.Description for r in found.collect()} == {"KAPITUS 1", "ACH DEBIT KAPITUS 2"}
+    assert "filter(array(struct(variant" in found._jdf.queryExecution().optimizedPlan().toString()

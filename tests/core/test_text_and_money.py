@@ -1,9 +1,13 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import ledger_date, statement_date
 from tallyloom.functions.money import clean_money, plausible_balance
 from tallyloom.functions.text import clean_text, short_labels, unspaced
+from tallyloom.operators import ledger
+from tallyloom.operators.summary import is_canada_trust
 
 
 def one(spark, text, f):
@@ -31,3 +35,21 @@ def test_dates(spark):
     today = F.lit("2026-01-01").cast("date")
     assert str(one(spark, "SEP 29/25 - OCT 31/25", lambda t: statement_date(t, F.lit(""), F.lit(None).cast("int"), today))) == "2025-10-31 00:00:00"
     assert str(one(spark, "", lambda t: statement_date(t, F.lit("summary 2025.csv"), F.lit(None).cast("int"), today))) == "2025-03-01 00:00:00"
+
+
+def test_a_ledger_s_date_is_read_once_and_its_doubles_as_they_are(spark):
+    texts = ("1/5", "01/05/2024", "2024-1-5", "05 JAN", "5 jan x", "JAN 5 2024", "january 5, 2024", "2024-01-05 00:00:00", "2/30", "5 foo", "", None)
+    values = (1.5, -2.25, float("nan"), float("inf"), float("-inf"), -0.0, 1e-7, 1e17, None, 3.0, 4.0, 5.0)
+    raw = spark.createDataFrame([("s", k, t, "x", v, 0.0, 0.0) for k, (t, v) in enumerate(zip(texts, values, strict=True))], "statement string, row_no long, Date string, Description string, Debit double, Credit double, Balance double")
+    rows = ledger.prepare(raw, F.lit(2024))
+    got = {r.row_no: (str(r.Date)[:10], r.Debit) for r in rows.collect()}
+    assert got == dict(enumerate([("2024-01-05", v) for v in (1.5, 2.25, 0.0, 0.0, 0.0, 0.0, 1e-7, 1e17)]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initcap") == 2 and "cast(Debit" not in plan
+
+
+def test_column_heads_of_a_long_text_are_looked_for_in_linear_time(spark):
+    began = time.perf_counter()
+    assert one(spark, "paid 1.00 " * 20_000, is_canada_trust) is False
+    assert time.perf_counter() - began < 15
+    assert one(spark, "x\nBusiness Cheque\nDeposit / Credit Cheque/Debit", is_canada_trust) and not one(spark, "Deposit/Credit Cheque/Debit", is_canada_trust)
